@@ -78,7 +78,7 @@ def with_(*ctes: str) -> str:
 
 
 def secs(ts: str) -> str:
-    return f"CAST(epoch({ts}) AS BIGINT)"
+    return f"(epoch_us({ts}) // 1000000)"
 
 
 def micros(ts: str) -> str:

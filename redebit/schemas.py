@@ -23,16 +23,15 @@ EVENTS_RAW = _struct(
     event_id=_S, tenant_id=_S, body=_S, signature=_S, signature_ok=_B, received_at=_TS
 )
 
-#: The provider's JSON body, restricted to the paths the engine reads. `created_at`,
-#: amounts and dates stay text here so a wrongly typed value becomes NULL, not a failure.
+#: The provider's JSON body, restricted to the paths the engine reads.
 _ENTITY = _struct(
-    id=_S, current_end=_S, status=_S, ended_at=_S, invoice_id=_S, amount=_S, currency=_S,
-    error_code=_S, error_reason=_S, token_id=_S, expire_by=_S,
+    id=_S, current_end=_L, invoice_id=_S, amount=_L, error_code=_S, error_reason=_S,
+    token_id=_S, expire_by=_L,
 )
 BODY = _struct(
     id=_S,
     event=_S,
-    created_at=_S,
+    created_at=_L,
     payload=_struct(
         subscription=_struct(entity=_ENTITY),
         payment=_struct(entity=_ENTITY),
