@@ -2,6 +2,7 @@
 
 from redebit.plans import (  # noqa: F401
     calendar,
+    experiment,
     ingest,
 )
 from redebit.plans.registry import ORACLES, QUERIES
