@@ -2,8 +2,10 @@
 
 from redebit.plans import (  # noqa: F401
     calendar,
+    customers,
     experiment,
     ingest,
+    priors,
 )
 from redebit.plans.registry import ORACLES, QUERIES
 
