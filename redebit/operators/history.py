@@ -19,23 +19,20 @@ KEEP_LAGS = 24
 ORDINAL_BLOCK = 10_000  # 0.97 ** 10000 is below double precision, so two blocks are exact
 
 
-def _order(cycles: DataFrame) -> list[str]:
-    return ["due_at", "cycle_id"]
-
-
-def paid_at(cycles_alias: str = "") -> Column:
+def paid_at() -> Column:
     """When the cycle's money arrived, NULL if it never did."""
     return F.when(~F.col("failed"), F.col("due_at")).when(F.col("recovered"), F.col("recovered_at"))
 
 
-def customer_history(cycles: DataFrame) -> DataFrame:
+def customer_history(cycles: DataFrame, day_at: Column | None = None) -> DataFrame:
     """Counters over strictly earlier cycles of the customer, in (due_at, cycle_id) order.
 
     Adds ``n_prior``, ``n_paid``, 31 day counters, per-band attempts and successes,
-    ``p75_paid_paise``, ``lag_median_hours`` and ``n_mandates``.
+    ``p75_paid_paise``, ``lag_median_hours`` and ``n_mandates``. ``day_at`` says which
+    instant of a paid cycle names its day; by default the moment the money arrived.
     """
     paid = paid_at()
-    day = cal.day_of_month_ist(paid)
+    day = F.when(paid.isNotNull(), cal.day_of_month_ist(paid if day_at is None else day_at))
     paid_band, fail_band = cal.hour_band(paid), cal.hour_band(F.col("due_at"))
     one = lambda cond: F.when(cond, 1).otherwise(0)
     firsts = cycles.groupBy("customer_id", "mandate_id").agg(

@@ -5,6 +5,7 @@ from redebit.plans import (  # noqa: F401
     customers,
     experiment,
     ingest,
+    issuers,
     priors,
 )
 from redebit.plans.registry import ORACLES, QUERIES

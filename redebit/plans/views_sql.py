@@ -153,7 +153,7 @@ def cause_weights(code: str) -> str:
 
 
 def p_recoverable(code: str) -> str:
-    return f"(CASE WHEN {code} IN ('41','43','14','54','57') THEN 0.0 ELSE 1.0 END)"
+    return f"(CASE WHEN {code} IN ('41','43','14','54','57') THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END)"
 
 
 def wilson(s: str, n: str, side: str, z: float = 1.959963984540054) -> str:
