@@ -6,6 +6,7 @@ from redebit.plans import (  # noqa: F401
     experiment,
     ingest,
     issuers,
+    planning,
     priors,
 )
 from redebit.plans.registry import ORACLES, QUERIES
