@@ -4,6 +4,7 @@ from redebit.plans import (  # noqa: F401
     calendar,
     customers,
     experiment,
+    governance,
     ingest,
     issuers,
     planning,
