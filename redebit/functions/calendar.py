@@ -68,11 +68,11 @@ def weekday_ist(ts: Column) -> Column:
 
 
 def band_of(value: Column, edges: tuple[int, ...]) -> Column:
-    """Half-open banding: index of the first edge above ``value``."""
+    """Half-open banding: index of the first edge above ``value``; NULL stays NULL."""
     out = F.when(value < edges[0], 0)
     for index, edge in enumerate(edges[1:], start=1):
         out = out.when(value < edge, index)
-    return out.otherwise(len(edges))
+    return out.when(value >= edges[-1], len(edges))
 
 
 def hour_band(ts: Column) -> Column:

@@ -7,6 +7,7 @@ from redebit.plans import (  # noqa: F401
     governance,
     ingest,
     issuers,
+    learning,
     planning,
     priors,
 )
