@@ -33,7 +33,7 @@ MANDATE_TRANSITIONS = {
 }
 
 
-def cycle_facts() -> list[Column]:
+def cycle_facts(with_deadline: bool = True) -> list[Column]:
     """Aggregates that fold deduplicated events of one cycle; none depends on row order."""
     order = F.struct("occurred_at", "event_id")
     failed = F.col("event_type").isin(*FAILURES)
@@ -45,8 +45,11 @@ def cycle_facts() -> list[Column]:
         F.min_by(F.coalesce("amount_paise", F.lit(0)), F.when(paid, order)).alias("_paid_paise"),
         F.min_by("amount_paise", F.when(F.col("amount_paise") != 0, order)).alias("_amount"),
         F.min("occurred_at").alias("due_at"),
-        F.min_by("deadline_at", F.when(F.col("deadline_at").isNotNull(), order)).alias("deadline_at"),
-    ]
+    ] + (
+        [F.min_by("deadline_at", F.when(F.col("deadline_at").isNotNull(), order)).alias("deadline_at")]
+        if with_deadline
+        else []
+    )
 
 
 def cycle_columns(keys: list[str]) -> list[Column]:
@@ -95,7 +98,7 @@ def cycle_sequence(cycles: DataFrame, at: str = "due_at", tie: str = "cycle_ref"
     return ordered.numbered(cycles, ["mandate_id"], [at, tie], ordered.time_block(F.col(at)), "seq_no")
 
 
-def _state_index(event_type: Column) -> Column:
+def state_index(event_type: Column) -> Column:
     out = None
     for name, state in MANDATE_EVENT_STATE.items():
         value = F.lit(MANDATE_STATES.index(state))
@@ -129,7 +132,7 @@ def mandate_state(events: DataFrame, block_days: int = 1) -> DataFrame:
     then the few functions of a mandate are applied in turn, so no task ever holds the
     whole history of a busy mandate.
     """
-    to = _state_index(F.col("event_type"))
+    to = state_index(F.col("event_type"))
     moves = events.select("mandate_id", "occurred_at", "event_id", to.alias("to")).where("to IS NOT NULL")
     start = F.array(
         *[F.struct(F.lit(i).alias("state"), F.lit(0).cast("long").alias("stale"))

@@ -50,8 +50,18 @@ def _week_start(ts: Column) -> Column:
     return (day - F.pmod(day + 3, F.lit(7))) * DAY
 
 
+def payment_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payment events as a file stream over the same table."""
+    schema = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return to_payment_events(raw)
+
+
 def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "events")
+    return to_payment_events(table(spark, sf_dir, "events"))
+
+
+def to_payment_events(raw: DataFrame) -> DataFrame:
     at = F.col("ts").cast("timestamp")
     k = F.get_json_object("props", "$.k").try_cast("int")
     user = F.col("user_id")
