@@ -10,6 +10,7 @@ from redebit.plans import (  # noqa: F401
     learning,
     planning,
     priors,
+    retry_plan,
     streams,
 )
 from redebit.plans.registry import ORACLES, QUERIES
