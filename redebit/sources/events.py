@@ -34,19 +34,27 @@ def stream_events(spark: SparkSession, path: str, max_files: int = 64) -> DataFr
     )
 
 
+# Event types the engine understands; anything else is checked more closely.
+KNOWN_TYPES = (
+    "payment.failed", "payment.captured", "subscription.charged", "invoice.paid", "subscription.authenticated",
+    "subscription.activated", "subscription.resumed", "subscription.paused", "subscription.halted",
+    "subscription.cancelled", "subscription.completed",
+)
+
+
 def _first_text(paths: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.nullif(F.col(f"_body.payload.{p}"), F.lit("")) for p in paths])
+    return F.coalesce(*[F.nullif(F.col(f"_payload.{p}"), F.lit("")) for p in paths])
 
 
 def _first_long(paths: tuple[str, ...], positive: bool = False) -> Column:
-    values = [F.col(f"_body.payload.{p}") for p in paths]
+    values = [F.col(f"_payload.{p}") for p in paths]
     return F.coalesce(*[F.when(v > 0, v) if positive else v for v in values])
 
 
-def _string_at(name: str) -> Column:
-    """A top-level field, only if the JSON value itself is a non-empty string."""
-    is_text = F.schema_of_variant(F.try_variant_get("_json", f"$.{name}", "variant")) == "STRING"
-    return F.when(is_text, F.nullif(F.col(f"_body.{name}"), F.lit("")))
+def _json_string(name: str, value: Column) -> Column:
+    """``value``, only if the JSON field it came from is itself a non-empty string."""
+    node = F.try_variant_get(F.try_parse_json("body"), f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(node) == "STRING", F.nullif(value, F.lit("")))
 
 
 def parse_envelope(raw: DataFrame) -> DataFrame:
@@ -54,31 +62,41 @@ def parse_envelope(raw: DataFrame) -> DataFrame:
 
     Needs ``event_id`` (header value, may be NULL), ``body`` and ``received_at``.
     Other columns pass through. A wrongly typed field becomes NULL on its own.
+
+    The body is parsed once, by a generator: a later filter on the outcome then cannot be
+    pushed under it and parse again. The closer look at JSON types is taken only for rows
+    the plain parse leaves in doubt.
     """
     carried = [c for c in raw.columns if c not in ("event_id", "body")]
     parsed = raw.select(
         "event_id", "body", *carried,
-        F.from_json("body", schemas.BODY).alias("_body"),
-        F.try_parse_json("body").alias("_json"),
+        F.inline(F.array(F.from_json("body", schemas.BODY))).alias("_id", "_event", "_created_at", "_payload"),
+    )
+    event_type = F.when(F.col("_event").isin(*KNOWN_TYPES), F.col("_event")).otherwise(
+        F.when(F.col("_event").isNotNull(), _json_string("event", F.col("_event")))
+    )
+    header = F.nullif(F.col("event_id"), F.lit(""))
+    event_id = F.coalesce(header, F.when(F.col("_id").isNotNull(), _json_string("id", F.col("_id"))))
+    json = F.try_parse_json("body")
+    doubt = (
+        F.when(json.isNull(), "body is not valid JSON")
+        .when(~F.startswith(F.schema_of_variant(json), F.lit("OBJECT")), "body is not a JSON object")
+        .when(F.col("event_type").isNull(), "no event type")
+        .otherwise("no event id")
     )
-    event_type = _string_at("event")
-    event_id = F.coalesce(F.nullif(F.col("event_id"), F.lit("")), _string_at("id"))
-    reason = (
-        F.when(F.col("_json").isNull(), "body is not valid JSON")
-        .when(~F.startswith(F.schema_of_variant("_json"), F.lit("OBJECT")), "body is not a JSON object")
-        .when(event_type.isNull(), "no event type")
-        .when(event_id.isNull(), "no event id")
+    named = parsed.select(
+        event_id.alias("event_id"), event_type.alias("event_type"), "body", "_created_at", "_payload", *carried
     )
-    return parsed.select(
-        event_id.alias("event_id"),
-        event_type.alias("event_type"),
+    usable = F.col("event_type").isNotNull() & F.col("event_id").isNotNull()
+    return named.select(
+        "event_id", "event_type",
         _first_text(MANDATE_PATHS).alias("mandate_id"),
         _first_text(CYCLE_PATHS).alias("cycle_ref"),
         _first_long(AMOUNT_PATHS).alias("amount_paise"),
         F.timestamp_seconds(_first_long(BILLING_PATHS, positive=True)).alias("deadline_at"),
         _first_text(DECLINE_PATHS).alias("decline_code"),
-        F.coalesce(F.timestamp_seconds("_body.created_at"), F.col("received_at")).alias("occurred_at"),
-        reason.alias("reject_reason"),
+        F.coalesce(F.timestamp_seconds("_created_at"), F.col("received_at")).alias("occurred_at"),
+        F.when(~usable, doubt).alias("reject_reason"),
         "body",
         *carried,
     )
