@@ -52,7 +52,7 @@ def value_ranks(counts: DataFrame, buckets: int = 1000) -> DataFrame:
         F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("n").alias("total")
     )
     width = F.col("_hi") - F.col("_lo")
-    joined = counts.join(bounds, "feature")
+    joined = counts.join(F.broadcast(bounds), "feature")  # one row per monitored feature
     bucket = F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width * buckets)).otherwise(0)
     return ordered.running(joined, ["feature"], ["value"], bucket, {"cum": ("sum", F.col("n"))})
 
@@ -99,7 +99,7 @@ def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
     )
 
     def binned(counts: DataFrame, name: str) -> DataFrame:
-        placed = counts.join(ruled, "feature")
+        placed = counts.join(F.broadcast(ruled), "feature")  # one row per monitored feature
         below = F.size(F.filter("edges", lambda e: e <= F.col("value")))
         past = F.coalesce((F.col("value") > F.col("own_bin")).cast("int"), F.lit(0))
         return placed.groupBy("feature", (below + past).alias("bin")).agg(F.sum("n").alias(name))
@@ -107,7 +107,7 @@ def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
     both = binned(ref, "ref_n").join(binned(cur, "cur_n"), ["feature", "bin"], "full").na.fill(0, ["ref_n", "cur_n"])
     totals = both.groupBy("feature").agg(F.sum("ref_n").alias("_r"), F.sum("cur_n").alias("_c"))
     term = stats.psi_term(F.col("ref_n") / F.col("_r"), F.col("cur_n") / F.col("_c"))
-    scored = both.join(totals, "feature").groupBy("feature").agg(F.sum(term).alias("psi"))
+    scored = both.join(F.broadcast(totals), "feature").groupBy("feature").agg(F.sum(term).alias("psi"))
     severity = (
         F.when(F.col("psi") >= PSI_SIGNIFICANT, "significant").when(F.col("psi") >= PSI_MODERATE, "moderate").otherwise("stable")
     )

@@ -124,44 +124,48 @@ def _step(at: Column, to: Column) -> Column:
     )
 
 
-def mandate_state(events: DataFrame, block_days: int = 1) -> DataFrame:
+FOLD_LEVELS = (60, 86_400)  # seconds: minute blocks, then days, then the whole mandate
+
+
+def mandate_state(events: DataFrame, levels: tuple[int, ...] = FOLD_LEVELS) -> DataFrame:
     """Fold mandate events in total order, counting refused transitions.
 
     A fold over a state machine is a composition of functions on seven states, and
-    composition is associative. Each (mandate, time block) is reduced to its function,
-    then the few functions of a mandate are applied in turn, so no task ever holds the
-    whole history of a busy mandate.
+    composition is associative. The events of a minute are reduced to their function, the
+    minutes of a day to one, and the days of a mandate are applied in turn, so no task ever
+    holds the history of a busy mandate.
     """
-    to = state_index(F.col("event_type"))
-    moves = events.select("mandate_id", "occurred_at", "event_id", to.alias("to")).where("to IS NOT NULL")
-    start = F.array(
-        *[F.struct(F.lit(i).alias("state"), F.lit(0).cast("long").alias("stale"))
-          for i in range(len(MANDATE_STATES))]
+    moves = events.select(
+        "mandate_id", "event_id", F.unix_micros("occurred_at").alias("us"), state_index(F.col("event_type")).alias("to")
+    ).where("to IS NOT NULL")
+    identity = F.array(
+        *[F.struct(F.lit(i).alias("state"), F.lit(0).cast("long").alias("stale")) for i in range(len(MANDATE_STATES))]
     )
-    blocks = (
-        moves.withColumn("block", ordered.time_block(F.col("occurred_at"), block_days))
+    first, *coarser = levels
+    folded = (
+        moves.withColumn("block", F.floor(F.col("us") / (first * 1_000_000)))
         .groupBy("mandate_id", "block")
-        .agg(F.array_sort(F.collect_set(F.struct("occurred_at", "event_id", "to"))).alias("moves"))
+        .agg(F.array_sort(F.collect_set(F.struct("us", "event_id", "to"))).alias("moves"))
         .select(
-            "mandate_id",
-            "block",
-            F.aggregate(
-                "moves", start, lambda fn, m: F.transform(fn, lambda s: _step(s, m["to"]))
-            ).alias("fn"),
+            "mandate_id", (F.col("block") * first).alias("second"),
+            F.aggregate("moves", identity, lambda fn, m: F.transform(fn, lambda s: _step(s, m["to"]))).alias("fn"),
         )
     )
-    applied = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("block", "fn"))),
-        F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("stale")),
-        lambda acc, b: F.struct(
-            b["fn"][acc["state"]]["state"].alias("state"),
-            (acc["stale"] + b["fn"][acc["state"]]["stale"]).alias("stale"),
-        ),
-    )
+    for seconds in coarser:
+        folded = (
+            folded.groupBy("mandate_id", F.floor(F.col("second") / seconds).alias("block"))
+            .agg(F.array_sort(F.collect_list(F.struct("second", "fn"))).alias("parts"))
+            .select(
+                "mandate_id", (F.col("block") * seconds).alias("second"),
+                F.aggregate("parts", identity, lambda fn, p: F.transform(fn, lambda s: _apply(s, p["fn"]))).alias("fn"),
+            )
+        )
+    created = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("stale"))
     names = F.array(*[F.lit(s) for s in MANDATE_STATES])
     return (
-        blocks.groupBy("mandate_id")
-        .agg(applied.alias("r"))
+        folded.groupBy("mandate_id")
+        .agg(F.array_sort(F.collect_list(F.struct("second", "fn"))).alias("parts"))
+        .select("mandate_id", F.aggregate("parts", created, lambda acc, p: _apply(acc, p["fn"])).alias("r"))
         .select(
             "mandate_id",
             names[F.col("r.state")].alias("state"),
@@ -170,6 +174,12 @@ def mandate_state(events: DataFrame, block_days: int = 1) -> DataFrame:
     )
 
 
+def _apply(at: Column, fn: Column) -> Column:
+    """A block's function applied to one (state, stale) pair."""
+    reached = fn[at["state"]]
+    return F.struct(reached["state"].alias("state"), (at["stale"] + reached["stale"]).alias("stale"))
+
+
 def retry_sessions(events: DataFrame, gap: str = "2 days") -> DataFrame:
     """Recovery episodes: payment events of a cycle with no pause longer than ``gap``."""
     paid = F.col("event_type").isin(*SUCCESSES)

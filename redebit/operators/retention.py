@@ -53,7 +53,10 @@ def revocation_hazard(observations: DataFrame) -> DataFrame:
 def with_monthly_hazard(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """Attach the cell hazard, the global one for unseen cells."""
     overall = cells.agg(F.max("global_hazard")).scalar()
-    joined = rows.join(cells.select(*CELL, F.col("hazard").alias("_h")), CELL, "left")
+    # 5 failure buckets x 4 unpaid buckets x 3 rails: at most 60 rows, and far too few keys
+    # to distribute the rows by.
+    known = cells.where(F.col("rail").isin(*[r[0] for r in cal.RAILS])).select(*CELL, F.col("hazard").alias("_h"))
+    joined = rows.join(F.broadcast(known), CELL, "left")
     return joined.withColumn("monthly_hazard", F.coalesce("_h", overall)).drop("_h")
 
 

@@ -328,7 +328,8 @@ def select_intervention(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     rows = (
         last.withColumn("debit_day", cal.day_of_month_ist(F.col("due_at")))
-        .join(peaks, "rail", "left").join(days, ["rail", "debit_day"], "left")
+        .join(F.broadcast(peaks), "rail", "left")  # one row per rail
+        .join(F.broadcast(days), ["rail", "debit_day"], "left")  # 31 days by rail
         .select(
             "mandate_id", "consecutive_failures", "monthly_hazard", "peak_day", "peak_p", "debit_day", "day_p",
             stops.alias("hard_stops"), (F.col("cycle_id") % 5).alias("messages_30d"),

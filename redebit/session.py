@@ -12,6 +12,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Merge sessions before the shuffle, so a busy cycle does not arrive whole in one task.
+    spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     return spark
 
 
