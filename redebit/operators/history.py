@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redebit.functions import calendar as cal
-from redebit.operators import ordered
+from redebit.operators import ordered, running_quantile
 
 PAYDAY_DECAY = 0.97
 KAPPA = 5.0
@@ -47,11 +47,13 @@ def customer_history(cycles: DataFrame, day_at: Column | None = None) -> DataFra
         **{f"_s{b}": ("sum", one(paid_band == b)) for b in range(5)},
         **{f"_a{b}": ("sum", one(paid_band == b) + one(F.col("failed") & (fail_band == b))) for b in range(5)},
     }
-    counted = ordered.running(
-        base, ["customer_id"], ["due_at", "cycle_id"], ordered.time_block(F.col("due_at")), metrics, inclusive=False
-    )
-    earlier = Window.partitionBy("customer_id").orderBy("due_at", "cycle_id").rowsBetween(Window.unboundedPreceding, -1)
-    lag = (F.unix_seconds("recovered_at") - F.unix_seconds("due_at")) / F.lit(3600.0)
+    keys, order, block = ["customer_id"], ["due_at", "cycle_id"], ordered.time_block(F.col("due_at"))
+    counted = ordered.running(base, keys, order, block, metrics, inclusive=False)
+    lag_s = F.unix_seconds("recovered_at") - F.unix_seconds("due_at")
+    counted = running_quantile.running_percentiles(counted, keys, order, block, {
+        "_p75": (F.when(paid.isNotNull(), F.col("amount_paise")), 0.75),
+        "_lag_s": (F.when(F.col("recovered"), lag_s), 0.5),
+    })
     zero = lambda name: F.coalesce(name, F.lit(0))
     return counted.select(
         *cycles.columns,
@@ -61,9 +63,8 @@ def customer_history(cycles: DataFrame, day_at: Column | None = None) -> DataFra
         F.array(*[zero(f"_d{d}").cast("int") for d in range(1, DAYS + 1)]).alias("day_counts"),
         F.array(*[zero(f"_s{b}").cast("int") for b in range(5)]).alias("band_paid"),
         F.array(*[zero(f"_a{b}").cast("int") for b in range(5)]).alias("band_attempts"),
-        F.floor(F.percentile(F.when(paid.isNotNull(), F.col("amount_paise")), F.lit(0.75)).over(earlier))
-        .cast("bigint").alias("p75_paid_paise"),
-        F.percentile(F.when(F.col("recovered"), lag), F.lit(0.5)).over(earlier).alias("lag_median_hours"),
+        F.floor("_p75").cast("bigint").alias("p75_paid_paise"),
+        (F.col("_lag_s") / 3600.0).alias("lag_median_hours"),
     )
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from redebit.operators import history, monitor, ordered
+from redebit.operators import history, monitor, ordered, running_quantile
 
 
 @pytest.fixture(scope="module")
@@ -138,3 +138,26 @@ def test_lifecycle_runs(spark):
     for r in sorted(cycles.collect(), key=lambda r: (r["due_at"], r["cycle_id"])):
         run[r["mandate_id"]] = run.get(r["mandate_id"], 0) + 1 if r["failed"] else 0
         assert got[r["cycle_id"]]["consecutive_failures"] == run[r["mandate_id"]]
+
+
+@pytest.mark.parametrize("hot", [10_000, 120])
+def test_running_percentiles_with_and_without_hot_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(running_quantile, "HOT_ROWS", hot)
+    cycles = cycles_frame(spark)
+    value = F.when(~F.col("failed"), F.col("amount_paise"))
+    got = running_quantile.running_percentiles(
+        cycles, ["customer_id"], ["due_at", "cycle_id"], ordered.time_block(F.col("due_at")),
+        {"p75": (value, 0.75), "small": (F.when(F.col("recovered"), F.col("cycle_id") % 3), 0.5)},
+    )
+    found = {r["cycle_id"]: r for r in got.collect()}
+    assert len(found) == 600
+    seen = {}
+    for r in sorted(cycles.collect(), key=lambda r: (r["due_at"], r["cycle_id"])):
+        paid, small = seen.setdefault(r["customer_id"], ([], []))
+        row = found[r["cycle_id"]]
+        assert row["p75"] == (pytest.approx(np.percentile(paid, 75)) if paid else None)
+        assert row["small"] == (pytest.approx(np.median(small)) if small else None)
+        if not r["failed"]:
+            paid.append(r["amount_paise"])
+        if r["recovered"]:
+            small.append(r["cycle_id"] % 3)
