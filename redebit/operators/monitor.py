@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from redebit.functions import stats
 from redebit.operators import ordered
+from redebit.session import checkpointed
 
 ECE_ALERT, PSI_MODERATE, PSI_SIGNIFICANT, SPIKE_SHARE = 0.05, 0.10, 0.25, 0.10
 
@@ -80,7 +81,8 @@ def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
     Bins come from the reference deciles; a value holding a tenth of the reference gets a
     bin of its own, and a constant reference is compared as below / equal / above.
     """
-    ref = reference.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    # Value counts are read several times below; the rows behind them only once.
+    ref = checkpointed(reference.groupBy("feature", "value").agg(F.count("*").alias("n")))
     cur = current.groupBy("feature", "value").agg(F.count("*").alias("n"))
     marks = exact_quantiles(ref, [i / bins for i in range(bins + 1)])
     spike = ref.groupBy("feature").agg(F.max(F.struct("n", (-F.col("value")).alias("neg"))).alias("_top"))

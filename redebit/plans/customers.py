@@ -14,6 +14,7 @@ from redebit.plans.priors import published
 from redebit.plans.priors import _O as OUTCOME_CTES
 from redebit.plans.priors import PRIORS, SEGS
 from redebit.plans.registry import query
+from redebit.session import checkpointed
 from redebit.sources import testdata as td
 
 PAID = f"""
@@ -241,7 +242,7 @@ def revocation_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT mandate_id, round(hazard, 6) AS monthly_hazard FROM obs JOIN cells USING (fb, ub, rail)
 WHERE is_last AND hazard >= 0.04""")
 def at_risk_mandates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = observations(spark, sf_dir)
+    seen = checkpointed(observations(spark, sf_dir))  # read for the cells and again for the rows
     risky = retention.at_risk_mandates(seen, retention.revocation_hazard(seen), threshold=0.04)
     return risky.withColumn("monthly_hazard", F.round("monthly_hazard", 6))
 
@@ -254,7 +255,7 @@ SELECT mandate_id, CAST(d AS INT) AS days_ahead,
   round(1 - (1 - (1 - (1 - coalesce(hazard, gh)) ** (1 / 30.0))) ** d, 6) AS marginal_delta
 FROM w CROSS JOIN tot LEFT JOIN cells USING (fb, ub, rail)""")
 def marginal_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = observations(spark, sf_dir)
+    seen = checkpointed(observations(spark, sf_dir))  # read for the cells and again for the rows
     cells = retention.revocation_hazard(seen)
     ahead = seen.where("is_last").withColumn("_d", F.explode(F.array(*[F.lit(d) for d in (0, 3, 7, 30)])))
     return retention.marginal_delta(ahead, cells, F.col("_d")).select(
@@ -267,7 +268,7 @@ q AS (SELECT mandate_id, amount_paise, 0.98 * (1 - hazard) AS q FROM obs JOIN ce
 SELECT mandate_id, CAST(round_even(q * (1 - q ** 24.0) / (1 - q) * amount_paise * 0.8, 0) AS BIGINT)
   AS continuation_paise, amount_paise * 12 AS placeholder_paise FROM q""")
 def continuation_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = observations(spark, sf_dir)
+    seen = checkpointed(observations(spark, sf_dir))  # read for the cells and again for the rows
     last = retention.with_monthly_hazard(seen.where("is_last"), retention.revocation_hazard(seen))
     value = retention.continuation_value(F.col("monthly_hazard"), F.col("amount_paise"), F.lit(0.8))
     return last.select("mandate_id", value.alias("continuation_paise"),
@@ -317,7 +318,7 @@ SELECT mandate_id, intervention, CASE WHEN opted OR spent THEN concat_ws(';', CA
     CASE WHEN messages >= 3 THEN 'fatigue cap reached' END) ELSE '' END AS reasons FROM kinds""")
 def select_intervention(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycles = td.billing_cycles(spark, sf_dir)
-    seen = observations(spark, sf_dir)
+    seen = checkpointed(observations(spark, sf_dir))  # read for the cells and again for the rows
     last = retention.with_monthly_hazard(seen.where("is_last"), retention.revocation_hazard(seen))
     by_day = retention.day_of_month_hazard(cycles, ["rail"])
     peaks = retention.peak_day(by_day, ["rail"])

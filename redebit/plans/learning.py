@@ -11,6 +11,7 @@ from redebit.plans import views_sql as v
 from redebit.plans.customers import AS_OF, HIST, PAID
 from redebit.plans.planning import _PRESENT, funding_windows
 from redebit.plans.registry import query
+from redebit.session import checkpointed
 from redebit.sources import testdata as td
 
 
@@ -137,7 +138,7 @@ sc AS (SELECT hr.slot, coalesce(hazard, g) AS hz FROM hr CROSS JOIN gl LEFT JOIN
 
 
 def _scored_v0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hazard_training(spark, sf_dir)
+    rows = hazard_training(spark, sf_dir)  # the cells need four columns of it, so it is not stored
     return models.score_v0(rows, models.hazard_v0(rows))
 
 
@@ -157,7 +158,7 @@ def daily_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fit_hazard_v1")
 def fit_hazard_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted and calibrated hazards on held-out customers, per day: observed against predicted."""
-    rows = estimators.group_split(hazard_training(spark, sf_dir), "customer_id", 0.3)
+    rows = estimators.group_split(checkpointed(hazard_training(spark, sf_dir)), "customer_id", 0.3)
     model = models.fit_hazard_v1(rows.where("NOT is_holdout"), max_iter=5)
     scored = model.score(rows.where("is_holdout"))
     return scored.groupBy(F.floor(F.col("day_offset")).alias("day")).agg(
@@ -168,7 +169,7 @@ def fit_hazard_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("score_curves")
 def score_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves from the boosted model for most cycles, the cell table for the rest."""
-    rows = hazard_training(spark, sf_dir)
+    rows = checkpointed(hazard_training(spark, sf_dir))
     model = models.fit_hazard_v1(rows, max_iter=2)
     version = models.model_version_id(
         "liquidity_hazard", "gbt", {"max_iter": 2}, features.FEATURES, models.fingerprint(F.lit(0), F.lit(0))

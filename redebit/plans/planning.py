@@ -12,6 +12,7 @@ from redebit.plans import views_sql as v
 from redebit.plans.experiment import CONTROL, SEED, _arm, _unit
 from redebit.plans.ingest import PROJECTED, projected
 from redebit.plans.registry import query
+from redebit.session import checkpointed
 from redebit.sources import testdata as td
 
 NOW = "2024-01-20 00:00:00"
@@ -152,7 +153,7 @@ def cycle_priors(cycles: DataFrame) -> DataFrame:
         cal.day_of_month_ist(F.col("due_at")).alias("day_of_month"), cal.hour_band(F.col("due_at")).alias("hour_band"),
         F.lit("all").alias("tenant_id"), (~F.col("failed")).alias("success"),
     )
-    return priors.segment_priors(priors.segment_counts(outcomes), min_cohort=2, min_contributors=1)[0]
+    return checkpointed(priors.segment_priors(priors.segment_counts(outcomes), min_cohort=2, min_contributors=1)[0])
 
 
 def decision_slots(cycles: DataFrame, learned: DataFrame, keys: list[str], horizon: int = HORIZON) -> DataFrame:

@@ -11,6 +11,7 @@ from redebit.operators import legality, priors
 from redebit.plans import views_sql as v
 from redebit.plans.ingest import PROJECTED, projected
 from redebit.plans.registry import query
+from redebit.session import checkpointed
 from redebit.sources import testdata as td
 
 OUTCOMES = f"""
@@ -40,7 +41,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = priors.segment_counts(outcomes(spark, sf_dir))
-    return priors.segment_priors(counts, min_cohort=2, min_contributors=1)[0]
+    return checkpointed(priors.segment_priors(counts, min_cohort=2, min_contributors=1)[0])
 
 
 @query("outcomes_with_segment", v.with_(*_O) + """

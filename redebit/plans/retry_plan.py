@@ -12,6 +12,7 @@ from redebit.plans.ingest import PROJECTED
 from redebit.plans.planning import _layers, open_actions
 from redebit.plans.priors import OUTCOMES, PRIORS, SEGS
 from redebit.plans.registry import query
+from redebit.session import checkpointed
 from redebit.sources import testdata as td
 
 
@@ -75,9 +76,10 @@ SELECT d.cycle_ref, d.tenant_id, CAST(d.chosen AS INT) AS chosen_slot, epoch_us(
 FROM deb d JOIN ntc n USING (cycle_ref)""")
 def retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = td.payment_events(spark, sf_dir)
-    cycles = projection.project_cycles(projection.unique_events(events))
+    # The projected cycles feed the priors, the candidates and the open actions.
+    cycles = checkpointed(projection.project_cycles(projection.unique_events(events)))
     counts = priors.segment_counts(priors.outcomes_with_segment(events, cycles))
-    published, _ = priors.segment_priors(counts, min_cohort=2, min_contributors=1)
+    published = checkpointed(priors.segment_priors(counts, min_cohort=2, min_contributors=1)[0])
     now = F.lit("2024-01-02 00:00:00").cast("timestamp")
     planned = plan_retries(events, cycles, open_actions(cycles), published, now)
     return planned.select(
