@@ -195,7 +195,7 @@ def fleet_pair(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_overview(parts: dict[str, DataFrame]) -> DataFrame:
+def tenant_overview(parts: dict[str, DataFrame]) -> DataFrame:
     """One row per tenant from one conditional aggregate per table.
 
     ``parts`` maps a table label to an already aggregated frame keyed by tenant_id.

@@ -247,7 +247,7 @@ def rail_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.rail_mix(mandates)
 
 
-@query("pipeline_overview", v.with_(v.EVENTS, v.DECISIONS, """
+@query("tenant_overview", v.with_(v.EVENTS, v.DECISIONS, """
 ev AS (SELECT tenant_id, count(*) AS events, count(DISTINCT mandate_id) AS mandates,
     count(DISTINCT cycle_ref) AS cycles, count(CASE WHEN event_type = 'payment.failed' THEN 1 END) AS failures,
     CAST(sum(CASE WHEN event_type = 'payment.captured' THEN amount_paise ELSE 0 END) AS BIGINT) AS captured_paise
@@ -255,7 +255,7 @@ ev AS (SELECT tenant_id, count(*) AS events, count(DISTINCT mandate_id) AS manda
 dc AS (SELECT tenant_id, count(*) AS decisions, count(CASE WHEN verdict = 'ALLOW' THEN 1 END) AS allowed,
     count(CASE WHEN verdict <> 'ALLOW' THEN 1 END) AS refused FROM ev_decisions GROUP BY 1)""") + """
 SELECT * FROM ev FULL JOIN dc USING (tenant_id)""")
-def pipeline_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tenant_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     per_cycle = td.payment_events(spark, sf_dir).groupBy("tenant_id", "mandate_id", "cycle_ref").agg(
         F.count("*").alias("events"), F.count_if(kind == "payment.failed").alias("failures"),
@@ -274,7 +274,7 @@ def pipeline_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("decisions"), F.count_if(verdict == "ALLOW").alias("allowed"),
         F.count_if(verdict != "ALLOW").alias("refused"),
     )
-    return portfolio.pipeline_overview({"events": events, "decisions": decisions})
+    return portfolio.tenant_overview({"events": events, "decisions": decisions})
 
 
 UNITS = f"""
