@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redebit.session import shared_folder
+
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint location, a temporary one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="redebit-stream-")
-    return f"{root}/redebit-{uuid.uuid4().hex}"
+    """A fresh folder in the shared checkpoint location."""
+    return f"{shared_folder(spark)}/redebit-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str, writer: Callable[[DataFrame, int], None] | None = None) -> tuple[DataFrame, str]:
