@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redebit.llm import licenses, mixing, packing, quality_rules, secret_scan, token_counts
+from redebit.llm import licenses, mixing, packing, quality_model, quality_rules, secret_scan, token_counts, toxicity
 from redebit.llm.common import table
 
 QUERIES = {}
@@ -21,6 +21,11 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_quality_model")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op2_mixing", mixing.ORACLE)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -31,6 +36,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_secret_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
