@@ -30,6 +30,8 @@ from redebit.llm.common import in_fold, map_texts, stored
 #: Bounds of the two samples.
 POSITIVES = UNLABELLED = 10_000
 FOLDS, HELD_OUT = 3, 1
+#: Share of the negatives that may pass, so that positives at the edge do.
+EDGE = 0.03
 HIDDEN, EPOCHS, BATCH, RATE = 24, 25, 500, 0.003
 
 #: Character classes by byte; the last one holds what is in no other.
@@ -166,7 +168,11 @@ def train(found: DataFrame, labels: DataFrame) -> tuple[Network | None, float |
     half = lambda x, k: x[k::2] if len(x) > 1 else x
     first = fit(half(positive, 0), half(unlabelled, 0), None)
     prior = class_prior(first(half(positive, 1)), first(half(unlabelled, 1)))
-    return fit(positive, unlabelled, prior), prior
+    net = fit(positive, unlabelled, prior)
+    # The clipped risk leaves the level of the output open: set it so that the share of unlabelled
+    # text above zero is the class prior, with a little room for documents at the edge.
+    net.w[3] -= np.quantile(net(unlabelled), (1 - prior) * (1 - EDGE))
+    return net, prior
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@
    repeated) becomes a lattice: each character may stand for itself, for the letters it is
    used for, for a repetition, or for nothing. Viterbi finds the likeliest letters under the
    language model and the channel's costs.
-3. Restored words are scored by a lexicon of words and word beginnings, learned from one half
-   of a bounded sample of labelled rows; the other half fits how a text's word weights make
-   its score. Every whole text is restored and scored.
+3. Restored words are scored by a lexicon of words and word beginnings from a bounded sample
+   of labelled rows. One half of it gives a lexicon with which the other half fits how a
+   text's word weights make its score. Every whole text is restored and scored.
 
 Edge cases: a null text counts as empty; a text without words scores low; a null doc_id is
 never held out and never labelled; repeated rows are scored one by one. Without labels of both
@@ -34,6 +34,8 @@ from redebit.llm.common import in_fold, map_texts, stored
 LABELLED = 10_000
 FOLDS, HELD_OUT = 4, 2
 CUTOFF = 0.3
+#: Lengths of the word beginnings in the lexicon.
+BEGINNINGS = (4, 5, 6)
 #: Words remembered by each Python worker.
 CACHE_ROWS = 400_000
 
@@ -170,7 +172,7 @@ def spelled(text: str) -> list[str]:
 
 def keys(word: str) -> list[str]:
     """A word and its beginnings, as the lexicon lists them."""
-    return [f"={word}", *(f"{word[:k]}*" for k in (3, 4, 5) if len(word) > k)]
+    return [f"={word}", *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k)]
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -190,7 +192,10 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, i
 
 
 def lexicon(sample: DataFrame, model: LetterModel, most: int = 5000) -> dict[str, float]:
-    """Log odds of the words and beginnings that speak most clearly for toxic texts."""
+    """Log odds of the words and beginnings that speak most clearly for toxic texts.
+
+    The odds are lowered by their standard error, so that rare words need more contrast.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = (Counter(), Counter())
@@ -205,16 +210,16 @@ def lexicon(sample: DataFrame, model: LetterModel, most: int = 5000) -> dict[str
             names=["key", "clean", "toxic"],
         )
 
-    sums = sample.where("half = 0").select("text", "toxic").mapInArrow(run, "key string, clean long, toxic long")
+    sums = sample.select("text", "toxic").mapInArrow(run, "key string, clean long, toxic long")
     sums = sums.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n = {r.toxic: r.n for r in sample.where("half = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     sure = (odds - 1.5 * spread).alias("weight")
-    rows = sums.where(F.col("toxic") >= 3).select("key", "toxic", sure).where("weight > 0.5")
+    rows = sums.where(F.col("toxic") >= 3).select("key", "toxic", sure).where("weight > 1")
     return {r.key: r.weight for r in rows.orderBy(F.desc("weight"), F.desc("toxic"), "key").limit(most).collect()}
 
 
@@ -269,7 +274,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list, n
     """Lexicon, trigram counts and regression weights."""
     rows = letter_trigrams(docs).collect()  # at most 28**3
     sample, counts = labelled(docs, labels)
-    words = lexicon(sample, LetterModel.of(rows))
+    first = LetterModel.of(rows)
+    words = lexicon(sample.where("half = 0"), first)
     own = LetterModel.of(rows, {k[1:]: w for k, w in words.items() if k[0] == "="})
     if not words:
         return {}, rows, None
@@ -287,7 +293,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list, n
         return {}, rows, None
     # Each kind weighs as it does among all labelled rows of the training folds.
     share = np.where(y == 1, counts.get(1, 0) / y.sum(), counts.get(0, 0) / (len(y) - y.sum()))
-    return words, rows, logistic(np.array([r.x for r in fitted]), y, share / share.mean())
+    # How weights make a score was fitted on rows the lexicon had not seen; the final one may see them all.
+    return lexicon(sample, first), rows, logistic(np.array([r.x for r in fitted]), y, share / share.mean())
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
