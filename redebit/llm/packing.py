@@ -35,8 +35,8 @@ from redebit.llm.common import stored
 TOKENIZER = "word_bpe_49k.json"
 CLOSING_ID = 2
 CAPACITY = 4096
-#: Words whose ids each Python worker remembers, and the longest one worth remembering.
-CACHE_ROWS, CACHE_BYTES = 600_000, 64
+#: Words whose ids each Python worker remembers, and the longest kept from one group to the next.
+CACHE_ROWS, CACHE_BYTES = 1_200_000, 64
 #: Documents whose new words are encoded in one call.
 GROUP = 128
 
@@ -51,47 +51,76 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, bytes]:
-        """A word and the full stop or comma behind it, which the tokenizer parts as well.
-
-        Letters are lower-cased where they are ASCII, as its normaliser does.
-        """
-        core, mark = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
-        if core.isalpha():
-            return core.lower(), mark
-        if mark and core.decode().isalpha():
-            return core, mark
-        return word, b""
+    def encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only: one call, since each ends with its one end-of-word token."""
+        text = b" ".join(words).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self.encode(words)
+        raw, cuts = ids.tobytes(), (4 * stops).tolist()
+        return [raw[i:j] for i, j in zip([0, *cuts], cuts)]
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not met before; those worth it are remembered."""
-        split = {w: self.parts(w) for w in words}
-        cores = list({p for pair in split.values() for p in pair if p and p not in self.known})
-        own = dict(zip(cores, self.encode(cores))) if cores else {}
-        both = lambda p: own[p] if p in own else self.known[p] if p else b""
-        found = {w: both(core) + both(mark) for w, (core, mark) in split.items()}
-        if len(self.known) + len(found) + len(own) > CACHE_ROWS:
-            self.known.clear()
-        self.known.update((w, i) for x in (own, found) for w, i in x.items() if len(w) <= CACHE_BYTES)
-        return found
+        """Ids of words not met before, which are remembered.
+
+        A full stop or comma behind letters is parted from them, and ASCII letters are
+        lower-cased, as the tokenizer does both; so fewer words need its call.
+        """
+        known, letters, others, split = self.known, {}, [], []
+        for word in words:
+            mark = word[-1:]
+            core = word[:-1] if mark == b"." or mark == b"," else word
+            if core.isalpha():
+                core = core.lower()
+            elif core is word or not core.decode().isalpha():
+                if word.decode().isalpha():
+                    letters[word] = None
+                    split.append((word, word, b""))
+                else:
+                    others.append(word)
+                continue
+            split.append((word, core, b"" if len(core) == len(word) else mark))
+            if core not in known:
+                letters[core] = None
+        own = dict(zip(others, self.encode(others))) if others else {}
+        if letters:
+            cores = list(letters)
+            own.update(zip(cores, self.encode_letters(cores)))
+        for mark in (b".", b","):
+            if mark not in known:
+                own[mark] = self.encode([mark])[0]
+        marks = {b"": b"", **{m: known.get(m) or own[m] for m in (b".", b",")}}
+        for word, core, mark in split:
+            if word not in own:
+                own[word] = (own[core] if core in own else known[core]) + marks[mark]
+        if len(known) + len(own) > CACHE_ROWS:
+            known.clear()
+        known.update(own)
+        self.long += [w for w in own if len(w) > CACHE_BYTES]
+        return own
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
+        while self.long:
+            self.known.pop(self.long.pop(), None)
         split = [t.encode().split() for t in texts]
         fresh = self.learn(set().union(*split).difference(self.known))
         for words in split:
             try:
                 yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:  # long words, or the memory was emptied meanwhile
+            except KeyError:  # the memory was emptied meanwhile
                 missing = {w for w in words if w not in self.known and w not in fresh}
-                if missing:
-                    fresh |= self.learn(missing)
-                yield b"".join(fresh[w] if w in fresh else self.known[w] for w in words)
+                fresh = {**fresh, **self.known, **(self.learn(missing) if missing else {})}
+                yield b"".join(map(fresh.__getitem__, words))
 
 
 @lru_cache(maxsize=4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redebit.llm import licenses, mixing, packing, quality_model, quality_rules, secret_scan, token_counts, toxicity
+from redebit.llm import jaccard_join, licenses, mixing, packing, quality_model, quality_rules, secret_scan, token_counts, toxicity
 from redebit.llm.common import table
 
 QUERIES = {}
@@ -56,6 +56,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op10_licenses", licenses.oracle())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
