@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redebit.llm import jaccard_join, licenses, mixing, packing, quality_model, quality_rules, secret_scan, token_counts, toxicity
+from redebit.llm import jaccard_join, licenses, mixing, packing, quality_model, quality_rules, secret_scan, token_counts, topk_search, toxicity
 from redebit.llm.common import table
 
 QUERIES = {}
@@ -61,6 +61,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op9_topk_search", topk_search.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_licenses", licenses.oracle())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
