@@ -54,7 +54,7 @@ def map_texts(
             new = [pa.array(got[f.name], type=arrow.field(f.name).type) for f in made.fields]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], schema=arrow)
 
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("__measured")).mapInArrow(run, schema)
 
 
 def in_fold(doc_id: str, divisor: int, remainder: int):

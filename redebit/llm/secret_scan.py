@@ -149,6 +149,11 @@ def report(found: DataFrame, formats: Formats) -> DataFrame:
     return found.select("doc_id", "base", "runs").mapInArrow(run, schema)
 
 
+def learned(docs: DataFrame) -> Formats:
+    """The formats of the credentials in ``docs``."""
+    return Formats(examples(stored(scanned(docs))))
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format, format_score."""
     found = stored(scanned(docs))
