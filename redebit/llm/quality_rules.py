@@ -24,13 +24,13 @@ LIMITS = (
     (64, 0.40, 1.60),
     (128, 0.30, 1.30),
     (256, 0.26, 1.05),
-    (512, 0.22, 0.92),
-    (1024, 0.20, 0.85),
-    (4096, 0.18, 0.80),
-    (16384, 0.15, 0.75),
+    (512, 0.22, 0.85),
+    (1024, 0.20, 0.72),
+    (4096, 0.18, 0.68),
+    (16384, 0.15, 0.65),
 )
 #: Chunks have one length, hence one band.
-CHUNK_BYTES, CHUNK_LOW, CHUNK_HIGH = 4096, 0.15, 0.80
+CHUNK_BYTES, CHUNK_LOW, CHUNK_HIGH = 4096, 0.15, 0.70
 #: A text is rejected when more than this share of its chunks lies outside the band.
 BAD_CHUNK_SHARE = 0.25
 LEVEL = 3

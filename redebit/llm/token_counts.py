@@ -132,7 +132,7 @@ class PrefixCounter:
         """Tokens of the whole text."""
         if not text:
             return 0
-        if "  " in text or MARK in text:
+        if "  " in text or text[0] == " " or MARK in text:
             parts = self.parts.findall(self.marked(text))
         else:
             cut = text.replace(" ", f" {MARK}")

@@ -46,7 +46,7 @@ LEET = {
 }
 SEPARATORS = " .-_*~/\\"
 #: Costs of the channel in natural logarithms.
-SUBSTITUTED, REPEATED, DROPPED = 1.0, 0.3, 0.2
+SUBSTITUTED, REPEATED, DROPPED, LOST = 1.0, 0.3, 0.2, 8.0
 #: Longer words are no obfuscation: they are scored as they stand.
 LONGEST = 40
 LETTERS = 28  # 0: no letter, 1-26: a-z, 27: any other letter
@@ -108,20 +108,26 @@ class LetterModel:
         return cls(counts)
 
 
-def choices(c: str) -> list[tuple[str, float]]:
-    """Letters that a character may stand for, with their costs; "" is nothing."""
+def choices(c: str, apart: bool) -> list[tuple[str, float]]:
+    """Letters that a character may stand for, with their costs; "" is nothing.
+
+    Where letters are set apart, what stands between them is nothing; a sign elsewhere is
+    rather a letter than nothing.
+    """
+    if apart and c in SEPARATORS:
+        return [("", DROPPED)]
     found = [(c, 0.0)] if c.isalpha() else []
     found += [(x, SUBSTITUTED) for x in LEET.get(c, "")]
-    if c in SEPARATORS or c in EDGES or not found:
-        found.append(("", DROPPED))
-    return found
+    if not c.isalnum():
+        found.append(("", LOST if found else DROPPED))
+    return found or [("", DROPPED)]
 
 
 def code_of(letter: str) -> int:
     return ord(letter) - 96 if "a" <= letter <= "z" else 27
 
 
-def decode(word: str, model: LetterModel) -> str:
+def decode(word: str, model: LetterModel, apart: bool = False) -> str:
     """The likeliest letters behind ``word`` (Viterbi over the last two letters).
 
     A character equal to the one before may also count as its repetition and add nothing.
@@ -136,7 +142,7 @@ def decode(word: str, model: LetterModel) -> str:
             if state not in after or value > after[state][0]:
                 after[state] = (value, letters)
 
-        options = choices(c)
+        options = choices(c, apart)
         for (a, b), (value, letters) in states.items():
             if c == before and letters:
                 reach((a, b), value - REPEATED, letters)
@@ -156,12 +162,13 @@ def plain(word: str) -> str:
 
 def restored(word: str, model: LetterModel) -> str | None:
     """What stands behind a word that looks obfuscated; None for ordinary words."""
-    low = word.lower().rstrip(".,;:?\"'")
+    low = word.lower().rstrip(".,;:?!\"'")
     if len(low) < 3 or len(low) > LONGEST:
         return None
     ascii_ = unicodedata.normalize("NFKD", low) if not low.isascii() else low
-    if MIXED.search(ascii_) or APART.match(low) or THRICE.search(low):
-        return decode(low, model)
+    apart = APART.match(low) is not None
+    if apart or MIXED.search(ascii_) or THRICE.search(low):
+        return decode(low, model, apart)
     return None
 
 
@@ -188,7 +195,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, i
     # Bounded by 2 * LABELLED rows.
     few = F.broadcast(parts[0].union(parts[1]))
     half = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).cast("int")
-    return stored(docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic", half.alias("half")).limit(8 * LABELLED)), counts
+    return stored(docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic", half.alias("half"))), counts
 
 
 def lexicon(sample: DataFrame, model: LetterModel, most: int = 5000) -> dict[str, float]:
@@ -287,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list, n
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     kind = sample.schema["toxic"].dataType.simpleString()
-    fitted = sample.where("half = 1").select("text", "toxic").mapInArrow(run, f"toxic {kind}, x array<double>").collect()
+    fitted = sample.where("half = 1").select("text", "toxic").mapInArrow(run, f"toxic {kind}, x array<double>").limit(8 * LABELLED).collect()
     y = np.array([r.toxic for r in fitted], float)
     if not 0 < y.sum() < len(y):
         return {}, rows, None

@@ -1,0 +1,150 @@
+"""Operators on single texts, against the libraries and plain Python."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from redebit.llm import automata, licenses, quality_rules, secret_scan, token_counts
+from tests.llm import fixtures
+
+MODEL = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.MODEL))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return fixtures.documents(spark).cache()
+
+
+def rows(df, *order):
+    return [r.asDict() for r in df.orderBy(*order).collect()]
+
+
+def test_token_counts_equal_the_library(spark, docs):
+    got = rows(token_counts.token_counts(docs, limit=20), "doc_id", "n_bytes")
+    want = sorted(
+        (
+            (r.doc_id, len((r.text or "").encode()), len(MODEL.encode(r.text or "")))
+            for r in docs.select("doc_id", "text").collect()
+        ),
+        key=lambda r: (r[0] is not None, r[0] or 0, r[1]),
+    )
+    assert [(r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got] == [(*w, w[2] > 20) for w in want]
+    assert token_counts.token_counts(fixtures.empty(spark)).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abthein  ▁\n\t.é日<>0x"), max_size=30))
+def test_every_prefix_has_its_exact_count(text):
+    counts = token_counts.counter(public_tokenizers.path(token_counts.MODEL)).prefixes(text)
+    assert counts.tolist() == [len(MODEL.encode(text[:i])) for i in range(len(text) + 1)]
+
+
+def test_prefix_table_answers_budgets(spark):
+    text = "the quick  brown fox\njumps over it"
+    table = token_counts.prefix_table(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))
+    got = {
+        r.doc_id: (r.n, r.k)
+        for r in table.select(
+            "doc_id", token_counts.tokens_of_prefix(9).alias("n"), token_counts.prefix_within(4).alias("k")
+        ).collect()
+    }
+    best = max(i for i in range(len(text) + 1) if len(MODEL.encode(text[:i])) <= 4)
+    assert got == {1: (len(MODEL.encode(text[:9])), best), 2: (0, 0)}
+
+
+def plain_rules(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    repeated = {i + j for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for j in range(5)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(words) < 10 or 100 * len(repeated) > 20 * len(words)
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(repeated), failed
+
+
+def test_quality_rules_equal_plain_python(spark, docs):
+    got = Counter(
+        (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+        for r in quality_rules.quality_rules(docs).collect()
+    )
+    assert got == Counter((r.doc_id, *plain_rules(r.text or "")) for r in docs.select("doc_id", "text").collect())
+    assert quality_rules.quality_rules(fixtures.empty(spark)).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=40))
+def test_repeated_words(words):
+    text = b" ".join(words).decode()
+    assert quality_rules.repeated_words(words) == plain_rules(text)[4]
+
+
+def test_compression_bands_reject_both_ends(spark):
+    rng = np.random.default_rng(1)
+    noise = " ".join("".join(chr(c) for c in rng.integers(33, 0x2FF, 9)) for _ in range(900))
+    loop = "".join(f"{w} {i % 7} " for i, w in enumerate(fixtures.prose(5, 60).split() * 60))
+    made = [(1, fixtures.prose(5, 900)), (2, noise), (3, loop)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[1] and not got[2] and not got[3]
+
+
+def plain_spans(text):
+    found = [
+        (m.start(), 0, m.end())
+        for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A)
+        if len(m[1]) >= 8
+    ]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_base_spans_equal_plain_patterns(spark, docs):
+    got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secret_scan.find_secrets(docs).collect()}
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        spans = plain_spans(r.text or "")
+        text = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        want.add((r.doc_id, *(sum(k == i for _, k, _ in spans) for i in range(3)), hashlib.sha256(text.encode()).hexdigest()))
+    assert got == want
+    assert secret_scan.find_secrets(fixtures.empty(spark)).count() == 0
+
+
+def test_formats_find_unlabelled_credentials(spark):
+    rng = np.random.default_rng(3)
+    digits = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    made = [(i, f"{fixtures.prose(i, 30)} password={digits(18)} end") for i in range(150)]
+    made += [(i, fixtures.prose(i, 60)) for i in range(150, 400)]
+    made += [(900, f"it was {digits(18)} then"), (901, "see internationalisation2024notes/here.html or mail6.example.com")]
+    got = {r.doc_id: r for r in secret_scan.find_secrets(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[900].spans == "format:7:25" and got[901].spans == ""
+    masked = spark.createDataFrame(made, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in secret_scan.redact(masked, secret_scan.learned(masked)).collect()}
+    assert texts[900] == "it was [SECRET] then" and "password=" not in texts[0] and texts[200] == made[200][1]
+
+
+def test_automaton_gives_a_distribution():
+    model = automata.learn(["ab12", "ab34", "cd5", "ef6789"] * 30).scorer()
+    assert model("ab12") > model("!!!!") and model("cd56") > model("12ab")
+
+
+def test_license_queries_equal_sql(spark, docs):
+    import duckdb
+
+    documents = docs.select("doc_id", "text").toPandas()  # noqa: F841 - read by the SQL
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.execute(licenses.oracle()).fetchall()
+    names = [d[0] for d in con.description]
+    got = [tuple(r) for r in licenses.scan_licenses(docs).select(*names).collect()]
+    key = lambda r: tuple(str(c) for c in r)
+    nan = lambda r: tuple(None if isinstance(c, float) and c != c else int(c) if isinstance(c, float) and n in ("doc_id", "first_word", "last_word") else c for n, c in zip(names, r))
+    assert sorted(map(nan, got), key=key) == sorted(map(nan, want), key=key)
+    assert licenses.scan_licenses(fixtures.empty(spark)).count() == 0
+    assert licenses.license_blocks(docs).where("containment >= 0.9").count() >= 3
