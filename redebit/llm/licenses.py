@@ -76,8 +76,12 @@ ALL = tuple(Template(*t) for t in TEMPLATES)
 
 
 def spaced(text: Column) -> Column:
-    """The words of a text with one space before, between and behind them."""
-    small = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    """The words of a text with one space before, between and behind them.
+
+    Lower-casing all letters gives the same words as lower-casing A-Z, but for the Kelvin sign,
+    the one other character that becomes an ASCII letter; it is put out of the way first.
+    """
+    small = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(small, GAP, " ")), F.lit(" "))
 
 
@@ -99,6 +103,11 @@ def phrase_places(line: Column, n_words: Column, phrase: str) -> Column:
     return F.when(F.contains(line, F.lit(f" {phrase} ")), found).otherwise(none)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once per row, however often lambdas in ``use`` refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words_of(line: Column) -> Column:
     return F.split(F.trim(line), " ")
 
@@ -158,7 +167,9 @@ def with_blocks(docs: DataFrame, keep: list[str]) -> DataFrame:
     base = base.withColumn(
         "n_words", F.when(F.trim("line") == "", 0).otherwise(spaces(F.col("line")) - 1).cast("long")
     )
-    found = F.concat(*(matching_blocks(words_of(F.col("line")), F.col("n_words"), t, order) for t in ALL))
+    found = bound(
+        words_of(F.col("line")), lambda words: F.concat(*(matching_blocks(words, F.size(words), t, order) for t in ALL))
+    )
     # One regular expression over the prefix words of all templates decides whether blocks are formed.
     any_rare = F.col("line").rlike(f" (?:{'|'.join(rare)}) ")
     return base.withColumn("blocks", F.when(any_rare, found).otherwise(F.array()).cast(BLOCKS))
