@@ -76,14 +76,15 @@ def exact_quantiles(counts: DataFrame, probabilities: list[float]) -> DataFrame:
 
 
 def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
-    """Population stability index per feature of two long frames (feature, value).
+    """Population stability index per feature of two long frames (feature, value); missing values are left out.
 
     Bins come from the reference deciles; a value holding a tenth of the reference gets a
     bin of its own, and a constant reference is compared as below / equal / above.
     """
     # Value counts are read several times below; the rows behind them only once.
-    ref = checkpointed(reference.groupBy("feature", "value").agg(F.count("*").alias("n")))
-    cur = current.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    known = "value IS NOT NULL AND NOT isnan(value)"
+    ref = checkpointed(reference.where(known).groupBy("feature", "value").agg(F.count("*").alias("n")))
+    cur = current.where(known).groupBy("feature", "value").agg(F.count("*").alias("n"))
     marks = exact_quantiles(ref, [i / bins for i in range(bins + 1)])
     spike = ref.groupBy("feature").agg(F.max(F.struct("n", (-F.col("value")).alias("neg"))).alias("_top"))
     edges = marks.join(spike, "feature").select(

@@ -33,7 +33,7 @@ MANDATE_TRANSITIONS = {
 }
 
 
-def cycle_facts(with_deadline: bool = True) -> list[Column]:
+def cycle_facts() -> list[Column]:
     """Aggregates that fold deduplicated events of one cycle; none depends on row order."""
     order = F.struct("occurred_at", "event_id")
     failed = F.col("event_type").isin(*FAILURES)
@@ -45,11 +45,8 @@ def cycle_facts(with_deadline: bool = True) -> list[Column]:
         F.min_by(F.coalesce("amount_paise", F.lit(0)), F.when(paid, order)).alias("_paid_paise"),
         F.min_by("amount_paise", F.when(F.col("amount_paise") != 0, order)).alias("_amount"),
         F.min("occurred_at").alias("due_at"),
-    ] + (
-        [F.min_by("deadline_at", F.when(F.col("deadline_at").isNotNull(), order)).alias("deadline_at")]
-        if with_deadline
-        else []
-    )
+        F.min_by("deadline_at", F.when(F.col("deadline_at").isNotNull(), order)).alias("deadline_at"),
+    ]
 
 
 def cycle_columns(keys: list[str]) -> list[Column]:
@@ -69,7 +66,13 @@ def cycle_columns(keys: list[str]) -> list[Column]:
     ]
 
 
-CYCLE_KEYS = ["tenant_id", "mandate_id", "customer_id", "rail", "mcc", "cycle_ref"]
+CYCLE_KEYS = ["tenant_id", "cycle_ref"]
+CYCLE_ATTRIBUTES = ["mandate_id", "customer_id", "rail", "mcc"]
+
+
+def first_known(name: str) -> Column:
+    """The first value that is not NULL, in event order."""
+    return F.min_by(name, F.when(F.col(name).isNotNull(), F.struct("occurred_at", "event_id"))).alias(name)
 
 
 def unique_events(events: DataFrame) -> DataFrame:
@@ -78,14 +81,19 @@ def unique_events(events: DataFrame) -> DataFrame:
 
 
 def project_cycles(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per cycle from deduplicated events; cycles with no billing date are left out.
+    """One row per cycle; cycles with no billing date on any event are left out.
 
+    Re-deliveries count once. What only describes the cycle (mandate, customer, rail, mcc) and
+    its deadline is the first known value, so events that lack or change it stay in one cycle.
     ``budget_left`` is derived: a fold never invents a budget_exhausted state.
     """
     keys = keys or CYCLE_KEYS
-    folded = events.where(F.col("cycle_ref").isNotNull()).groupBy(*keys).agg(*cycle_facts())
-    cycles = folded.select(*cycle_columns(keys)).where("deadline_at IS NOT NULL")
-    if "rail" not in keys:
+    own = unique_events(events.where(F.col("cycle_ref").isNotNull()))
+    facts = [first_known(a) for a in CYCLE_ATTRIBUTES if a not in keys and a in events.columns]
+    folded = own.groupBy(*keys).agg(*cycle_facts(), *facts)
+    names = [a for a in CYCLE_ATTRIBUTES if a not in keys and a in events.columns]
+    cycles = folded.select(*cycle_columns(keys), *names).where("deadline_at IS NOT NULL")
+    if "rail" not in cycles.columns:
         return cycles
     budget = cal.attempt_budget(F.col("rail"))
     return cycles.withColumn("attempt_budget", budget).withColumn(

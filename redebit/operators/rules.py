@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redebit.operators import legality
 from redebit.sources.events import VERDICT_RANK
 
-MAX_RULES = 5_000  # a rule table is a human-maintained dimension
 FACTS = {
     "hour_ist": "double", "pdn_sent_at": "timestamp", "hours_since_pdn": "double", "is_next_day_debit": "boolean",
     "amount_paise": "bigint", "afa_free_cap": "bigint", "dlt_template_id": "string", "header_series": "string",
@@ -17,6 +19,48 @@ FACTS = {
 }
 
 
+#: What a predicate may be made of: comparisons, logic, arithmetic that cannot fail, and these functions.
+NODES = {
+    "And", "Or", "Not", "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual",
+    "In", "IsNull", "IsNotNull", "Between", "UnresolvedBetween", "Literal", "UnresolvedAttribute", "UnresolvedFunction",
+    "CaseWhen", "If",
+}
+FUNCTIONS = {"between", "coalesce", "least", "greatest", "upper", "lower", "trim", "length", "try_add", "try_subtract", "try_multiply", "try_divide", "startswith", "endswith", "contains"}
+
+
+def admitted(spark: SparkSession, predicate: str | None) -> bool:
+    """Whether Spark reads ``predicate`` as an expression over ``FACTS`` made of admitted parts only.
+
+    Rule text comes from files: nothing else may run, and nothing that can fail at run time, so
+    that a bad rule fails by itself and never the job.
+    """
+    if not predicate:
+        return False
+    try:
+        waiting = [spark._jsparkSession.sessionState().sqlParser().parseExpression(predicate)]
+    except Exception:  # noqa: BLE001 - a text that Spark cannot read is not admitted
+        return False
+    while waiting:
+        node = waiting.pop()
+        kind = node.getClass().getSimpleName()
+        if kind not in NODES:
+            return False
+        if kind == "UnresolvedAttribute" and node.name() not in FACTS:
+            return False
+        if kind == "UnresolvedFunction" and node.nameParts().mkString(".").lower() not in FUNCTIONS:
+            return False
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.length())]
+    try:
+        checked = spark.createDataFrame([], ", ".join(f"{n} {k}" for n, k in FACTS.items())).select(F.expr(predicate).alias("ok"))
+    except AnalysisException:
+        return False
+    # Comparing text with numbers would cast the text, which fails at run time; widening numbers is safe.
+    casts = re.findall(r"cast\((\w*)", checked._jdf.queryExecution().analyzed().toString())
+    numbers = {n for n, k in FACTS.items() if k in ("int", "bigint", "double")}
+    return checked.schema["ok"].dataType.simpleString() == "boolean" and all(c in numbers or c.isdigit() for c in casts)
+
+
 def rules_in_force(contexts: DataFrame, rules: DataFrame) -> DataFrame:
     """Newest version per rule for each (action_type, rail, as_of) context."""
     by_action = rules.select("*", F.explode("applies_to").alias("action_type")).withColumnRenamed("as_of", "rule_as_of")
@@ -42,9 +86,10 @@ def with_afa_cap(actions: DataFrame, caps: DataFrame) -> DataFrame:
     return joined.withColumn("afa_free_cap", F.coalesce(known(F.col("_caps")), known(F.col("_default")))).drop("_caps", "_default")
 
 
-def _check(rule, applies: Column) -> Column:
-    """A rule's outcome for an action it applies to; NULL where it does not apply."""
-    passed = F.coalesce(F.expr(rule["predicate"]), F.lit(False))
+def _check(spark: SparkSession, rule, applies: Column) -> Column:
+    """A rule's outcome for an action it applies to; NULL where it does not apply. A rule not admitted fails."""
+    usable = admitted(spark, rule["predicate"])
+    passed = F.coalesce(F.expr(rule["predicate"]), F.lit(False)) if usable else F.lit(False)
     verdict = F.when(passed, "ALLOW").otherwise(rule["on_fail"])
     return F.when(
         applies,
@@ -55,16 +100,13 @@ def _check(rule, applies: Column) -> Column:
 def evaluate_rules(actions: DataFrame, rules: DataFrame) -> DataFrame:
     """Every rule in force against every action, worst verdict winning.
 
-    The few rule rows are read once and become column expressions, so any number of actions
-    is judged in one narrow pass. A predicate that is NULL (a missing fact) fails; an action
+    The rule table, kept by people, is read once and becomes column expressions, so any number
+    of actions is judged in one narrow pass. A predicate that is NULL (a missing fact) or not
+    admitted fails; an action
     no rule covers is denied and marked degraded. Needs the columns of ``FACTS`` plus
     ``action_type``, ``rail`` and ``as_of``.
     """
-    table = sorted(
-        rules.limit(MAX_RULES + 1).collect(), key=lambda r: (r["rule_id"], r["as_of"], r["version"]), reverse=True
-    )
-    if len(table) > MAX_RULES:
-        raise ValueError("the rule table is not a dimension")
+    table = sorted(rules.collect(), key=lambda r: (r["rule_id"], r["as_of"], r["version"]), reverse=True)
     missing = [F.lit(None).cast(kind).alias(name) for name, kind in FACTS.items() if name not in actions.columns]
     facts = actions.select("*", *missing) if missing else actions
     checks: dict[str, Column] = {}
@@ -72,7 +114,7 @@ def evaluate_rules(actions: DataFrame, rules: DataFrame) -> DataFrame:
         applies = F.col("action_type").isin(*rule["applies_to"]) & (F.col("as_of") >= F.lit(rule["as_of"]))
         if rule["rails"] is not None:
             applies = applies & F.coalesce(F.col("rail").isin(*rule["rails"]), F.lit(False))
-        outcome = _check(rule, applies)
+        outcome = _check(actions.sparkSession, rule, applies)
         newer = checks.get(rule["rule_id"])
         checks[rule["rule_id"]] = outcome if newer is None else F.coalesce(newer, outcome)
     ordered = [checks[k] for k in sorted(checks)]

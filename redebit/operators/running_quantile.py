@@ -23,7 +23,7 @@ RADIX = 1 << DIGIT_BITS
 
 def running_percentiles(df: DataFrame, keys: list[str], order: list[str], block: Column,
                         wanted: dict[str, tuple[Column, float]]) -> DataFrame:
-    """Add one linear-interpolated percentile per entry; values are non-negative whole numbers.
+    """Add one linear-interpolated percentile per entry; values are whole numbers of any sign.
 
     ``order`` must identify a row within its key. One small job finds out whether any key is
     hot; without hot keys the plan holds a plain window only.
@@ -31,9 +31,12 @@ def running_percentiles(df: DataFrame, keys: list[str], order: list[str], block:
     values = {name: f"_v_{name}" for name in wanted}
     tagged = df.select("*", *[value.cast("bigint").alias(values[n]) for n, (value, _) in wanted.items()])
     sizes = tagged.groupBy(*keys).agg(
-        F.count("*").alias("_rows"), *[F.max(c).alias(c) for c in values.values()]
+        F.count("*").alias("_rows"), *[f(c).alias(f"{p}{c}") for c in values.values() for p, f in (("_hi", F.max), ("_lo", F.min))]
     ).where(F.col("_rows") > HOT_ROWS)
-    tops = sizes.agg(F.count("*").alias("_keys"), *[F.max(c).alias(c) for c in values.values()]).first()
+    tops = sizes.agg(
+        F.count("*").alias("_keys"),
+        *[f(f"{p}{c}").alias(f"{p}{c}") for c in values.values() for p, f in (("_hi", F.max), ("_lo", F.min))],
+    ).first()
     earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
     def windowed(rows: DataFrame) -> DataFrame:
@@ -44,13 +47,23 @@ def running_percentiles(df: DataFrame, keys: list[str], order: list[str], block:
 
     if tops["_keys"] == 0:
         return windowed(tagged)
-    hot = sizes.select(*keys)
-    usual = windowed(tagged.join(hot, keys, "left_anti"))
-    busy = checkpointed(tagged.join(hot, keys, "left_semi").withColumn(ordered.BLOCK + "_t", block))
+    hot = sizes.select(*[F.col(k).alias(f"_of_{k}") for k in keys])
+    is_hot = F.lit(True)
+    for k in keys:
+        is_hot = is_hot & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    usual = windowed(tagged.join(hot, is_hot, "left_anti"))
+    busy = checkpointed(tagged.join(hot, is_hot, "left_semi").withColumn(ordered.BLOCK + "_t", block))
     out = busy.select(*df.columns)
     for name, (_, p) in wanted.items():
-        found = _descend(busy, keys, order, values[name], p, tops[values[name]] or 0, name)
-        out = out.join(found, [*keys, *order], "left")
+        v = values[name]
+        # Digits need values from 0 on: the descent runs on the distance from the least value.
+        low = tops[f"_lo{v}"] or 0
+        found = _descend(busy.withColumn(v, F.col(v) - low), keys, order, v, p, (tops[f"_hi{v}"] or 0) - low, name)
+        found = found.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, *order)], (F.col(name) + low).alias(name))
+        match = F.lit(True)
+        for c in (*keys, *order):
+            match = match & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        out = out.join(found, match, "left").drop(*[f"_of_{c}" for c in (*keys, *order)])
     return usual.unionByName(out)
 
 

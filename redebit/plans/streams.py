@@ -13,8 +13,6 @@ from redebit.sources import testdata as td
 from redebit.streaming import jobs, run
 
 _PAID = ("payment.failed", "payment.captured")
-# Windows still open at the end of the log stay in state; 3600 is the watermark delay.
-_MARK = f"mark AS (SELECT max({v.secs('occurred_at')}) - 3600 AS w FROM ev_events WHERE event_type IN {_PAID})"
 
 
 @query("stream_projection", v.with_(v.EVENTS, PROJECTED) + f"""
@@ -40,24 +38,28 @@ def _attempts(events: DataFrame) -> DataFrame:
     )
 
 
-@query("stream_issuer_windows", v.with_(v.EVENTS, ATT, _MARK) + """
-SELECT issuer, start_s, attempts, successes FROM win, mark WHERE start_s + 86400 <= w""")
+@query("stream_issuer_windows", v.with_(v.EVENTS, ATT) + """
+SELECT issuer, start_s, attempts, successes FROM win""")
 def stream_issuer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = jobs.issuer_windows(_attempts(td.payment_event_stream(spark, sf_dir)), "1 hour", "1 day")
-    rows, _ = run.drain(windows, "append")
-    return rows.select("issuer", F.unix_seconds("window_start").alias("start_s"), "attempts", "successes")
+    rows, _ = run.drain(windows, "update")
+    return run.latest(rows, ["issuer", "window_start"]).select(
+        "issuer", F.unix_seconds("window_start").alias("start_s"), "attempts", "successes"
+    )
 
 
-@query("stream_issuer_detector", "WITH RECURSIVE " + v.with_(v.EVENTS, ATT, _CUSUM, _MARK)[5:] + """
+@query("stream_issuer_detector", "WITH RECURSIVE " + v.with_(v.EVENTS, ATT, _CUSUM)[5:] + """
 SELECT issuer, start_s, round(cusum, 6) AS cusum, since AS degraded_since_s, CAST(outages AS INT) AS outages
-FROM st, mark WHERE rn > 0 AND start_s + 86400 <= w""")
+FROM st WHERE rn > 0""")
 def stream_issuer_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two chained jobs: closed windows are written first, then read as a stream by the detector."""
+    """Two chained jobs: the windows' latest counts are written first, then read as a stream by the detector."""
     attempts = _attempts(td.payment_events(spark, sf_dir))
     rate = attempts.agg(F.greatest(F.count_if("success") / F.count("*"), F.lit(0.05)).alias("b")).first()["b"]
     windows = jobs.issuer_windows(_attempts(td.payment_event_stream(spark, sf_dir)), "1 hour", "1 day")
-    written, root = run.drain(windows, "append")
-    stream = spark.readStream.schema(written.schema).option("recursiveFileLookup", "true").parquet(f"{root}/rows")
+    written, root = run.drain(windows, "update")
+    latest = run.latest(written, ["issuer", "window_start"])
+    latest.write.parquet(f"{root}/latest")
+    stream = spark.readStream.schema(latest.schema).parquet(f"{root}/latest")
     rows, _ = run.drain(jobs.issuer_detector(stream, rate, **TUNING), "update")
     return rows.select(
         "issuer", "start_s", F.round("cusum", 6).alias("cusum"), "degraded_since_s", "outages"
@@ -65,7 +67,6 @@ def stream_issuer_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("stream_retry_sessions", v.with_(v.EVENTS, f"""
-mark AS (SELECT max(epoch_us(occurred_at)) - 3600000000 AS w FROM ev_events WHERE event_type IN {_PAID}),
 pays AS (SELECT * FROM ev_events WHERE event_type IN {_PAID}),
 marked AS (
   SELECT *, CASE WHEN lag(occurred_at) OVER w IS NULL OR occurred_at - lag(occurred_at) OVER w >= INTERVAL 2 DAY THEN 1 ELSE 0 END AS fresh
@@ -73,10 +74,11 @@ marked AS (
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY mandate_id, cycle_ref ORDER BY occurred_at, event_id) AS isl FROM marked),
 ses AS (SELECT mandate_id, cycle_ref, epoch_us(min(occurred_at)) AS started_us, epoch_us(max(occurred_at)) + 172800000000 AS closed_us,
   count(CASE WHEN event_type = 'payment.failed' THEN 1 END) AS failures FROM islands GROUP BY mandate_id, cycle_ref, isl)""") + """
-SELECT mandate_id, cycle_ref, started_us, closed_us, failures FROM ses, mark WHERE closed_us // 1000 <= w // 1000""")
+SELECT mandate_id, cycle_ref, started_us, closed_us, failures FROM ses""")
 def stream_retry_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = run.drain(jobs.retry_sessions(td.payment_event_stream(spark, sf_dir)), "append")
-    return rows.select(
+    # Sessions cannot be updated in place; complete mode gives all of them with each batch.
+    rows, _ = run.drain(jobs.retry_sessions(td.payment_event_stream(spark, sf_dir)), "complete")
+    return rows.where(F.col("batch_id") == rows.select(F.max("batch_id")).scalar()).select(
         "mandate_id", "cycle_ref", F.unix_micros("started_at").alias("started_us"), F.unix_micros("closed_at").alias("closed_us"), "failures"
     )
 
@@ -98,12 +100,11 @@ def trailing_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("customer_id", F.unix_seconds("as_of").alias("as_of_s"), "messages_30d")
 
 
-@query("stream_trailing_messages", v.with_(v.EVENTS, _TRAIL, f"""
-mark AS (SELECT max({v.micros('occurred_at')}) - 86400000000 AS w FROM ev_events WHERE event_type = 'payment.failed')""") + """
-SELECT customer_id, as_of_s, messages_30d FROM trail, mark WHERE as_of_s * 1000000 <= w""")
+@query("stream_trailing_messages", v.with_(v.EVENTS, _TRAIL) + """
+SELECT customer_id, as_of_s, messages_30d FROM trail""")
 def stream_trailing_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = run.drain(jobs.trailing_messages(_messages(td.payment_event_stream(spark, sf_dir))), "append")
-    return rows.select("customer_id", F.unix_seconds("as_of").alias("as_of_s"), "messages_30d")
+    rows, _ = run.drain(jobs.trailing_messages(_messages(td.payment_event_stream(spark, sf_dir))), "update")
+    return run.latest(rows, ["customer_id", "as_of"]).select("customer_id", F.unix_seconds("as_of").alias("as_of_s"), "messages_30d")
 
 
 @query("stream_dedupe", v.with_(v.EVENTS) + "SELECT tenant_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM ev_events GROUP BY 1")

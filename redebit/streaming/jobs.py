@@ -31,24 +31,25 @@ def dedupe_stream(events: DataFrame, delay: str = "1 day", at: str = "occurred_a
 
 
 def stream_projection(events: DataFrame, grace: str = "30 days", keys: list[str] | None = None) -> DataFrame:
-    """Cycle state kept current, in update mode.
+    """Cycle state kept current, in update mode; equal to the batch fold over the same events.
 
-    The watermark runs on the cycle's deadline: late and duplicate events converge to the
-    batch answer until the deadline plus the grace has passed, then the state is dropped.
-    State is one small row per cycle; no event is retained.
+    A cycle is its keys alone: events without a deadline, or with another one, belong to it, and
+    the first deadline known in event order counts. Late and duplicate events converge as long
+    as they come within ``grace``. State is one small row per cycle, kept for good, since a
+    capture may come after the deadline; no event is retained.
     """
     keys = keys or projection.CYCLE_KEYS
     unique = (
-        events.where("deadline_at IS NOT NULL AND cycle_ref IS NOT NULL")
-        .withWatermark("deadline_at", grace)
+        events.where("cycle_ref IS NOT NULL")
+        .withWatermark("occurred_at", grace)
         .dropDuplicatesWithinWatermark(["event_id"])
     )
-    folded = unique.groupBy(*keys, "deadline_at").agg(*projection.cycle_facts(with_deadline=False))
+    folded = unique.groupBy(*keys).agg(*projection.cycle_facts())
     return folded.select(*projection.cycle_columns(keys))
 
 
 def issuer_windows(attempts: DataFrame, delay: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
-    """Closed tumbling windows per issuer, in append mode."""
+    """Tumbling windows per issuer: closed ones in append mode, the latest counts in update mode."""
     return (
         attempts.withWatermark("at", delay)
         .groupBy("issuer", F.window("at", window).alias("w"))
