@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from redebit.functions import calendar as cal
 
 HOUR = 3600
-DUNNING_HOURS = 168
+DUNNING_HOURS = 168  # the week that replayed policies cover
+PLAN_HOURS = 720  # the horizon of planning: a monthly cycle
 MIN_NOTICE_HOURS, MAX_NOTICE_HOURS = 24, 96
 # The widely used retry schedule, days after the failure.
 BASELINE_DAYS = (1, 3, 5)

@@ -109,7 +109,7 @@ def window_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MASK = f"""
 slots AS (
   SELECT cycle_ref, rail, due_at, deadline_at, s AS slot, due_at + s * INTERVAL 1 HOUR AS ats
-  FROM proj, range(168) r(s)),
+  FROM proj, range(720) r(s)),
 mask AS (
   SELECT cycle_ref, slot, {v.exec_legal('rail', 'ats')} AS in_window, slot >= 24 AS notice_lead,
     slot >= 24 AND (
@@ -134,7 +134,7 @@ def legality_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycles = projected(spark, sf_dir).select(
         "cycle_ref", "rail", F.col("due_at").alias("decided_at"), "deadline_at"
     )
-    mask = legality.legality_mask(legality.explode_slots(cycles, ["cycle_ref"], 168))
+    mask = legality.legality_mask(legality.explode_slots(cycles, ["cycle_ref"], legality.PLAN_HOURS))
     return mask.groupBy("cycle_ref").agg(
         F.count_if("legal").alias("legal"),
         F.sum(F.when(F.col("legal"), F.col("slot")).otherwise(0)).alias("legal_sum"),
@@ -148,7 +148,7 @@ def legality_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 grid AS (
   SELECT cycle_ref, s AS slot, due_at,
     {v.minute_ist('due_at + s * INTERVAL 1 HOUR')} BETWEEN 480 AND 1139 AS contact
-  FROM proj, range(168) r(s)),
+  FROM proj, range(720) r(s)),
 feasible AS (
   SELECT cycle_ref, slot, coalesce(max(CAST(contact AS INT)) OVER (PARTITION BY cycle_ref
     ORDER BY slot ROWS BETWEEN 96 PRECEDING AND 24 PRECEDING), 0) AS ok FROM grid)""") + """
@@ -156,7 +156,7 @@ SELECT cycle_ref, CAST(sum(ok) AS BIGINT) AS feasible, CAST(min(CASE WHEN ok = 1
   AS first_slot FROM feasible GROUP BY cycle_ref""")
 def notice_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycles = projected(spark, sf_dir).select("cycle_ref", "due_at")
-    slots = legality.explode_slots(cycles, ["cycle_ref"], 168)
+    slots = legality.explode_slots(cycles, ["cycle_ref"], legality.PLAN_HOURS)
     ok = legality.notice_feasible(F.col("due_at"), F.col("slot"))
     return slots.groupBy("cycle_ref").agg(
         F.count_if(ok).alias("feasible"), F.min(F.when(ok, F.col("slot"))).alias("first_slot")

@@ -301,10 +301,10 @@ def funded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("funds_present", v.with_(v.CYCLES, f"""
-g AS (SELECT *, h AS slot FROM ev_cycles, range(168) r(h) WHERE failed)""") + f"""
+g AS (SELECT *, h AS slot FROM ev_cycles, range(720) r(h) WHERE failed)""") + f"""
 SELECT slot, count(CASE WHEN {_PRESENT} THEN 1 END) AS present FROM g GROUP BY slot""")
 def funds_present(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = legality.explode_slots(funded(spark, sf_dir), ["cycle_id"], HORIZON)
+    slots = legality.explode_slots(funded(spark, sf_dir), ["cycle_id"], legality.PLAN_HOURS)
     flagged = slots.select(F.col("slot").cast("bigint").alias("slot"), planning.funds_present(F.col("slot")).alias("hit"))
     return flagged.groupBy("slot").agg(F.count_if("hit").alias("present"))
 

@@ -120,7 +120,7 @@ CURVE = f"""
 cyc AS (SELECT *, {v.ticket_band('amount_paise')} AS ticket_band FROM proj WHERE attempts_used > 0),
 grid AS (
   SELECT c.cycle_ref, c.mcc, c.rail, c.ticket_band, s AS slot, c.due_at + s * INTERVAL 1 HOUR AS ats
-  FROM cyc c, range(168) r(s)),
+  FROM cyc c, range(720) r(s)),
 pres AS (
   SELECT g.cycle_ref, g.slot, {v.hour_band('g.ats')} AS band,
     CASE WHEN p.n_obs IS NULL THEN gp.g ELSE least(greatest(p.n_obs / (p.n_obs + 5.0) * p.hazard
@@ -129,7 +129,7 @@ pres AS (
     AND p.rail = g.rail AND p.day_of_month = {v.dom_ist('g.ats')} AND p.hour_band = {v.hour_band('g.ats')})"""
 
 
-def failed_slots(spark: SparkSession, sf_dir: str, horizon: int = 168) -> DataFrame:
+def failed_slots(spark: SparkSession, sf_dir: str, horizon: int = legality.PLAN_HOURS) -> DataFrame:
     """Hourly presence of every failed cycle of the event log."""
     failed = projected(spark, sf_dir).where("attempts_used > 0")
     curved = priors.with_curve(failed, published(spark, sf_dir))

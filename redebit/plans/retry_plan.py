@@ -17,7 +17,7 @@ from redebit.sources import testdata as td
 
 
 def plan_retries(events: DataFrame, cycles: DataFrame, actions: DataFrame, published: DataFrame, now: Column,
-                 horizon: int = legality.DUNNING_HOURS) -> DataFrame:
+                 horizon: int = legality.PLAN_HOURS) -> DataFrame:
     """Candidates, their legal hours, the best slot, and a lawful notice for it.
 
     Decline codes and curves join at cycle level; one hash distribution by cycle then serves
@@ -53,7 +53,7 @@ codes AS (SELECT mandate_id, arg_max_null(decline_code, {{'a': occurred_at, 'b':
   WHERE event_type = 'payment.failed' GROUP BY mandate_id),
 cand AS (SELECT p.*, c.code, p.last_failure_at AS dec_at, p.attempt_budget - p.attempts_used AS budget FROM proj p LEFT JOIN codes c USING (mandate_id)
   WHERE state = 'executing' AND attempts_used < attempt_budget AND deadline_at > TIMESTAMP '2024-01-02' AND mandate_id % 3 <> 0),
-base AS (SELECT c.*, s AS slot, dec_at + s * INTERVAL 1 HOUR AS ats, {v.minute_ist('dec_at')} AS dm FROM cand c, range(168) r(s)),
+base AS (SELECT c.*, s AS slot, dec_at + s * INTERVAL 1 HOUR AS ats, {v.minute_ist('dec_at')} AS dm FROM cand c, range(720) r(s)),
 lg AS (SELECT *, {v.exec_legal('rail', 'ats')} AND slot >= 24 AND ats < deadline_at
   AND (NOT (rail = 'upi_autopay' AND dm >= 1430) OR NOT (rail = 'upi_autopay' AND dm >= 1430 AND {v.day_ist('ats')} = {v.day_ist('dec_at')} + 1))
   AND slot >= 24 + CASE WHEN dm >= 480 AND dm < 1140 THEN 0 WHEN dm < 480 THEN ceil((480 - dm) / 60.0) ELSE ceil((1920 - dm) / 60.0) END AS legal FROM base),
@@ -75,9 +75,10 @@ ntc AS (SELECT cycle_ref, min(h) AS h FROM deb, range(24, 97) r(h) WHERE fire_at
 SELECT d.cycle_ref, d.tenant_id, CAST(d.chosen AS INT) AS chosen_slot, epoch_us(fire_at) AS fire_us, CAST(n.h AS INT) AS hours_of_notice, idem_key
 FROM deb d JOIN ntc n USING (cycle_ref)""")
 def retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = td.payment_events(spark, sf_dir)
+    # Re-deliveries go once, before cycles and outcomes are built from the same events.
+    events = projection.unique_events(td.payment_events(spark, sf_dir))
     # The projected cycles feed the priors, the candidates and the open actions.
-    cycles = checkpointed(projection.project_cycles(projection.unique_events(events)))
+    cycles = checkpointed(projection.project_cycles(events))
     counts = priors.segment_counts(priors.outcomes_with_segment(events, cycles))
     published = checkpointed(priors.segment_priors(counts, min_cohort=2, min_contributors=1)[0])
     now = F.lit("2024-01-02 00:00:00").cast("timestamp")
