@@ -30,7 +30,7 @@ def sibling_failures(attempts: DataFrame, within: int = NEAR_SECONDS) -> DataFra
         stamped, ["customer_id"], "_us", within * 1_000_000, within * 1_000_000,
         {"_n": F.lit(1), "_f": F.col("failed").cast("int")},
     )
-    joined = stamped.join(near, ["customer_id", "_us"])
+    joined = ordered.matched(stamped, near, ["customer_id", "_us"])
     concurrent = (F.col("_n") - 1).cast("int")
     failures = (F.col("_f") - F.col("failed").cast("int")).cast("int")
     return joined.select(

@@ -19,14 +19,14 @@ def time_block(ts: Column, days: int = 30) -> Column:
     return F.floor(F.unix_seconds(ts) / (86_400 * days))
 
 
-def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows beside their block's carry; NULL keys and NULL blocks match each other, as in a window."""
-    on = [*keys, BLOCK]
-    renamed = carry.select(*[F.col(c).alias(f"_of_{c}") for c in on], *[c for c in carry.columns if c not in on])
+def matched(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where NULL equals NULL, as in a window's partitions."""
+    rest = [c for c in other.columns if c not in on]
+    renamed = other.select(*[F.col(c).alias(f"_of_{c}") for c in on], *rest)
     match = F.lit(True)
     for c in on:
         match = match & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    return rows.join(renamed, match)
+    return rows.join(renamed, match, how).select(*rows.columns, *([] if how in ("left_semi", "left_anti") else rest))
 
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -68,7 +68,7 @@ def running(
             for name, (op, _) in metrics.items()
         ],
     )
-    joined = _with_carry(local, carry, keys)
+    joined = matched(local, carry, [*keys, BLOCK])
     return joined.select(
         *df.columns,
         *[
@@ -95,7 +95,7 @@ def with_previous(
     local = tagged.withColumn("_local", F.lag(packed).over(inside))
     tails = tagged.groupBy(*keys, BLOCK).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
     carry = tails.select(*keys, BLOCK, F.lag("_tail").over(blocks).alias("_carry"))
-    joined = _with_carry(local, carry, keys)
+    joined = matched(local, carry, [*keys, BLOCK])
     previous = F.coalesce("_local", "_carry")
     return joined.select(
         *df.columns, *[previous[v].alias(f"prev_{v}") for v in values]

@@ -47,23 +47,17 @@ def running_percentiles(df: DataFrame, keys: list[str], order: list[str], block:
 
     if tops["_keys"] == 0:
         return windowed(tagged)
-    hot = sizes.select(*[F.col(k).alias(f"_of_{k}") for k in keys])
-    is_hot = F.lit(True)
-    for k in keys:
-        is_hot = is_hot & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    usual = windowed(tagged.join(hot, is_hot, "left_anti"))
-    busy = checkpointed(tagged.join(hot, is_hot, "left_semi").withColumn(ordered.BLOCK + "_t", block))
+    hot = sizes.select(*keys)
+    usual = windowed(ordered.matched(tagged, hot, keys, "left_anti"))
+    busy = checkpointed(ordered.matched(tagged, hot, keys, "left_semi").withColumn(ordered.BLOCK + "_t", block))
     out = busy.select(*df.columns)
     for name, (_, p) in wanted.items():
         v = values[name]
         # Digits need values from 0 on: the descent runs on the distance from the least value.
         low = tops[f"_lo{v}"] or 0
         found = _descend(busy.withColumn(v, F.col(v) - low), keys, order, v, p, (tops[f"_hi{v}"] or 0) - low, name)
-        found = found.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, *order)], (F.col(name) + low).alias(name))
-        match = F.lit(True)
-        for c in (*keys, *order):
-            match = match & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-        out = out.join(found, match, "left").drop(*[f"_of_{c}" for c in (*keys, *order)])
+        found = found.select(*keys, *order, (F.col(name) + low).alias(name))
+        out = ordered.matched(out, found, [*keys, *order], "left")
     return usual.unionByName(out)
 
 

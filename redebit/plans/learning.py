@@ -171,8 +171,10 @@ def score_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves from the boosted model for most cycles, the cell table for the rest."""
     rows = checkpointed(hazard_training(spark, sf_dir))
     model = models.fit_hazard_v1(rows, max_iter=2)
+    counts = rows.agg(F.count("*").alias("n"), F.sum(F.col("label").cast("bigint")).alias("p"))
     version = models.model_version_id(
-        "liquidity_hazard", "gbt", {"max_iter": 2}, features.FEATURES, models.fingerprint(F.lit(0), F.lit(0))
+        "liquidity_hazard", "gbt", {"max_iter": 2}, features.FEATURES,
+        models.fingerprint(counts.select("n").scalar(), counts.select("p").scalar()),
     )
     enabled = F.col("customer_id") % 4 != 0
     curves = models.score_curves(rows, model, models.hazard_v0(rows), enabled, F.col("hour_band") != 1)

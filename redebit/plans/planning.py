@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redebit.functions import calendar as cal
 from redebit.functions import causes, hashing
-from redebit.operators import estimators, legality, planning, priors
+from redebit.operators import estimators, legality, ordered, planning, priors
 from redebit.plans import views_sql as v
 from redebit.plans.experiment import CONTROL, SEED, _arm, _unit
 from redebit.plans.ingest import PROJECTED, projected
@@ -46,13 +46,14 @@ def retry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("candidate_queue", v.with_(v.EVENTS, PROJECTED, """
 q AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY deadline_at, cycle_ref) AS position FROM proj
-  WHERE state = 'executing')""") + "SELECT tenant_id, cycle_ref, CAST(position AS INT) AS position FROM q WHERE position <= 100")
+  WHERE state = 'executing')""") + "SELECT tenant_id, cycle_ref, CAST(position AS INT) AS position, CAST((position - 1) // 100 AS INT) AS page FROM q")
 def candidate_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("tenant_id").orderBy("deadline_at", "cycle_ref")
-    queue = projected(spark, sf_dir).where("state = 'executing'").withColumn("position", F.row_number().over(w))
-    return queue.where("position <= 100").select("tenant_id", "cycle_ref", "position")
+    """Every waiting cycle with its place in the tenant's queue, in pages of 100."""
+    waiting = projected(spark, sf_dir).where("state = 'executing'")
+    queue = ordered.numbered(
+        waiting, ["tenant_id"], ["deadline_at", "cycle_ref"], ordered.time_block(F.col("deadline_at"), 1), "position"
+    )
+    return queue.select("tenant_id", "cycle_ref", "position", F.floor((F.col("position") - 1) / 100).cast("int").alias("page"))
 
 
 @query("chronic_mandates", v.with_(v.CYCLES) + f"""

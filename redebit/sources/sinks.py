@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def write_decisions(decisions: DataFrame, path: str, files_per_month: int = 8) -> None:
@@ -23,11 +22,21 @@ def snapshot_path(root: str, version: int) -> str:
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame | None:
-    """A stored snapshot, None if it was never written."""
-    try:
+    """A stored snapshot; None only before the first one.
+
+    A missing snapshot is an error, and so is a first batch beside later snapshots: carrying on
+    would start the keyed state anew and fork whatever is chained to it.
+    """
+    if version >= 0:
         return spark.read.parquet(snapshot_path(root, version))
-    except AnalysisException:
-        return None
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(folder):
+        names = {f.getPath().getName() for f in files.listStatus(folder)}
+        if later := {n for n in names if n.startswith("snapshot=")} - {"snapshot=0"}:
+            raise RuntimeError(f"{root} holds {len(later)} later snapshots; a first batch would start it anew")
+    return None
 
 
 def upsert_snapshot(updates: DataFrame, root: str, version: int, keys: list[str], order: list[str]) -> None:

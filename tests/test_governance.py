@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from redebit.operators import ledger, privacy, reconcile, replies, rules
@@ -126,9 +127,14 @@ def test_batches_extend_the_same_chain(spark, decisions, chained):
 def test_snapshots_and_months(spark, tmp_path, chained):
     root = str(tmp_path)
     rows = lambda *r: spark.createDataFrame(list(r), "k string, v int, at int")
-    for _ in range(2):  # a retried batch changes nothing
-        sinks.upsert_snapshot(rows(("a", 1, 1), ("b", 1, 1)), f"{root}/p", 0, ["k"], ["at"])
-        sinks.upsert_snapshot(rows(("a", 2, 2), ("c", 1, 2), ("b", 9, 0)), f"{root}/p", 1, ["k"], ["at"])
+    first = lambda: sinks.upsert_snapshot(rows(("a", 1, 1), ("b", 1, 1)), f"{root}/p", 0, ["k"], ["at"])
+    second = lambda v: sinks.upsert_snapshot(rows(("a", 2, 2), ("c", 1, 2), ("b", 9, 0)), f"{root}/p", v, ["k"], ["at"])
+    for step in (first, first, lambda: second(1), lambda: second(1)):  # a retried batch changes nothing
+        step()
+    with pytest.raises(RuntimeError):  # starting anew beside later snapshots would fork the state
+        first()
+    with pytest.raises(AnalysisException):  # a lost snapshot is no empty one
+        second(5)
     got = sorted(map(tuple, sinks.read_snapshot(spark, f"{root}/p", 1).select("k", "v").collect()))
     assert got == [("a", 2), ("b", 1), ("c", 1)]
     sinks.write_decisions(chained, f"{root}/d")
