@@ -2,26 +2,31 @@
 
 Method (sets of distinct shingles, 64-bit hashes; exact copies of a set are one set):
 
-* Index. Tokens are ordered by the count of their hash bucket over all texts, frequent last; a
-  set's prefix in that order is indexed with size and position. Two sets that link share a
-  prefix token. Lists of one token are never expanded: entries that belong together form one
+* Index. Tokens are ordered by how frequent their words are over all texts, rarest first (words
+  are counted by hash bucket; a token's frequency is estimated by the product); a set's prefix
+  in that order is indexed with size and position. Two sets that link share a prefix token.
+  Tokens found in more than ``HEAVY`` prefixes (passages that many texts share) are put last in
+  the order, and the sets concerned are indexed anew; so long lists remain only where whole
+  sets are alike. Lists of one token are never expanded: entries that belong together form one
   block with bounds of size and position, and blocks are compared, so that a block whose
   bounds rule out the overlap is skipped whole.
 * Answers. Sets that are much alike form a family around one of them, with the exact distance
   of each to it. Jaccard distance is a metric, so the distance of two family centres and the
   members' own distances settle most members' answers at once: families too far apart are
-  skipped with all their pairs. What is left is counted exactly, family against family, in
+  skipped with all their pairs. Counts of tokens by hash bucket bound the overlap from above,
+  so sets that are clearly too different are never fetched. What is left is counted exactly, family against family, in
   blocks of bounded size.
 * Components. Each block pair gives link counts and a spanning forest of its links, never the
   pairs; components are the least labels over those forests.
 
-Broadcast are one byte per hash bucket and a bitmap of ``BITMAP`` bits that tells which texts
-need their sets again; both have fixed sizes.
+Broadcast are one byte per hash bucket, and bitmaps of ``BITMAP`` bits that tell which tokens
+are shared and which texts need their sets again; both have fixed sizes, and what passes a
+bitmap by chance is dropped by the joins that follow.
 
 Edge cases: null and empty texts have no shingles, link with nothing and are their own
 component; a text with fewer words than a shingle is one shingle. Repeated rows are copies of
 each other. A null doc_id can link, but a component is named by its smallest id that is not
-null. Ties in the leader choice go to the smaller set key.
+null. 
 """
 
 from __future__ import annotations
@@ -35,17 +40,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from redebit.llm.common import stored
 
 WORDS, SIMILAR = 3, 90
 #: Sets join a family when their similarity to its centre is at least this (percent).
 FAMILY = 65
-BUCKET_BITS, BITMAP = 18, 1 << 24
+#: ... and only sets whose signatures allow this similarity are tried.
+FAMILY_BOUND = 80
+BUCKET_BITS, BITMAP = 20, 1 << 24
 #: Bounds of a block: sets, and tokens of all its sets (one longer set is a block of its own).
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 17
-CACHE_ROWS = 600_000
+CACHE_ROWS = 250_000
+#: Prefixes that hold a token before it counts as frequent, and rounds of indexing anew.
+HEAVY, HEAVY_ROUNDS = 12, 4
+#: Counters of a set's signature: tokens by the low bits of their hash.
+COUNTERS = 128
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -62,19 +72,26 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``text``."""
-    raw = text.encode().lower().split()  # bytes: lowers A-Z, parts at the six ASCII white-space characters
-    n = len(raw)
-    if not n:
-        return np.empty(0, np.uint64)
-    codes = np.fromiter(map(HASHES.__getitem__, raw), np.uint64, n)
+def word_codes(text: str) -> np.ndarray:
+    """Hashes of the words of ``text``, A-Z lower-cased, parted at the six ASCII white-space characters."""
+    raw = text.encode().lower().split()  # of bytes: both do just that
+    return np.fromiter(map(HASHES.__getitem__, raw), np.uint64, len(raw))
+
+
+def windows(codes: np.ndarray, words: int) -> np.ndarray:
+    """Hash of each shingle, by position; the whole row where it is shorter than a shingle."""
+    n = len(codes)
     width = min(words, n)
-    mixed = np.full(n - width + 1, width, np.uint64)
+    mixed = np.full(n - width + 1 if n else 0, width, np.uint64)
     for j in range(width):
         mixed = (mixed ^ codes[j : n - width + 1 + j]) * ODD[j % len(ODD)]
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    return mixed
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of ``text``."""
+    return np.unique(windows(word_codes(text), words))
 
 
 def need(n: int) -> int:
@@ -82,6 +99,11 @@ def need(n: int) -> int:
     return -(-SIMILAR * n // 100)
 
 
+def signature(own: np.ndarray) -> bytes:
+    """Tokens of a set by the low bits of their hash."""
+    return np.bincount((own & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype("<u4").tobytes()
+
+
 def whole():
     return F.coalesce("text", F.lit("")).alias("text")
 
@@ -90,105 +112,119 @@ def text_hash():
     return F.xxhash64(whole()).alias("text_hash")
 
 
-def described(docs: DataFrame, words: int) -> DataFrame:
-    """Per row doc_id, n, key (of the set) and text_hash; and rows with token counts by bucket.
-
-    Bucket counts come as one row per task and range of 2**12 buckets (``range`` not null).
-    """
+def word_counts(docs: DataFrame) -> DataFrame:
+    """range and counts: words by hash bucket, a row per task and range of 2**12 buckets."""
     shift = np.uint64(64 - BUCKET_BITS)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, size = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
-
-        def count() -> None:
-            nonlocal total, waiting, size
-            if waiting:
-                total += np.bincount((np.concatenate(waiting) >> shift).astype(np.int64), minlength=len(total))
-            waiting, size = [], 0
-
-        names = ["doc_id", "n", "key", "text_hash", "range", "counts"]
-        id_type = pa.int64()
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            n, keys = [], []
-            for x in batch.column(1):
-                text = x.as_py()
-                own = shingles(text, words)
-                n.append(len(own))
-                keys.append(hashlib.md5(own.tobytes()).digest() if len(own) else None)
-                waiting.append(own)
-                size += len(own)
-                if size > 1 << 20:
-                    count()
-            none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), batch.column(2), *none],
-                names=names,
-            )
-        count()
+            for at in range(0, len(batch), 200):
+                codes = [word_codes(x.as_py()) for x in batch.column(0).slice(at, 200)]
+                total += np.bincount((np.concatenate(codes) >> shift).astype(np.int64), minlength=len(total))
         parts = [(i, total[i << 12 : (i + 1) << 12]) for i in range(len(total) >> 12)]
         parts = [(i, c.astype("<i8").tobytes()) for i, c in parts if c.any()]
-        empty = [pa.nulls(len(parts), t) for t in (id_type, pa.int64(), pa.binary(), pa.int64())]
         yield pa.RecordBatch.from_arrays(
-            [*empty, pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names
+            [pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["range", "counts"]
         )
 
-    return docs.select("doc_id", whole(), text_hash()).mapInArrow(
-        run, f"doc_id {kind}, n long, key binary, text_hash long, range int, counts binary"
-    )
+    return docs.select(whole()).mapInArrow(run, "range int, counts binary")
 
 
 def bucket_classes(rows: DataFrame) -> np.ndarray:
-    """One byte per bucket: 0 for ordinary counts, else the logarithm of how far above the mean."""
+    """One byte per bucket: six times the binary logarithm of the words counted there."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, "<i8") for c in pdf["counts"])
-        return pd.DataFrame({"range": [pdf["range"].iloc[0]], "counts": [np.asarray(total).astype("<i8").tobytes()]})
+        level = np.minimum(np.log2(1 + total) * 6, 255).astype(np.uint8)
+        return pd.DataFrame({"range": [pdf["range"].iloc[0]], "levels": [level.tobytes()]})
 
     # Each task gives one row per range, so a group has as many rows as there are tasks.
-    sums = rows.where("range IS NOT NULL").select("range", "counts").groupBy("range").applyInPandas(add, "range int, counts binary")
-    counts = np.zeros(1 << BUCKET_BITS)
-    for r in sums.collect():  # 2**BUCKET_BITS numbers in all
-        counts[r.range << 12 : (r.range + 1) << 12] = np.frombuffer(r.counts, "<i8")
-    return np.floor(np.log2(np.maximum(counts / (2 * counts.mean() + 1), 1))).astype(np.uint8)
+    sums = rows.groupBy("range").applyInPandas(add, "range int, levels binary")
+    levels = np.zeros(1 << BUCKET_BITS, np.uint8)
+    for r in sums.collect():  # 2**BUCKET_BITS bytes in all
+        levels[r.range << 12 : (r.range + 1) << 12] = np.frombuffer(r.levels, np.uint8)
+    return levels
+
 
+def ordered_prefix(codes: np.ndarray, levels: np.ndarray, heavy: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set, and its prefix in the global order: heavy tokens last, estimated frequency, then hash."""
+    every = windows(codes, words)
+    own, first = np.unique(every, return_index=True)
+    word = levels[(codes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.int32)
+    total = np.concatenate([[0], np.cumsum(word)])
+    width = min(words, len(codes))
+    frequency = (total[width:] - total[:-width])[first] + 4096 * hit(own.view(np.int64), heavy)
+    return own, own[np.lexsort((own, frequency))[: len(own) - need(len(own)) + 1]]
 
-def ordered_prefix(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The prefix of a set in the global order: bucket class, then hash."""
-    heavy = classes[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-    length = len(own) - need(len(own)) + 1
-    if not heavy.any():
-        return own[:length]
-    return own[np.lexsort((own, heavy))[:length]]
 
+INDEXED = "doc_id {}, n long, key binary, key_hash long, text_hash long, signature binary, token long, pos int"
 
-def postings(docs: DataFrame, classes: np.ndarray, words: int) -> DataFrame:
-    """token, key, n, pos of every prefix token."""
+
+def indexed(docs: DataFrame, levels: np.ndarray, heavy: np.ndarray, words: int) -> DataFrame:
+    """Of rows (doc_id, text, text_hash) two kinds of rows: per text doc_id, n, key, text_hash and signature (token null); per prefix token, token, key, n, pos."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                tokens, keys, sizes, lengths = [], [], [], []
-                for x in batch.column(0).slice(at, 500):
-                    own = shingles(x.as_py(), words)
-                    if len(own):
-                        tokens.append(ordered_prefix(own, classes))
-                        keys.append(hashlib.md5(own.tobytes()).digest())
-                        sizes.append(len(own))
-                        lengths.append(len(tokens[-1]))
-                if tokens:
-                    of = np.repeat(np.arange(len(keys)), lengths)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(of)),
-                            pa.array(np.array(sizes, np.int32)[of]),
-                            pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])),
-                        ],
-                        names=["token", "key", "n", "pos"],
-                    )
-
-    return docs.select(whole()).mapInArrow(run, "token long, key binary, n int, pos int")
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                tokens, keys, sizes, signatures = [], [], [], []
+                for x in part.column(1):
+                    codes = word_codes(x.as_py())
+                    own, prefix = ordered_prefix(codes, levels, heavy, words) if len(codes) else (codes, codes)
+                    tokens.append(prefix)
+                    keys.append(hashlib.md5(own.tobytes()).digest() if len(own) else None)
+                    signatures.append(signature(own) if len(own) else None)
+                    sizes.append(len(own))
+                lengths = [len(t) for t in tokens]
+                of, n = np.repeat(np.arange(len(keys)), lengths), int(sum(lengths))
+                ids, keys, sizes = part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())
+                none = lambda t, k: pa.nulls(k, t)
+                marks = pa.array([int.from_bytes(k.as_py()[:8], "little", signed=True) if k.is_valid else None for k in keys], pa.int64())
+                texts = [ids, sizes, keys, marks, part.column(2), pa.array(signatures, pa.binary()), none(pa.int64(), len(part)), none(pa.int32(), len(part))]
+                places = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]) if n else np.empty(0, np.int32)
+                entries = [
+                    none(ids.type, n), sizes.take(pa.array(of)), keys.take(pa.array(of)), marks.take(pa.array(of)), none(pa.int64(), n), none(pa.binary(), n),
+                    pa.array(np.concatenate(tokens).view(np.int64)), pa.array(places),
+                ]
+                names = ["doc_id", "n", "key", "key_hash", "text_hash", "signature", "token", "pos"]
+                yield pa.RecordBatch.from_arrays(texts, names=names)
+                yield pa.RecordBatch.from_arrays(entries, names=names)
+
+    return docs.mapInArrow(run, INDEXED.format(kind))
+
+
+def index(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, key, text_hash, signature) and the entries (token, key, n, pos) that may be shared.
+
+    Dropped are only entries whose token no second entry holds.
+    """
+    texts = docs.select("doc_id", whole(), text_hash())
+    levels = bucket_classes(word_counts(docs))
+    made = stored(indexed(texts, levels, np.zeros(BITMAP >> 3, np.uint8), words))
+    own = made.where("token IS NULL").drop("token", "pos")
+    entry = ["token", "key", "key_hash", F.col("n").cast("int").alias("n"), "pos"]
+    entries = made.where("token IS NOT NULL").select(*entry)
+    counts = stored(entries.select("token").groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    shared, heavy = [bitmap(counts, "token")], bitmap(counts.where(F.col("n") > HEAVY), "token")
+    parts = [entries]
+    for _ in range(HEAVY_ROUNDS):
+        heavy = either(heavy)
+        # Whoever has a heavy token in the prefix is indexed anew; so is, alike everywhere, what a bitmap takes for one.
+        keys = either(bitmap(passing(parts[-1], "token", heavy), "key_hash"))
+        marks = either(bitmap(passing(own, "key_hash", keys), "text_hash"))
+        fresh = indexed(passing(texts, "text_hash", marks), levels, as_bytes(heavy), words)
+        fresh = stored(passing(fresh.where("token IS NOT NULL").select(*entry), "key_hash", keys))
+        parts = [passing(p, "key_hash", keys, False) for p in parts] + [fresh]
+        shared.append(bitmap(fresh, "token"))
+        often = fresh.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
+        heavy = either(heavy, bitmap(often, "token"))
+    possible = either(*shared)
+    entries = parts[0]
+    for p in parts[1:]:
+        entries = entries.unionAll(p)
+    return own, stored(passing(entries, "token", possible).drop("key_hash"))
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
@@ -200,73 +236,121 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def bitmap(marks: DataFrame) -> np.ndarray:
-    """Bits set for the hashes in ``marks``."""
-    bit = F.pmod("text_hash", F.lit(BITMAP))
-    words = marks.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(text_hash, {BITMAP}) & 63 as int))").alias("bit"))
+def bitmap(marks: DataFrame, column: str) -> DataFrame:
+    """word, bits: the bitmap of the hashes in ``column``, as at most BITMAP / 64 rows that are not zero."""
+    place = F.pmod(column, F.lit(BITMAP))
+    bit = F.expr(f"shiftleft(1L, cast(pmod({column}, {BITMAP}) & 63 as int))")
+    return marks.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def either(*maps: DataFrame) -> DataFrame:
+    """The bits set in any of the bitmaps, stored."""
+    every = maps[0]
+    for m in maps[1:]:
+        every = every.unionAll(m)
+    return stored(every.groupBy("word").agg(F.bit_or("bits").alias("bits")))
+
+
+def as_bytes(bits: DataFrame) -> np.ndarray:
     out = np.zeros(BITMAP >> 6, np.int64)
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # BITMAP / 64 rows at most
+    found = bits.toArrow()
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def hit(hashes: pa.Array, bits: np.ndarray) -> np.ndarray:
-    place = hashes.to_numpy() % BITMAP
+def passing(rows: DataFrame, column: str, bits: DataFrame, wanted: bool = True) -> DataFrame:
+    """The rows whose hash in ``column`` is in the bitmap, or is not; the bitmap has a fixed bound, so it is broadcast."""
+    table = F.broadcast(bits.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+    place = F.pmod(column, F.lit(BITMAP))
+    inside = F.col("_bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod({column}, {BITMAP}) & 63 as int))")) != 0
+    met = rows.join(table, F.shiftright(place, 6) == F.col("_word"), "left")
+    return met.where(F.coalesce(inside, F.lit(False)) == wanted).drop("_word", "_bits")
+
+
+def hit(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = hashes % BITMAP
     return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def needed_sets(docs: DataFrame, bits: np.ndarray, words: int) -> DataFrame:
-    """key and set of the texts whose hash is in the bitmap."""
+def needed_sets(docs: DataFrame, own: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """key and set of ``keys`` (distinct), worked out again from one text of each."""
+    # The least text hash stands for a set.
+    marks = own.join(keys, "key").groupBy("key").agg(F.min("text_hash").alias("text_hash"))
+    texts = passing(docs.select(whole(), text_hash()), "text_hash", either(bitmap(marks, "text_hash"))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                keys, sets = [], []
-                part = batch.slice(at, 500)
-                for x in part.column(0).filter(pa.array(hit(part.column(1), bits))):
-                    own = shingles(x.as_py(), words)
-                    if len(own):
-                        sets.append(own.tobytes())
-                        keys.append(hashlib.md5(sets[-1]).digest())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
+            for at in range(0, len(batch), 200):
+                found, sets = [], []
+                for x in batch.column(0).slice(at, 200):
+                    tokens = shingles(x.as_py(), words)
+                    if len(tokens):
+                        sets.append(tokens.tobytes())
+                        found.append(hashlib.md5(sets[-1]).digest())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
-    return docs.select(whole(), text_hash()).mapInArrow(run, "key binary, set binary")
+    made = texts.mapInArrow(run, "key binary, set binary")
+    return stored(made.join(keys, "key").groupBy("key").agg(F.first("set").alias("set")))
 
 
-def similarity(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ``jaccard`` of the sets named in columns ``a`` and ``b``."""
+def compared(pairs: DataFrame, facts: DataFrame, fact: str, a: str, b: str, measure, name: str) -> DataFrame:
+    """``pairs`` with ``name``: ``measure`` of the facts of the sets named in columns ``a`` and ``b``."""
     names = pairs.columns
-    sided = pairs.join(sets.select(F.col("key").alias(a), F.col("set").alias("set_a")), a)
-    sided = sided.join(sets.select(F.col("key").alias(b), F.col("set").alias("set_b")), b)
+    sided = pairs.join(facts.select(F.col("key").alias(a), F.col(fact).alias("fact_a")), a)
+    sided = sided.join(facts.select(F.col("key").alias(b), F.col(fact).alias("fact_b")), b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both / (len(p) + len(q) - both))
+            out = [measure(x.as_py(), y.as_py()) for x, y in zip(batch.column("fact_a"), batch.column("fact_b"))]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(out, pa.float64())], names=[*names, "jaccard"]
+                [*(batch.column(n) for n in names), pa.array(out, pa.float64())], names=[*names, name]
             )
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return sided.select(*names, "set_a", "set_b").mapInArrow(run, f"{kinds}, jaccard double")
+    return sided.select(*names, "fact_a", "fact_b").mapInArrow(run, f"{kinds}, {name} double")
+
+
+def similarity(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the exact ``jaccard``."""
+
+    def measure(x: bytes, y: bytes) -> float:
+        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return both / (len(p) + len(q) - both)
+
+    return compared(pairs, sets, "set", a, b, measure, "jaccard")
+
 
+def similarity_bound(pairs: DataFrame, copies: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with ``at_most``, a bound of the similarity from the signatures."""
 
-def families(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, n, family (a key) and d, the distance to it; a set like no centre is its own family.
+    def measure(x: bytes, y: bytes) -> float:
+        p, q = np.frombuffer(x, "<u4").astype(np.int64), np.frombuffer(y, "<u4").astype(np.int64)
+        both = np.minimum(p, q).sum()
+        return both / (p.sum() + q.sum() - both)
 
-    Every set points to the leader of most of its lists; pointers are followed to a set that
-    points to itself, and kept where the similarity is enough.
+    return compared(pairs, copies, "signature", a, b, measure, "at_most")
+
+
+def centres(shared: DataFrame, copies: DataFrame) -> DataFrame:
+    """key and to: the set that may be the centre of a set's family.
+
+    Every set points to the least leader of its lists, but for those of few lists; pointers are followed to a set that
+    points to itself, and kept where the signatures allow the similarity.
     """
-    votes = shared.groupBy("key", "leader").agg(F.count("*").alias("votes"))
-    best = F.max_by("leader", F.struct(F.col("votes"), -F.conv(F.hex(F.substring("leader", 1, 6)), 16, 10).cast("long")))
-    points = stored(votes.groupBy("key").agg(best.alias("to")))
+    votes = stored(shared.groupBy("key", "leader").agg(F.count("*").alias("votes")))
+    most = votes.groupBy("key").agg(F.max("votes").alias("most"))
+    points = votes.join(most, "key").where("4 * votes >= most").groupBy("key").agg(F.min("leader").alias("to"))
+    points = stored(points)
     step = points.select(F.col("key").alias("at"), F.col("to").alias("next"))
     for _ in range(3):
         points = points.join(step, F.col("to") == F.col("at")).select("key", F.col("next").alias("to"))
     roots = points.join(step, F.col("to") == F.col("at")).where("to = next AND key <> to").select("key", "to")
+    return similarity_bound(roots, copies, "key", "to").where(F.col("at_most") >= FAMILY_BOUND / 100).select("key", "to")
+
+
+def families(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, n, family (a key) and d, the distance to it; a set unlike its centre is its own family."""
     near = similarity(roots, sets, "key", "to").where(F.col("jaccard") >= FAMILY / 100)
     sizes = shared.groupBy("key").agg(F.first("n").alias("n"))
     return sizes.join(near, "key", "left").select(
@@ -274,8 +358,11 @@ def families(shared: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def near_families(shared: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: the pairs of different families that may hold a link."""
+def near_families(shared: DataFrame, members: DataFrame, copies: DataFrame) -> DataFrame:
+    """a, b, reach: pairs of different families that may hold a link by their blocks' bounds and signatures.
+
+    ``reach`` is the distance of the centres up to which their members may link.
+    """
     blocks = shared.join(members.select("key", "family"), "key").groupBy("token", "family").agg(
         F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.min(F.col("n") - F.col("pos")).alias("r0"),
         F.max(F.col("n") - F.col("pos")).alias("r1"),
@@ -287,10 +374,11 @@ def near_families(shared: DataFrame, members: DataFrame, sets: DataFrame) -> Dat
     ) & (F.least("x.r1", "y.r1") >= least - 1e-6))
     pairs = pairs.select(F.col("x.family").alias("a"), F.col("y.family").alias("b")).distinct()
     radii = members.groupBy("family").agg(F.max("d").alias("r"))
-    close = similarity(pairs, sets, "a", "b")
+    close = similarity_bound(pairs, copies, "a", "b")
     close = close.join(radii.select(F.col("family").alias("a"), F.col("r").alias("ra")), "a")
     close = close.join(radii.select(F.col("family").alias("b"), F.col("r").alias("rb")), "b")
-    return close.where(F.expr(f"1 - jaccard <= 1 - {SIMILAR} / 100 + ra + rb + 1e-9")).select("a", "b")
+    close = close.withColumn("reach", F.expr(f"1 - {SIMILAR} / 100 + ra + rb + 1e-9"))
+    return close.where("1 - at_most <= reach").select("a", "b", "reach")
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -361,12 +449,14 @@ def count_links(tasks: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("task", "side", "key", "copies", "set"))):
-                if row[0] != current:
-                    if rows:
-                        yield done()
-                    current, rows = row[0], []
-                rows.append(row[1:])
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                for row in zip(*(part.column(n).to_pylist() for n in ("task", "side", "key", "copies", "set"))):
+                    if row[0] != current:
+                        if rows:
+                            yield done()
+                        current, rows = row[0], []
+                    rows.append(row[1:])
         if rows:
             yield done()
 
@@ -429,17 +519,19 @@ def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, key, text_hash) and sets (key, copies, links, id, component)."""
-    rows = stored(described(docs, words))
-    own = rows.where("range IS NULL").select("doc_id", "n", "key", "text_hash")
-    shared = stored(shared_entries(postings(docs, bucket_classes(rows), words)))
-    copies = stored(own.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id")))
-    needed = shared.select("key").distinct()
-    # One text stands for all of a set: the least hash among them.
-    marks = own.join(needed, "key").groupBy("key").agg(F.min("text_hash").alias("text_hash"))
-    found = needed_sets(docs, bitmap(marks), words).join(needed, "key").groupBy("key").agg(F.first("set").alias("set"))
-    sets = stored(found)
-    members = stored(families(shared, sets))
-    pairs = stored(near_families(shared, members, sets))
+    own, entries = index(docs, words)
+    copies = stored(own.where("key IS NOT NULL").groupBy("key").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("id"), F.first("signature").alias("signature")
+    ))
+    shared = stored(shared_entries(entries))
+    roots = stored(centres(shared, copies))
+    sets = needed_sets(docs, own, roots.select("key").union(roots.select("to")).distinct(), words)
+    members = stored(families(shared, roots, sets))
+    close = stored(near_families(shared, members, copies))
+    more = close.select(F.col("a").alias("key")).union(close.select("b"))
+    families_met = members.join(more.distinct().withColumnRenamed("key", "family"), "family", "left_semi").select("key")
+    sets = sets.unionAll(needed_sets(docs, own, families_met.join(sets, "key", "left_anti"), words))
+    pairs = stored(similarity(close, sets, "a", "b").where("1 - jaccard <= reach").select("a", "b"))
     answers = stored(count_links(block_pairs(members, pairs, sets, copies.select("key", "copies"))))
     links = answers.groupBy("key").agg(F.sum("links").alias("links"))
     edges = answers.where("to IS NOT NULL")
@@ -476,20 +568,13 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
             "text_hash", F.col("doc_id").alias("of"), (first == F.col("first")).alias("wins")
         )
     )
-    bits = bitmap(decided.select("text_hash").distinct())
-    schema = StructType([*docs.schema.fields, StructField("text_hash", LongType())])
-
-    def touched(wanted: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(hit(batch.column(batch.num_columns - 1), bits) == wanted))
-
-        return docs.select("*", text_hash()).mapInArrow(run, schema)
-
+    bits = either(bitmap(decided, "text_hash"))
+    hashed = docs.select(F.struct("*").alias("row"), "doc_id", text_hash())
+    touched = lambda wanted: passing(hashed, "text_hash", bits, wanted)
     near = touched(True).withColumnRenamed("text_hash", "near_hash")
     near = near.join(
         decided, (F.col("near_hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("of")), "left"
     )
     winners = near.where("wins").dropDuplicates(["near_hash", "doc_id"])
     kept = near.where("wins IS NULL").unionAll(winners)
-    return touched(False).drop("text_hash").unionAll(kept.drop("near_hash", "text_hash", "of", "wins"))
+    return touched(False).select("row").unionAll(kept.select("row")).select("row.*")

@@ -36,7 +36,7 @@ TOKENIZER = "word_bpe_49k.json"
 CLOSING_ID = 2
 CAPACITY = 4096
 #: Words whose ids each Python worker remembers, and the longest kept from one group to the next.
-CACHE_ROWS, CACHE_BYTES = 1_200_000, 64
+CACHE_ROWS, CACHE_BYTES = 500_000, 64
 #: Documents whose new words are encoded in one call.
 GROUP = 128
 

@@ -37,7 +37,7 @@ CUTOFF = 0.3
 #: Lengths of the word beginnings in the lexicon.
 BEGINNINGS = (4, 5, 6)
 #: Words remembered by each Python worker.
-CACHE_ROWS = 400_000
+CACHE_ROWS = 200_000
 
 #: The letters that digits and signs stand for.
 LEET = {

@@ -122,6 +122,7 @@ def shingle_list(text):
 def test_jaccard_join_equals_brute_force(spark, docs, monkeypatch, small_blocks):
     if small_blocks:
         monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
+        monkeypatch.setattr(jaccard_join, "HEAVY", 2)
     rows = docs.select("doc_id", "text").collect()
     link, label = brute_components([shingle_list(r.text) for r in rows])
     ids = lambda own: [rows[x].doc_id for x in own if rows[x].doc_id is not None]
