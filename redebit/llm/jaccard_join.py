@@ -211,14 +211,20 @@ def index(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     parts = [entries]
     for _ in range(HEAVY_ROUNDS):
         heavy = either(heavy)
-        # Whoever has a heavy token in the prefix is indexed anew; so is, alike everywhere, what a bitmap takes for one.
-        keys = either(bitmap(passing(parts[-1], "token", heavy), "key_hash"))
+        # Whoever has a heavy token in the prefix, of whatever round, is indexed anew; so is, alike everywhere, what a
+        # bitmap takes for one. A prefix without heavy tokens is the same in the new order.
+        keys = either(*(bitmap(passing(p, "token", heavy), "key_hash") for p in parts))
         marks = either(bitmap(passing(own, "key_hash", keys), "text_hash"))
         fresh = indexed(passing(texts, "text_hash", marks), levels, as_bytes(heavy), words)
         fresh = stored(passing(fresh.where("token IS NOT NULL").select(*entry), "key_hash", keys))
         parts = [passing(p, "key_hash", keys, False) for p in parts] + [fresh]
-        shared.append(bitmap(fresh, "token"))
-        often = fresh.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
+        new = either(bitmap(fresh, "token"))
+        shared.append(new)
+        # Only tokens of fresh prefixes can have become heavy; they are counted over all prefixes.
+        grown = fresh.select("token")
+        for p in parts[:-1]:
+            grown = grown.unionAll(passing(p, "token", new).select("token"))
+        often = grown.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
         heavy = either(heavy, bitmap(often, "token"))
     possible = either(*shared)
     entries = parts[0]

@@ -133,6 +133,24 @@ def test_jaccard_join_equals_brute_force(spark, docs, monkeypatch, small_blocks)
     assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want]
 
 
+def test_links_survive_shared_passages_of_two_depths(spark):
+    draw = np.random.default_rng(7)
+    # Common words, so that the words of the shared passages are rarer and stand first in every prefix.
+    body = [f"w{i}" for i in draw.integers(0, 60, 902)]
+    shared, second = [f"h{i}" for i in range(50)], [f"p{i}" for i in range(60)]
+
+    def copy(i, *more):
+        return " ".join(sum(more, body) + [f"own{i}"])
+
+    texts = [" ".join(body)] + [copy(i, shared) for i in range(6)] + [copy(i, shared, second) for i in range(6, 13)]
+    texts += [" ".join([f"x{i}.{j}" for j in range(200)] + shared) for i in range(12)]
+    link, label = brute_components([shingle_list(t) for t in texts])
+    assert len(link[0]) == 6 and sorted(label[0]) == list(range(14))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.join_documents(docs).collect()}
+    assert got == {i: (min(label[i]), len(link[i])) for i in range(len(texts))}
+
+
 def test_one_of_each_keeps_one_row_of_a_component(spark, docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
