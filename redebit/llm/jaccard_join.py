@@ -411,17 +411,20 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray
 def count_links(tasks: DataFrame) -> DataFrame:
     """key, links (documents), and ``to``: an edge of the spanning forest of the block pair's links.
 
-    ``tasks``: task, side, key, copies, set; sorted so that a block pair's rows come together.
+    ``tasks``: task, side, key, copies, set; sorted so that a block pair's rows come together. Side 2 is a block that
+    meets itself; blocks on sides 0 and 1 are different ones, and without one of them there is no link.
     """
 
     def solve(rows: list[tuple]) -> Iterator[tuple[bytes, int, bytes | None]]:
-        sides = [[r for r in rows if r[0] == s] for s in (0, 1)]
+        sides = [[r for r in rows if r[0] == s] for s in (0, 1, 2)]
         sets = [[np.frombuffer(r[3], np.uint64) for r in side] for side in sides]
-        if not sides[1]:
-            links = linked(sets[0], None)
+        if sides[2]:
+            links = linked(sets[2], None)
             np.fill_diagonal(links, False)
-            nodes = sides[0]
+            nodes = sides[2]
             near = links
+        elif not sides[0] or not sides[1]:
+            return
         else:
             links = linked(sets[0], sets[1])
             nodes = sides[0] + sides[1]
@@ -478,13 +481,13 @@ def block_pairs(members: DataFrame, pairs: DataFrame, sets: DataFrame, copies: D
     sized = stored(counts.select("family", "sets", blocks.alias("blocks")))
     placed = members.join(sized, "family").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     all_blocks = lambda n: F.sequence(F.lit(0), n - 1)
-    # Within a family: block i meets block j, i <= j; a block that meets itself has one side.
+    # Within a family: block i meets block j, i <= j; a block that meets itself is side 2.
     inner = placed.where("sets > 1").select(
         "key", F.col("family").alias("a"), F.col("family").alias("b"), "block",
         F.explode(all_blocks(F.col("blocks"))).alias("other"),
     ).select(
         "key", "a", "b", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
+        F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
     )
     other = lambda end: sized.select(F.col("family").alias(end), F.col("blocks").alias("opposite"))
     sides = []

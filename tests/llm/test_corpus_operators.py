@@ -151,6 +151,25 @@ def test_links_survive_shared_passages_of_two_depths(spark):
     assert got == {i: (min(label[i]), len(link[i])) for i in range(len(texts))}
 
 
+def test_empty_blocks_add_no_links(spark):
+    sets = [np.arange(k, 100 + k, dtype=np.uint64).tobytes() for k in range(3)]
+    near = [(b"t", side, bytes([i]), 1, sets[i]) for side, i in ((2, 0), (2, 1), (2, 2))]
+    alone = [(t, side, bytes([i]), 1, sets[i]) for t, side in ((b"u", 0), (b"v", 1)) for i in range(3)]
+    tasks = "task binary, side int, key binary, copies long, set binary"
+    got = jaccard_join.count_links(spark.createDataFrame(near + alone, tasks)).groupBy("key").sum("links").collect()
+    assert {bytes(r.key)[0]: r[1] for r in got} == {0: 2, 1: 2, 2: 2}
+
+
+def test_links_of_a_family_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 100)
+    base = fixtures.prose(1, 400)
+    texts = [fixtures.swapped(base, i, 1) for i in range(3)]
+    link, _ = brute_components([shingle_list(t) for t in texts])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard_join.join_documents(docs).collect()}
+    assert got == {i: len(own) for i, own in enumerate(link)} == {0: 2, 1: 2, 2: 2}
+
+
 def test_one_of_each_keeps_one_row_of_a_component(spark, docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
