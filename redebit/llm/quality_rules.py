@@ -1,8 +1,8 @@
 """Quality rules: word statistics and zstandard compression bands.
 
-Every text is compressed whole and in fixed chunks. Repetitive text compresses too well and
-random text too badly; how well ordinary prose compresses depends on its length, so each
-length has its own limits.
+Every text is compressed whole and in chunks that cover all its bytes, shorter ones in shorter
+texts. Repetitive text compresses too well and random text too badly; how well ordinary prose
+compresses depends on its length, so each length has its own limits.
 
 Edge cases: a null text counts as empty. A text with fewer than ten words fails the base
 rule. Texts under ``LIMITS[0][0]`` bytes have no band, since frame overhead rules there.
@@ -29,9 +29,13 @@ LIMITS = (
     (4096, 0.18, 0.68),
     (16384, 0.15, 0.65),
 )
-#: Chunks have one length, hence one band.
+#: Chunks of this length, or a little more, have one band; shorter ones that of a text of their length.
 CHUNK_BYTES, CHUNK_LOW, CHUNK_HIGH = 4096, 0.15, 0.70
-#: A text is rejected when more than this share of its chunks lies outside the band.
+#: (bytes of a text at least, bytes of its chunks); shorter texts are one chunk.
+CHUNKS = ((512, 256), (4096, 1024), (16384, CHUNK_BYTES))
+#: A rest shorter than this belongs to the chunk before it.
+LEAST_REST = 256
+#: A text is rejected when more than this share of its bytes lies in chunks outside their band.
 BAD_CHUNK_SHARE = 0.25
 LEVEL = 3
 WINDOW = 5
@@ -79,13 +83,26 @@ def band(n_bytes: int, limits=LIMITS) -> tuple[float, float]:
     return low, high
 
 
-def ratios(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, list[float]]:
-    """Compressed size over size, of the whole and of each full chunk."""
+def chunk_band(n_bytes: int) -> tuple[float, float]:
+    return (CHUNK_LOW, CHUNK_HIGH) if n_bytes >= CHUNK_BYTES else band(n_bytes)
+
+
+def chunk_ends(n: int) -> list[int]:
+    """Where the chunks of a text of ``n`` bytes end; together they are the whole text."""
+    size = max((c for least, c in CHUNKS if n >= least), default=n)
+    ends = list(range(size, n + 1, size)) if size else []
+    if ends and n - ends[-1] < LEAST_REST:
+        ends.pop()
+    return [*ends, n] if n else []
+
+
+def ratios(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, list[tuple[int, float]]]:
+    """Compressed size over size of the whole, and bytes and ratio of each chunk."""
     whole = len(compressor.compress(raw)) / len(raw) if raw else 0.0
-    chunks = [
-        len(compressor.compress(raw[i : i + CHUNK_BYTES])) / CHUNK_BYTES
-        for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)
-    ]
+    ends = chunk_ends(len(raw))
+    if len(ends) == 1:
+        return whole, [(len(raw), whole)]
+    chunks = [(b - a, len(compressor.compress(raw[a:b])) / (b - a)) for a, b in zip([0, *ends], ends)]
     return whole, chunks
 
 
@@ -107,11 +124,12 @@ def measure(texts: Iterator[str]) -> dict[str, list]:
         failed = n < 10 or 100 * repeats > 20 * n
         whole, chunks = ratios(raw, compressor)
         low, high = band(len(raw))
-        bad = sum(not CHUNK_LOW <= r <= CHUNK_HIGH for r in chunks)
-        kept = not failed and low <= whole <= high and bad <= BAD_CHUNK_SHARE * len(chunks)
+        limits = [chunk_band(size) for size, _ in chunks]
+        bad = [size for (size, r), (a, b) in zip(chunks, limits) if not a <= r <= b]
+        kept = not failed and low <= whole <= high and sum(bad) <= BAD_CHUNK_SHARE * len(raw)
         row = (
             n, len(text) - sum(map(text.count, SPACES)), sum(raw.count(s) for s in SYMBOLS), duplicate_lines(text),
-            repeats, failed, kept, whole, len(chunks), bad,
+            repeats, failed, kept, whole, len(chunks), len(bad),
         )
         for name, value in zip(names, row):
             out[name].append(value)

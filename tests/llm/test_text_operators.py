@@ -94,6 +94,18 @@ def test_compression_bands_reject_both_ends(spark):
     assert got[1] and not got[2] and not got[3]
 
 
+def test_chunks_cover_the_whole_text():
+    for n in (0, 1, 300, 512, 700, 4095, 4096, 5000, 16384, 20475, 20500, 50000):
+        ends = quality_rules.chunk_ends(n)
+        assert (ends[-1] if ends else 0) == n and ends == sorted(set(ends))
+    rng = np.random.default_rng(2)
+    noise = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 4000))
+    prose = fixtures.prose(5, 3000)
+    spaced = " ".join(noise[i : i + 8] for i in range(0, 4000, 8))
+    got = quality_rules.measure(iter([prose[:4100], prose[:4100] + " " + noise[:3995], prose[:4100] + " " + spaced]))
+    assert got["kept"] == [True, False, False]
+
+
 def plain_spans(text):
     found = [
         (m.start(), 0, m.end())
