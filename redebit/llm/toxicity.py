@@ -2,10 +2,11 @@
 
 1. A character language model: letter trigrams of all texts, counted in the tasks; at most
    28**3 sums leave them.
-2. A word that looks obfuscated (letters mixed with digits or signs, letters set apart, letters
-   repeated) becomes a lattice: each character may stand for itself, for the letters it is
-   used for, for a repetition, or for nothing. Viterbi finds the likeliest letters under the
-   language model and the channel's costs.
+2. A word outside the vocabulary of clean texts that may be obfuscated (letters with digits or
+   signs, letters set apart, letters repeated) becomes a lattice: each character may stand for
+   itself, for the letters it is used for, for a repetition, or for nothing; between letters set
+   apart a word may end. Viterbi finds the likeliest letters under the language model and the
+   channel's costs.
 3. Restored words are scored by a lexicon of words and word beginnings from a bounded sample
    of labelled rows. One half of it gives a lexicon with which the other half fits how a
    text's word weights make its score. Every whole text is restored and scored.
@@ -47,8 +48,8 @@ LEET = {
 SEPARATORS = " .-_*~/\\"
 #: Costs of the channel in natural logarithms.
 SUBSTITUTED, REPEATED, DROPPED, LOST = 1.0, 0.3, 0.2, 8.0
-#: Longer words are no obfuscation: they are scored as they stand.
-LONGEST = 40
+#: Words of the vocabulary that are left as they stand, and the clean texts that must hold one.
+KNOWN, KNOWN_TEXTS = 50_000, 3
 LETTERS = 28  # 0: no letter, 1-26: a-z, 27: any other letter
 
 CODES = np.zeros(256, np.int64)
@@ -56,10 +57,11 @@ CODES[list(b"abcdefghijklmnopqrstuvwxyz")] = range(1, 27)
 CODES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = range(1, 27)
 CODES[128:] = 27
 
-#: A word with signs or digits at or between letters, letters set apart by signs, or a letter thrice.
-MIXED = re.compile(r"[a-z][0-9@$!|+€(*#%]+[a-z]|^[0-9@$!|+€*]{1,3}[a-z]{2}|[a-z]{2}[0-9@$!|+€]{1,3}$")
-APART = re.compile(r"^\w(?:[.\-_*~/\\]+\w){3,}$")
-THRICE = re.compile(r"([^\W\d_])\1\1")
+#: Letters set apart by signs.
+APART = re.compile(r"^[\w@$!|+€(#%](?:[.\-_*~/\\]+[\w@$!|+€(#%]){3,}$")
+LETTER = re.compile(r"[^\W\d_]")
+#: Without a digit, a sign or a letter twice in a row, the lattice leaves a word as it is.
+CHANGEABLE = re.compile(r"[\W\d_]|([^\W\d_])\1")
 #: Single characters with spaces between: a word spelled out.
 SPELLED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 EDGES = ".,;:?\"'()[]{}<>#%&*|!$~`-_/\\"
@@ -130,46 +132,58 @@ def code_of(letter: str) -> int:
 def decode(word: str, model: LetterModel, apart: bool = False) -> str:
     """The likeliest letters behind ``word`` (Viterbi over the last two letters).
 
-    A character equal to the one before may also count as its repetition and add nothing.
+    A character equal to the one before may also count as its repetition and add nothing. Where
+    letters are set apart, words may end between them; these have a space between them.
     """
     log = model.log
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # Letters are chains (letters before, letter), so that the work grows with the length only.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for c in word:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def reach(state: tuple[int, int], value: float, letters: str) -> None:
+        def reach(state: tuple[int, int], value: float, letters: tuple | None) -> None:
             if state not in after or value > after[state][0]:
                 after[state] = (value, letters)
 
         options = choices(c, apart)
+        ends = apart and c in SEPARATORS
         for (a, b), (value, letters) in states.items():
             if c == before and letters:
                 reach((a, b), value - REPEATED, letters)
             for letter, cost in options:
                 if letter:
                     k = code_of(letter)
-                    reach((b, k), value - cost + log[a][b][k], letters + letter)
+                    reach((b, k), value - cost + log[a][b][k], (letters, letter))
                 else:
                     reach((a, b), value - cost, letters)
+                    if ends and b:
+                        reach((b, 0), value - cost + log[a][b][0], (letters, " "))
         states, before = after, c
-    return max(((v + log[a][b][0], s) for (a, b), (v, s) in states.items()), default=(0.0, ""))[1]
+    chain = max(((v + log[a][b][0], s) for (a, b), (v, s) in states.items()), key=lambda e: e[0])[1]
+    out = []
+    while chain:
+        chain, letter = chain
+        out.append(letter)
+    return "".join(reversed(out)).strip()
 
 
 def plain(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
-def restored(word: str, model: LetterModel) -> str | None:
-    """What stands behind a word that looks obfuscated; None for ordinary words."""
+def restored(word: str, model: LetterModel, known: frozenset[str] = frozenset()) -> str | None:
+    """What stands behind a word that may be obfuscated, several words with spaces; None for ``known`` and unchangeable words."""
     low = word.lower().rstrip(".,;:?!\"'")
-    if len(low) < 3 or len(low) > LONGEST:
+    if len(low) < 3 or plain(word) in known or not LETTER.search(low) or not CHANGEABLE.search(low):
         return None
-    ascii_ = unicodedata.normalize("NFKD", low) if not low.isascii() else low
-    apart = APART.match(low) is not None
-    if apart or MIXED.search(ascii_) or THRICE.search(low):
-        return decode(low, model, apart)
-    return None
+    return decode(low, model, APART.match(low) is not None)
+
+
+def behind(word: str, model: LetterModel, known: frozenset[str] = frozenset()) -> list[str]:
+    """The words that stand behind one, and all of them as one."""
+    found = (restored(word, model, known) or "").split()
+    return [*found, "".join(found)] if len(found) > 1 else found
 
 
 def spelled(text: str) -> list[str]:
@@ -198,7 +212,28 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, i
     return stored(docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic", half.alias("half"))), counts
 
 
-def lexicon(sample: DataFrame, model: LetterModel, most: int = 5000) -> dict[str, float]:
+def vocabulary(sample: DataFrame) -> frozenset[str]:
+    """The changeable words of clean sampled texts that toxic ones do not hold more often; at most KNOWN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                totals[toxic].update({w for w in map(plain, set((text or "").split())) if LETTER.search(w) and CHANGEABLE.search(w)})
+        words = list(totals[0] | totals[1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.string()), *(pa.array([t[w] for w in words], pa.int64()) for t in totals)],
+            names=["word", "clean", "toxic"],
+        )
+
+    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sums = sample.select("text", "toxic").mapInArrow(run, "word string, clean long, toxic long")
+    sums = sums.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = sums.where((F.col("clean") >= KNOWN_TEXTS) & (F.col("toxic") * n.get(0, 0) <= F.col("clean") * n.get(1, 0)))
+    return frozenset(r.word for r in sums.orderBy(F.desc("clean"), "word").limit(KNOWN).collect())
+
+
+def lexicon(sample: DataFrame, model: LetterModel, known: frozenset[str] = frozenset(), most: int = 5000) -> dict[str, float]:
     """Log odds of the words and beginnings that speak most clearly for toxic texts.
 
     The odds are lowered by their standard error, so that rare words need more contrast.
@@ -209,7 +244,8 @@ def lexicon(sample: DataFrame, model: LetterModel, most: int = 5000) -> dict[str
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = {w: None for w in (text or "").split()}
-                found = {plain(w) for w in words} | {restored(w, model) or "" for w in [*words, *spelled(text or "")]}
+                found = {plain(w) for w in words}
+                found |= {x for w in words for x in behind(w, model, known)} | {x for w in spelled(text or "") for x in behind(w, model)}
                 totals[toxic].update({k for w in found if len(w) > 2 for k in keys(w)})
         all_keys = list(totals[0] | totals[1])
         yield pa.RecordBatch.from_arrays(
@@ -233,27 +269,30 @@ def lexicon(sample: DataFrame, model: LetterModel, most: int = 5000) -> dict[str
 class Weights(dict):
     """Weight of every raw word, worked out on first use; emptied when full."""
 
-    def __init__(self, lexicon: dict[str, float], model: LetterModel):
-        self.lexicon, self.model = lexicon, model
+    def __init__(self, lexicon: dict[str, float], model: LetterModel, known: frozenset[str] = frozenset()):
+        self.lexicon, self.model, self.known = lexicon, model, known
 
     def of(self, word: str) -> float:
         return max((self.lexicon.get(k, 0.0) for k in keys(word)), default=0.0) if len(word) > 2 else 0.0
 
     def __missing__(self, raw: str) -> float:
-        behind = restored(raw, self.model)
-        got = max(self.of(plain(raw)), self.of(behind) if behind else 0.0)
+        got = max(self.of(plain(raw)), *map(self.of, ["", *behind(raw, self.model, self.known)]))
         if len(self) >= CACHE_ROWS:
             self.clear()
         self[raw] = got
         return got
 
+    def run(self, raw: str) -> list[float]:
+        """The weights of all words of a spelled-out run."""
+        return [self.of(w) for w in behind(raw, self.model)]
+
 
 def summary(text: str, weights: Weights) -> tuple[float, float, float, float]:
     """Of the word weights: the largest, the sum of the three largest, how many are large, and per word."""
     words = text.split()
     got = np.fromiter(map(weights.__getitem__, words), float, len(words))
     if SPELLED.search(text):
-        got = np.concatenate([got, [weights[w] for w in spelled(text)]])
+        got = np.concatenate([got, *(weights.run(w) for w in spelled(text))])
     if not len(got):
         return 0.0, 0.0, 0.0, 0.0
     top = np.partition(got, -3)[-3:] if len(got) > 3 else got
@@ -277,18 +316,19 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list, np.ndarray | None]:
-    """Lexicon, trigram counts and regression weights."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list, np.ndarray | None, frozenset[str]]:
+    """Lexicon, trigram counts, regression weights and the vocabulary."""
     rows = letter_trigrams(docs).collect()  # at most 28**3
     sample, counts = labelled(docs, labels)
     first = LetterModel.of(rows)
-    words = lexicon(sample.where("half = 0"), first)
+    known = vocabulary(sample)
+    words = lexicon(sample.where("half = 0"), first, known)
     own = LetterModel.of(rows, {k[1:]: w for k, w in words.items() if k[0] == "="})
     if not words:
-        return {}, rows, None
+        return {}, rows, None, known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(words, own)
+        weights = Weights(words, own, known)
         for batch in batches:
             x = [summary(t or "", weights) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
@@ -297,22 +337,22 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list, n
     fitted = sample.where("half = 1").select("text", "toxic").mapInArrow(run, f"toxic {kind}, x array<double>").limit(8 * LABELLED).collect()
     y = np.array([r.toxic for r in fitted], float)
     if not 0 < y.sum() < len(y):
-        return {}, rows, None
+        return {}, rows, None, known
     # Each kind weighs as it does among all labelled rows of the training folds.
     share = np.where(y == 1, counts.get(1, 0) / y.sum(), counts.get(0, 0) / (len(y) - y.sum()))
     # How weights make a score was fitted on rows the lexicon had not seen; the final one may see them all.
-    return lexicon(sample, first), rows, logistic(np.array([r.x for r in fitted]), y, share / share.mean())
+    return lexicon(sample, first, known), rows, logistic(np.array([r.x for r in fitted]), y, share / share.mean()), known
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document: ``keep``, held_out, score (0 to 1), predicted."""
-    words, rows, beta = train(docs, labels)
+    words, rows, beta, known = train(docs, labels)
     own = LetterModel.of(rows, {k[1:]: w for k, w in words.items() if k[0] == "="})
 
     def measure(texts: Iterator[str]) -> dict[str, list]:
         if beta is None:
             return {"score": [0.0 for _ in texts]}
-        weights = worker_weights(words, own)
+        weights = worker_weights(words, own, known)
         x = np.array([summary(t, weights) for t in texts]).reshape(-1, 4)
         return {"score": 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))}
 
@@ -326,9 +366,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
 LAST: list = []
 
 
-def worker_weights(words: dict[str, float], model: LetterModel) -> Weights:
+def worker_weights(words: dict[str, float], model: LetterModel, known: frozenset[str]) -> Weights:
     """The weights of this task's lexicon; kept between batches and tasks that share it."""
-    mark = hash(frozenset(words.items()))
+    mark = hash((frozenset(words.items()), known))
     if not LAST or LAST[0] != mark:
-        LAST[:] = [mark, Weights(words, model)]
+        LAST[:] = [mark, Weights(words, model, known)]
     return LAST[1]

@@ -249,3 +249,19 @@ def test_obfuscated_words_are_restored():
         assert toxicity.restored(seen, model) == meant
     assert toxicity.restored("ordinary", model) is None and toxicity.restored("4587121519400672", model) is None
     assert toxicity.spelled("you i d i o t here") == ["i.d.i.o.t"]
+
+
+def test_long_runs_and_dense_signs_are_restored():
+    words = {f"={w}": 5.0 for w in ("idiot", "stupid", "moron")}
+    text = " ".join(["you are an idiot and the others here are not so stupid at all"] * 50)
+    codes = toxicity.CODES[np.frombuffer(f" {text} ".encode(), np.uint8)]
+    tri = np.bincount((codes[:-2] * 28 + codes[1:-1]) * 28 + codes[2:], minlength=28**3)
+    counts = toxicity.LetterModel(tri.astype(float))
+    weights = toxicity.Weights(words, counts)
+    assert toxicity.restored("5tup1d", counts) == "stupid" and toxicity.restored("stuupid", counts) == "stupid"
+    assert toxicity.restored("57up1d", counts) == "stupid" and weights["57up1d"] == weights["stuupid"] == 5.0
+    run = " ".join("youareanidiot")
+    assert toxicity.restored(toxicity.spelled(run)[0], counts) == "you are an idiot"
+    for spelled_out in (run, " ".join("youareanidiotandtheothersherearenotsostupidatall")):
+        assert toxicity.summary(spelled_out, weights)[0] == 5.0
+    assert toxicity.restored("stuupid", counts, frozenset({"stuupid"})) is None
