@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redebit.llm import jaccard_join, licenses, mixing, packing, quality_model, quality_rules, secret_scan, token_counts, topk_search, toxicity
+from redebit.llm import (
+    centroid_clusters,
+    conversation_repair,
+    jaccard_join,
+    licenses,
+    mixing,
+    packing,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    suffix_dedup,
+    token_counts,
+    topk_search,
+    toxicity,
+)
 from redebit.llm.common import table
 
 QUERIES = {}
@@ -69,3 +83,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licenses", licenses.oracle())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op11_centroid_clusters", centroid_clusters.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_suffix_dedup", suffix_dedup.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair", conversation_repair.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
