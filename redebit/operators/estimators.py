@@ -85,15 +85,24 @@ def with_arm(units: DataFrame, seed: str, control_pct: float, key: str = "custom
 def aa_coverage(units: DataFrame, seeds: list[str], outcome: Column, control_pct: float = 0.5) -> DataFrame:
     """Re-seeded A/A splits: how many intervals contain zero.
 
-    A row is repeated once per seed inside the map task and collapses into two counters
-    per seed before anything is shuffled.
+    Whoever is split is a customer, so rows are first summed per customer. A customer meets the
+    seeds inside the map task and collapses there into four counters per seed: what is shuffled
+    is one row per seed and task, however many rows and seeds there are.
     """
-    seeded = units.select(outcome.alias("_y"), "customer_id", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
-    armed = seeded.withColumn("arm", hashing.assign_arm(F.col("customer_id"), F.col("seed"), control_pct))
-    lifts = incremental_lift(arm_counts(armed, F.col("_y"), ["seed"]))
+    customers = units.groupBy("customer_id").agg(F.count("*").alias("_n"), F.count_if(outcome).alias("_s"))
+    seeded = customers.select("*", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
+    control = hashing.assign_arm(F.col("customer_id"), F.col("seed"), control_pct) == "control"
+    split = [F.sum(F.when(arm, F.col(c)).otherwise(0)).alias(f"{p}_{a}") for a, arm in (("t", ~control), ("c", control)) for p, c in (("n", "_n"), ("s", "_s"))]
+    lifts = incremental_lift(seeded.groupBy("seed").agg(*split))
     return lifts.withColumn("covers_zero", ~F.col("excludes_zero"))
 
 
+def aa_share(coverage: DataFrame) -> DataFrame:
+    """Of the A/A intervals, the share that contains zero, and the mean absolute lift."""
+    return coverage.agg(
+        F.count("*").alias("splits"), F.avg(F.col("covers_zero").cast("double")).alias("coverage"), F.avg(F.abs("lift")).alias("mean_abs_lift"))
+
+
 def group_split(units: DataFrame, key: str, holdout: float, salt: str = "split") -> DataFrame:
     """Hold out whole customers, never rows of one customer."""
     return units.withColumn("is_holdout", hashing.unit_interval(salt, F.col(key)) < holdout)

@@ -30,9 +30,12 @@ def explode_slots(cycles: DataFrame, keys: list[str], horizon: int) -> DataFrame
     """One row per hourly slot.
 
     The cycles are hash-distributed by ``keys`` first: exploding keeps that distribution,
-    so every later window per cycle sorts in place and only whole cycles ever move.
+    so every later window per cycle sorts in place and only whole cycles ever move. The number of
+    partitions is stated: cycles are small before they are exploded, and adaptive execution
+    would merge them into a few tasks that then hold ``horizon`` times as much.
     """
-    return cycles.repartition(*keys).select("*", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("slot"))
+    partitions = int(cycles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cycles.repartition(partitions, *keys).select("*", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("slot"))
 
 
 def legality_columns(rail: Column, decided_at: Column, deadline_at: Column, slot: Column) -> dict[str, Column]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from redebit.functions import calendar as cal
 from redebit.functions import hashing
@@ -181,54 +184,139 @@ def rank_candidates(slots: DataFrame, keys: list[str], top: int = 3, max_budget:
 # ---------------------------------------------------------------- survival form
 
 
-def _solve_survival(curve: np.ndarray, amount: float, stay: float, p_rec: float, budget: int, lead: int) -> tuple[int, float]:
-    """One cycle of the absorbing form; ``curve`` rows are slot, survival, legal, health, dr."""
-    slot, s, legal, health, dr = curve
-    h = slot.shape[0]
-    value = np.full(h, stay)
-    q = health * p_rec
-    ok = (slot[None, :] >= slot[:, None] + lead) & (legal[None, :] > 0)
-    safe = np.maximum(s, 1e-9)
-    best_slot = -1
-    for b in range(1, budget + 1):
-        spent = budget - b
-        cost = np.round(BASE_FEE + BETA_FRAUD * spent**2 * amount / 100 + LAMBDA_ANNOYANCE * spent * amount / 100)
-        lost = value - dr * stay
-        p = q[None, :] * (1.0 - s[None, :] / safe[:, None])
-        ev = np.where(ok, p * (amount + stay) + (1.0 - p) * lost[None, :] - cost, -np.inf)
-        ev[s <= 1e-9, :] = -np.inf
-        pick = ev.argmax(axis=1)
-        top = ev[np.arange(h), pick]
-        take = top > stay
-        value = np.where(take, top, stay)
-        best_slot = int(slot[pick[0]]) if take[0] else -1
-    return best_slot, float(value[0])
+# A presentation at slot t' after a failure at t is worth
+#
+#     lost + q gain - cost  -  (1 / S(t)) q S(t') gain,     gain = amount + stay - lost,
+#
+# where ``lost`` is what a further failure at t' leaves. For every t' that is a line in 1/S(t), and 1/S
+# grows with t. Walking back in time, one more line becomes reachable per slot, and the best one at
+# 1/S(t) is asked for: an upper envelope under insertion, kept as a tree over the slots in which each
+# node holds the line that is best in its middle. A batch of cycles walks in step, so every operation
+# is one over all of its cycles, and a cycle costs H log H per attempt in place of H x H.
+
+DEAD = 1e-9
+CYCLES_AT_ONCE = 1024
+
+
+class Envelope:
+    """Best of the inserted lines at each of n points per cycle; points grow along the axis."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        cycles, n = points.shape
+        self.depth = max(1, (n - 1).bit_length())
+        width = 1 << self.depth
+        self.x = np.concatenate([points, np.repeat(points[:, -1:], width - n, 1)], 1)
+        self.rise = np.zeros((cycles, 2 * width))
+        self.base = np.full((cycles, 2 * width), -np.inf)
+        self.name = np.full((cycles, 2 * width), -1)
+        self.every = np.arange(cycles)
+
+    def insert(self, rise: np.ndarray, base: np.ndarray, name: int) -> None:
+        """A line per cycle (base -inf: none); of equal values, the line that came last is taken."""
+        cycles = np.flatnonzero(base > -np.inf)
+        rise, base, name = rise[cycles], base[cycles], np.full(len(cycles), name)
+        newest = np.ones(len(cycles), bool)
+        node, low, span = np.ones(len(cycles), int), np.zeros(len(cycles), int), 1 << self.depth
+        while len(cycles):
+            half = span >> 1
+            held = [t[cycles, node] for t in (self.rise, self.base, self.name)]
+            at = self.x[cycles, low + half]
+            ours, theirs = rise * at + base, held[0] * at + held[1]
+            wins = (ours > theirs) | ((ours == theirs) & newest)
+            best = [np.where(wins, new, old) for new, old in zip((rise, base, name), held)]
+            for table, value in zip((self.rise, self.base, self.name), best):
+                table[cycles, node] = value
+            if not half:
+                return
+            rise, base, name = (np.where(wins, old, new) for new, old in zip((rise, base, name), held))
+            newest = newest & ~wins
+            # Lines cross once: the loser goes on only to the side where it is ahead at the end.
+            ends = [self.x[cycles, low], self.x[cycles, low + span - 1]]
+            left, right = (
+                (rise * x + base > best[0] * x + best[1]) | (newest & (rise * x + base == best[0] * x + best[1])) for x in ends)
+            on = left | right
+            node, low, span = (2 * node + right)[on], (low + half * right)[on], half
+            cycles, rise, base, name, newest = (c[on] for c in (cycles, rise, base, name, newest))
+
+    def best(self, point: int) -> tuple[np.ndarray, np.ndarray]:
+        """Value and name of the best line at a point, per cycle; equal values give the smaller name."""
+        path = [1]
+        for level in range(self.depth - 1, -1, -1):
+            path.append(2 * path[-1] + (point >> level & 1))
+        value = self.rise[:, path] * self.x[:, point : point + 1] + self.base[:, path]
+        top = value.max(1)
+        name = np.where(value == top[:, None], self.name[:, path], np.iinfo(int).max).min(1)
+        return top, name
+
+
+def survival_plan(slot: np.ndarray, survival: np.ndarray, legal: np.ndarray, health: np.ndarray, dr: np.ndarray,
+                  amount: np.ndarray, stay: np.ndarray, p_rec: np.ndarray, budget: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """First slot to present at (-1: none) and value per cycle; ``slot`` is shared, the rest is by cycle and slot."""
+    n = len(slot)
+    alive = survival > DEAD
+    q = health * p_rec[:, None]
+    unit, keep = amount / 100.0, stay[:, None]
+    value = np.repeat(keep, n, 1)
+    first, worth = np.full(len(amount), -1), stay.copy()
+    points = 1.0 / np.maximum(survival, DEAD)
+    for left in range(1, int(budget.max(initial=0)) + 1):
+        spent = np.maximum(budget - left, 0)
+        cost = np.round(BASE_FEE + BETA_FRAUD * spent**2 * unit + LAMBDA_ANNOYANCE * spent * unit)
+        lost = value - dr * keep
+        gain = amount[:, None] + keep - lost
+        base = np.where(legal, lost + q * gain - cost[:, None], -np.inf)
+        rise = np.where(legal, -q * survival * gain, 0.0)
+        lines, ahead = Envelope(points), n
+        after = value.copy()
+        for t in range(n - 1, -1, -1):
+            while ahead > 0 and slot[ahead - 1] >= slot[t] + lead:
+                ahead -= 1
+                lines.insert(rise[:, ahead], base[:, ahead], ahead)
+            top, name = lines.best(t)
+            take = alive[:, t] & (top > stay)
+            after[:, t] = np.where(take, top, stay)
+            if t == 0:
+                mine = budget == left
+                first = np.where(mine & take, slot[np.minimum(name, n - 1)], first)
+                worth = np.where(mine, after[:, 0], worth)
+        value = after
+    return first, worth
 
 
 def best_retry_slot_survival(slots: DataFrame, keys: list[str], lead: int = LEAD_SLOTS) -> DataFrame:
     """Absorbing variant: success depends on both the slot and the last failure.
 
-    Each cycle's slots (at most the horizon) form one array row, so a pandas batch solves
-    many cycles at once. Needs ``survival``, ``legal``, ``health``, ``dr`` for every slot.
+    Needs ``survival`` (not growing with the slot), ``legal``, ``health`` and ``dr`` for every slot of a
+    cycle's horizon. A cycle's slots form one row of arrays; cycles with the same slots are solved
+    together, ``CYCLES_AT_ONCE`` at a time, on an upper envelope.
     """
-    @F.pandas_udf("slot int, value_paise double")
-    def solve(curve: pd.Series, amount: pd.Series, stay: pd.Series, p_rec: pd.Series, budget: pd.Series) -> pd.DataFrame:
-        rows = []
-        for c, a, w, r, b in zip(curve, amount, stay, p_rec, budget, strict=True):
-            rows.append(_solve_survival(np.stack(c).astype(float).T, float(a), float(w), float(r), int(b), lead))
-        return pd.DataFrame(rows, columns=["slot", "value_paise"])
-
-    point = F.array(
-        F.col("slot").cast("double"), F.col("survival"), F.col("legal").cast("double"), F.col("health"), F.col("dr")
-    )
-    packed = slots.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(point)).alias("curve"),
-        *[F.any_value(c).alias(c) for c in ("amount_paise", "continuation_paise", "p_rec", "budget")],
-    )
-    solved = packed.withColumn(
-        "_d", solve("curve", "amount_paise", "continuation_paise", "p_rec", "budget")
-    )
-    return solved.select(*keys, F.when(F.col("_d.slot") >= 0, F.col("_d.slot")).alias("chosen_slot"), "_d.value_paise")
+    fields = ("slot", "survival", "legal", "health", "dr")
+    scalars = ("amount_paise", "continuation_paise", "p_rec", "budget")
+    point = F.struct(F.col("slot").cast("int").alias("slot"), F.col("survival").cast("double").alias("survival"), "legal",
+                     F.col("health").cast("double").alias("health"), F.col("dr").cast("double").alias("dr"))
+    packed = slots.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("curve"), *[F.any_value(c).cast("double").alias(c) for c in scalars])
+    rows = packed.select(*keys, *[F.col(f"curve.{f}").alias(f) for f in fields], *scalars)
+    schema = StructType([*packed.select(*keys).schema.fields, StructField("chosen_slot", IntegerType()), StructField("value_paise", DoubleType())])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), CYCLES_AT_ONCE):
+                batch = whole.slice(at, CYCLES_AT_ONCE)
+                column = lambda c: batch.column(batch.schema.names.index(c))
+                alike: dict[bytes, list[int]] = {}
+                for i, own in enumerate(column("slot")):
+                    alike.setdefault(own.values.to_numpy().tobytes(), []).append(i)
+                chosen, value = np.full(len(batch), -1), np.zeros(len(batch))
+                for shape, members in alike.items():
+                    slot = np.frombuffer(shape, np.int32)
+                    grid = [np.stack([column(f)[i].values.to_numpy(zero_copy_only=False) for i in members]) for f in fields[1:]]
+                    facts = [column(c).to_numpy(zero_copy_only=False)[members] for c in scalars]
+                    facts[-1] = facts[-1].astype(int)
+                    chosen[members], value[members] = survival_plan(slot, *grid, *facts, lead)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[: len(keys)], pa.array(chosen, pa.int32(), mask=chosen < 0), pa.array(value)], names=[f.name for f in schema])
+
+    return rows.mapInArrow(solve, schema)
 
 
 # ---------------------------------------------------------------- funding, replay, actions

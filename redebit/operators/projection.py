@@ -66,6 +66,36 @@ def cycle_columns(keys: list[str]) -> list[Column]:
     ]
 
 
+def cycle_event(event_id_type: str = "string") -> Column:
+    """What the fold needs of an event, as one struct."""
+    return F.struct(
+        F.unix_micros("occurred_at").alias("us"), F.col("event_id").cast(event_id_type).alias("id"),
+        F.col("event_type").isin(*FAILURES).alias("failed"), F.col("event_type").isin(*SUCCESSES).alias("paid"),
+        F.coalesce(F.col("amount_paise").cast("bigint"), F.lit(0)).alias("amount"), F.unix_micros("deadline_at").alias("deadline"),
+    )
+
+
+def facts_of_events(events: str = "events") -> list[Column]:
+    """The facts of ``cycle_facts`` from an array of a cycle's distinct events."""
+    def kept(condition):
+        return F.filter(events, condition)
+
+    def earliest(rows: Column, value) -> Column:
+        ordered_rows = F.transform(rows, lambda e: F.struct(e["us"].alias("us"), e["id"].alias("id"), value(e).alias("v")))
+        return F.array_min(ordered_rows)["v"]
+
+    failed, paid = kept(lambda e: e["failed"]), kept(lambda e: e["paid"])
+    return [
+        F.size(failed).cast("bigint").alias("attempts_used"),
+        F.timestamp_micros(F.array_max(F.transform(failed, lambda e: e["us"]))).alias("last_failure_at"),
+        F.size(paid).cast("bigint").alias("_successes"),
+        earliest(paid, lambda e: e["amount"]).alias("_paid_paise"),
+        earliest(kept(lambda e: e["amount"] != 0), lambda e: e["amount"]).alias("_amount"),
+        F.timestamp_micros(F.array_min(F.transform(events, lambda e: e["us"]))).alias("due_at"),
+        F.timestamp_micros(earliest(kept(lambda e: e["deadline"].isNotNull()), lambda e: e["deadline"])).alias("deadline_at"),
+    ]
+
+
 CYCLE_KEYS = ["tenant_id", "cycle_ref"]
 CYCLE_ATTRIBUTES = ["mandate_id", "customer_id", "rail", "mcc"]
 

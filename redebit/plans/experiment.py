@@ -549,21 +549,31 @@ def active_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.active_experiment(configs, tenants)
 
 
-AA_SEEDS = [f"aa-{i}" for i in range(20)]
+AA_SEEDS = [f"aa-{i}" for i in range(600)]
+_AA = f"""
+aac AS (SELECT customer_id, count(*) AS n, count(CASE WHEN recovered THEN 1 END) AS s FROM ev_cycles WHERE failed GROUP BY 1),
+aas AS (SELECT 'aa-' || i AS seed, n, s, CAST(('0x' || substr(sha256('aa-' || i || ':' || customer_id), 1, 8))
+  AS BIGINT) % 10000 < 5000 AS control FROM aac, range({len(AA_SEEDS)}) r(i)),
+counts AS (SELECT seed, CAST(sum(CASE WHEN control THEN 0 ELSE n END) AS BIGINT) AS n_t, CAST(sum(CASE WHEN control THEN 0 ELSE s END) AS BIGINT) AS s_t,
+  CAST(sum(CASE WHEN control THEN n ELSE 0 END) AS BIGINT) AS n_c, CAST(sum(CASE WHEN control THEN s ELSE 0 END) AS BIGINT) AS s_c FROM aas GROUP BY seed),
+l AS ({_lift_sql('counts', 'seed,')})"""
 
 
-@query("aa_coverage", v.with_(v.CYCLES, f"""
-seeded AS (SELECT 'aa-' || i AS seed, recovered, CASE WHEN CAST(('0x' || substr(sha256('aa-' || i || ':' || customer_id), 1, 8))
-  AS BIGINT) % 10000 < 5000 THEN 'control' ELSE 'treatment' END AS arm
-  FROM ev_cycles, range(20) r(i) WHERE failed),
-counts AS ({_COUNTS}, seed FROM seeded GROUP BY seed),
-l AS ({_lift_sql('counts', 'seed,')})""") + """
+def _aa_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = td.billing_cycles(spark, sf_dir).where("failed")
+    return estimators.aa_coverage(failed, AA_SEEDS, F.col("recovered"))
+
+
+@query("aa_coverage", v.with_(v.CYCLES, _AA) + """
 SELECT seed, lift, NOT excludes_zero AS covers_zero FROM l""")
 def aa_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = td.billing_cycles(spark, sf_dir).where("failed")
-    return estimators.aa_coverage(failed, AA_SEEDS, F.col("recovered")).select(
-        "seed", F.round("lift", 6).alias("lift"), "covers_zero"
-    )
+    return _aa_splits(spark, sf_dir).select("seed", F.round("lift", 6).alias("lift"), "covers_zero")
+
+
+@query("aa_share", v.with_(v.CYCLES, _AA) + """
+SELECT count(*) AS splits, round(avg(CASE WHEN excludes_zero THEN 0.0::DOUBLE ELSE 1.0 END), 6) AS coverage FROM l""")
+def aa_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estimators.aa_share(_aa_splits(spark, sf_dir)).select("splits", F.round("coverage", 6).alias("coverage"))
 
 
 @query("group_split", v.with_(v.CYCLES) + f"""

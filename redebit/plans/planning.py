@@ -259,15 +259,15 @@ def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def survival_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def survival_slots(spark: SparkSession, sf_dir: str, horizon: int = legality.PLAN_HOURS) -> DataFrame:
     learned = cycle_priors(td.billing_cycles(spark, sf_dir))
     curved = priors.with_curve(failed_cycles(spark, sf_dir).where("budget > 0"), learned)
-    slots = legality.explode_slots(curved, ["cycle_id"], HORIZON)
+    slots = legality.explode_slots(curved, ["cycle_id"], horizon)
     at = legality.slot_time(F.col("due_at"), F.col("slot"))
     hourly = priors.band_to_hourly(priors.slot_presence(at), cal.hour_band(at))
     curves = priors.survival_curve(slots.withColumn("hazard", hourly), ["cycle_id"], "hazard")
     return curves.select(
-        "cycle_id", "slot", "survival", legality.harness_legal(F.col("rail"), F.col("due_at"), F.col("slot")).alias("legal"),
+        "cycle_id", "slot", "survival", legality.harness_legal(F.col("rail"), F.col("due_at"), F.col("slot"), days=horizon // 24).alias("legal"),
         F.lit(1.0).alias("health"), F.lit(planning.DELTA_R).alias("dr"), "amount_paise",
         (F.col("amount_paise") * planning.W_MULTIPLE).alias("continuation_paise"), "p_rec", "budget",
     )
@@ -275,11 +275,43 @@ def survival_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("best_retry_slot_survival")
 def best_retry_slot_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Absorbing form; compared with a literal recursion in the tests."""
+    """Absorbing form over the whole month; compared with a literal recursion in the tests."""
     decided = planning.best_retry_slot_survival(survival_slots(spark, sf_dir), ["cycle_id"])
     return decided.withColumn("value_paise", F.round("value_paise", 3))
 
 
+_LAST_ATTEMPT = f"""
+ab AS (
+  SELECT c.cycle_id, c.rail, c.mcc, c.due_at, CAST(c.amount_paise AS DOUBLE) AS a, c.amount_paise * 12.0::DOUBLE AS w,
+    {v.p_recoverable('decline_code')} AS pr, {v.ticket_band('amount_paise')} AS tb, h AS slot, due_at + h * INTERVAL 1 HOUR AS ats
+  FROM ev_cycles c, range(720) r(h) WHERE failed AND {BUDGET_LEFT} > 0),
+ah AS (
+  SELECT ab.*, 1 - pow(1 - CASE WHEN s.n_obs IS NULL THEN g ELSE least(greatest(s.n_obs / (s.n_obs + 5.0) * s.hazard
+      + (1 - s.n_obs / (s.n_obs + 5.0)) * g, 1e-6), 1 - 1e-6) END,
+    1.0 / CASE {v.hour_band('ats')} WHEN 0 THEN 10 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 5 ELSE 2 END) AS hz
+  FROM ab CROSS JOIN cgp LEFT JOIN cseg s ON s.mcc = ab.mcc AND s.ticket_band = ab.tb AND s.rail = ab.rail
+    AND s.dom = {v.dom_ist('ats')} AND s.hb = {v.hour_band('ats')}),
+asv AS (SELECT *, exp(sum(ln(1 - least(greatest(hz, 1e-6), 1 - 1e-6))) OVER (PARTITION BY cycle_id ORDER BY slot)) AS s FROM ah),
+aev AS (
+  SELECT *, pr * (1 - s / first_value(s) OVER (PARTITION BY cycle_id ORDER BY slot)) AS p FROM asv),
+abest AS (
+  SELECT cycle_id, max({{'e': p * (a + w) + (1 - p) * (w - 0.04 * w) - 300, 'n': -slot}}) FILTER (slot >= 25 AND {v.exec_legal('rail', 'ats')}) AS best,
+    any_value(w) AS w FROM aev GROUP BY cycle_id)"""
+
+
+@query("last_attempt_survival", v.with_(v.CYCLES, CPRIORS, _LAST_ATTEMPT) + """
+SELECT cycle_id, coalesce(best.e > w, FALSE) AS presents,
+  round(CASE WHEN best.e > w THEN best.e ELSE w END, 2) AS value_paise FROM abest""")
+def last_attempt_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The absorbing form where one attempt is left, which SQL can follow over all 720 hours.
+
+    Once survival is all but 0, later slots are worth the same to the last digit; so the value is compared.
+    """
+    slots = survival_slots(spark, sf_dir).withColumn("budget", F.lit(1))
+    decided = planning.best_retry_slot_survival(slots, ["cycle_id"])
+    return decided.select("cycle_id", F.col("chosen_slot").isNotNull().alias("presents"), F.round("value_paise", 2).alias("value_paise"))
+
+
 # ------------------------------------------------------------------ replayed policies
 
 

@@ -50,17 +50,14 @@ def stream_issuer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_issuer_detector", "WITH RECURSIVE " + v.with_(v.EVENTS, ATT, _CUSUM)[5:] + """
 SELECT issuer, start_s, round(cusum, 6) AS cusum, since AS degraded_since_s, CAST(outages AS INT) AS outages
-FROM st WHERE rn > 0""")
+FROM st WHERE rn > 0 AND start_s + 86400 <= (SELECT epoch_us(max(occurred_at)) // 1000000 - 3600 FROM ev_events
+  WHERE event_type IN ('payment.failed', 'payment.captured'))""")
 def stream_issuer_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two chained jobs: the windows' latest counts are written first, then read as a stream by the detector."""
+    """One job from attempts to detector states; the last windows stay open, as no later attempt closes them."""
     attempts = _attempts(td.payment_events(spark, sf_dir))
     rate = attempts.agg(F.greatest(F.count_if("success") / F.count("*"), F.lit(0.05)).alias("b")).first()["b"]
-    windows = jobs.issuer_windows(_attempts(td.payment_event_stream(spark, sf_dir)), "1 hour", "1 day")
-    written, root = run.drain(windows, "update")
-    latest = run.latest(written, ["issuer", "window_start"])
-    latest.write.parquet(f"{root}/latest")
-    stream = spark.readStream.schema(latest.schema).parquet(f"{root}/latest")
-    rows, _ = run.drain(jobs.issuer_detector(stream, rate, **TUNING), "update")
+    states = jobs.issuer_detector(_attempts(td.payment_event_stream(spark, sf_dir)), rate, "1 hour", "1 day", **TUNING)
+    rows, _ = run.drain(states, "append")
     return rows.select(
         "issuer", "start_s", F.round("cusum", 6).alias("cusum"), "degraded_since_s", "outages"
     )
@@ -76,9 +73,9 @@ ses AS (SELECT mandate_id, cycle_ref, epoch_us(min(occurred_at)) AS started_us,
   count(CASE WHEN event_type = 'payment.failed' THEN 1 END) AS failures FROM islands GROUP BY mandate_id, cycle_ref, isl)""") + """
 SELECT mandate_id, cycle_ref, started_us, closed_us, failures FROM ses""")
 def stream_retry_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Sessions cannot be updated in place; complete mode gives all of them with each batch.
-    rows, _ = run.drain(jobs.retry_sessions(td.payment_event_stream(spark, sf_dir)), "complete")
-    return rows.where(F.col("batch_id") == rows.select(F.max("batch_id")).scalar()).select(
+    rows, _ = run.drain(jobs.retry_sessions(td.payment_event_stream(spark, sf_dir)), "update")
+    sessions = run.latest(rows, ["mandate_id", "cycle_ref", "started_at"]).where("NOT absorbed")
+    return sessions.select(
         "mandate_id", "cycle_ref", F.unix_micros("started_at").alias("started_us"), F.unix_micros("closed_at").alias("closed_us"), "failures"
     )
 

@@ -35,6 +35,31 @@ def test_outage_is_seen_at_once_and_only_where_it_is(spark, outage):
     assert final["outages"] == 1 and 55 <= final["outage_minutes"] <= 75
 
 
+def test_phases_equal_a_step_per_window():
+    rng = np.random.default_rng(7)
+    for span, n in ((1, 40), (3, 200), (256, 600)):
+        drift, bad = rng.normal(-0.02, 0.2, n), rng.random(n) < 0.4
+        start = np.arange(n) * 300
+        was, issuers.SPAN = issuers.SPAN, span
+        got = list(zip(*issuers.follow(issuers.HEALTHY, start, drift, bad, 0.25)))
+        cut = issuers.follow(issuers.HEALTHY, start[:17], drift[:17], bad[:17], 0.25)
+        rest = issuers.follow(tuple(c[-1].item() for c in cut), start[17:], drift[17:], bad[17:], 0.25)
+        issuers.SPAN = was
+        cusum, since, good, outages, minutes = 0.0, None, 0, 0, 0.0
+        for i in range(n):
+            cusum = max(0.0, cusum + drift[i])
+            if since is None:
+                if bad[i] and cusum > 0.25:
+                    since, good = start[i], 0
+            else:
+                good = max(0, good - 1) if bad[i] else good + 1
+                if good == issuers.RECOVERY_WINDOWS:
+                    outages, minutes, cusum, since, good = outages + 1, minutes + (start[i] - since) / 60, 0.0, None, 0
+            assert got[i] == (pytest.approx(cusum), -1 if since is None else since, good, outages, pytest.approx(minutes))
+        for whole, tail in zip(issuers.follow(issuers.HEALTHY, start, drift, bad, 0.25), rest):
+            assert tail == pytest.approx(whole[17:])
+
+
 def test_state_as_of_looks_only_back(spark):
     states = spark.createDataFrame([("a", 300, 1.0), ("a", 900, 2.0)], "issuer string, start_s bigint, cusum double")
     points = spark.createDataFrame([(i, "a", t) for i, t in enumerate((100, 300, 610, 905, 1300))], "n int, issuer string, t bigint").select(

@@ -1,7 +1,10 @@
 """Streams over split, shuffled and repeated files give the batch answer."""
 
+import datetime as dt
+import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +84,120 @@ def test_lag_alert(spark):
     assert jobs.lag_monitor(df.where("FALSE"), now).first()["breached"] is False
     progress = {"timestamp": "2026-01-01T00:01:00.000Z", "numInputRows": 5, "eventTime": {"max": "2026-01-01T00:00:10.000Z", "watermark": "2026-01-01T00:00:00.000Z"}}
     assert jobs.progress_lag(progress) == {"rows": 5, "value": 50.0, "breached": True}
+
+
+# ------------------------------------------------------------------ bounded state
+
+EVENT = "tenant_id string, cycle_ref string, event_id bigint, event_type string, occurred_at timestamp, received_at timestamp, amount_paise bigint, deadline_at timestamp"
+START = dt.datetime(2026, 1, 1)
+
+
+def cycle_log(seed=5, cycles=60, months=12):
+    """Events in order of receipt: retries, captures long after the deadline, re-deliveries, missing deadlines."""
+    rng, rows, number = random.Random(seed), [], 0
+    for c in range(cycles):
+        due = START + dt.timedelta(days=rng.randrange(30 * months), hours=rng.randrange(24))
+        deadline = due + dt.timedelta(days=30)
+        kinds = [("payment.failed", d) for d in sorted(rng.sample(range(0, 25), rng.randrange(0, 4)))]
+        if rng.random() < 0.5:
+            kinds.append(("payment.captured", rng.choice([2, 20, 45, 90, 150])))
+        for kind, day in kinds or [("payment.captured", 1)]:
+            number += 1
+            at = due + dt.timedelta(days=day)
+            known = None if rng.random() < 0.2 else deadline + dt.timedelta(days=rng.choice([0, 0, 5]))
+            row = (f"t{c % 2}", f"c{c}", number, kind, at, at + dt.timedelta(hours=rng.randrange(48)), rng.choice([0, 49_900]), known)
+            rows.append(row)
+            if rng.random() < 0.4:
+                rows.append((*row[:5], row[5] + dt.timedelta(days=rng.choice([0, 3, 100])), *row[6:]))
+    return sorted(rows, key=lambda r: r[5])
+
+
+def arriving(spark, folder, rows, schema, files):
+    """One file per micro-batch, in the order of ``rows``."""
+    os.makedirs(folder)
+    names = [x.split()[0] for x in schema.split(", ")]
+    frame = spark.createDataFrame(rows, schema)
+    kinds = frame.schema
+    size = -(-len(rows) // files)
+    for i in range(files):
+        own = pd.DataFrame(rows[i * size : (i + 1) * size], columns=names)
+        for name in ("occurred_at", "received_at", "deadline_at", "sent_at"):
+            if name in own:
+                own[name] = pd.to_datetime(own[name]).astype("datetime64[us]")
+        own.to_parquet(f"{folder}/{i:04d}.parquet", coerce_timestamps="us")
+        os.utime(f"{folder}/{i:04d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(folder), frame
+
+
+def state_rows(stream, mode, writer, checkpoint):
+    """Runs the stream to its end; rows in state after each micro-batch."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(writer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_evicted_cycles_find_their_events_again(spark, tmp_path):
+    rows = cycle_log()
+    stream, frame = arriving(spark, str(tmp_path / "in"), rows, EVENT, 12)
+    changes = jobs.cycle_changes(stream, clock="received_at", delay="1 hour", grace_days=10)
+    root = str(tmp_path / "table")
+    sizes = state_rows(changes, "update", jobs.projection_store(root, buckets=4, compact_every=5), str(tmp_path / "checkpoint"))
+    want = projection.project_cycles(frame).where("TRUE")
+    got = jobs.projected_table(spark, root, compact_every=5).where("deadline_at IS NOT NULL")
+    same(got, want)
+    # A cycle is held for its month and the grace, out of twelve; keys, values and timers count.
+    assert max(sizes) < 0.75 * 3 * 60 and sizes[-1] < max(sizes)
+
+
+def test_sessions_come_out_as_they_change(spark, tmp_path):
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        at = START + dt.timedelta(hours=rng.randrange(24 * 60))
+        rows.append((i % 3, f"c{i % 17}", rng.choice(["payment.failed", "payment.captured", "subscription.paused"]), at))
+    rows.sort(key=lambda r: r[3] + dt.timedelta(days=rng.randrange(7)))  # disorder within the delay
+    stream, frame = arriving(spark, str(tmp_path / "in"), rows, "mandate_id bigint, cycle_ref string, event_type string, occurred_at timestamp", 10)
+    written, sizes = [], []
+
+    def write(batch, batch_id):
+        written.append(batch.withColumn("batch_id", F.lit(batch_id)).toPandas())
+
+    sizes = state_rows(jobs.retry_sessions(stream, delay="8 days"), "update", write, str(tmp_path / "checkpoint"))
+    changes = pd.concat(written)
+    assert changes["absorbed"].any()
+    latest = changes.sort_values("batch_id").drop_duplicates(["mandate_id", "cycle_ref", "started_at"], keep="last")
+    columns = ["mandate_id", "cycle_ref", "started_at", "closed_at", "failures", "successes"]
+    got = sorted(map(tuple, latest[~latest["absorbed"]][columns].itertuples(index=False)))
+    want = sorted(map(tuple, projection.retry_sessions(frame).select(columns).toPandas().itertuples(index=False)))
+    assert got == want
+    assert all(len(w) < len(want) for w in written[1:])
+
+
+def test_message_panes_equal_sliding_windows(spark, tmp_path):
+    rng = random.Random(6)
+    rows = sorted(((rng.randrange(5), START + dt.timedelta(minutes=rng.randrange(60 * 24 * 120))) for _ in range(250)), key=lambda r: r[1])
+    stream, frame = arriving(spark, str(tmp_path / "in"), rows, "customer_id bigint, sent_at timestamp", 8)
+    want = frame.groupBy("customer_id", F.window("sent_at", "30 days", "1 day").alias("w")).agg(F.count("*").alias("messages_30d")).select(
+        "customer_id", F.col("w.end").alias("as_of"), "messages_30d")
+    same(jobs.trailing_messages(frame), want)
+    written, _ = run.drain(jobs.trailing_messages(stream), "update")
+    same(run.latest(written, ["customer_id", "as_of"]), want)
+
+
+def test_detector_follows_closed_windows(spark, tmp_path):
+    from redebit.operators import issuers
+
+    rng, rows = random.Random(8), []
+    for w in range(48):
+        for i in range(2):
+            down = i == 1 and 20 <= w < 30
+            rows += [(f"i{i}", START + dt.timedelta(minutes=5 * w, seconds=9 * a), rng.random() < (0.1 if down else 0.85)) for a in range(30)]
+    rows.sort(key=lambda r: r[1])
+    schema = "issuer string, sent_at timestamp, success boolean"
+    stream, frame = arriving(spark, str(tmp_path / "in"), rows, schema, 6)
+    named = lambda df: df.withColumnRenamed("sent_at", "at")
+    written, _ = run.drain(jobs.issuer_detector(named(stream), 0.82), "append")
+    batch = issuers.issuer_cusum(issuers.issuer_windows(named(frame)), F.lit(0.82))
+    last = START.replace(tzinfo=dt.timezone.utc).timestamp() + 300 * 47 + 9 * 29 - 600
+    rounded = lambda df: df.withColumn("cusum", F.round("cusum", 9)).withColumn("outage_minutes", F.round("outage_minutes", 9))
+    same(rounded(written.drop("batch_id")), rounded(batch.where(F.col("start_s") + 300 <= last)))
+    assert {r["issuer"] for r in written.where("degraded_since_s >= 0").collect()} == {"i1"}
