@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redebit.functions import calendar as cal
 from redebit.functions import causes
 from redebit.operators import history, issuers, ordered
+from redebit.session import checkpointed
 
 DAY = cal.DAY
 NEAR_SECONDS = 6 * 3600
@@ -113,7 +117,7 @@ def em_rows(observations: DataFrame) -> DataFrame:
     return observations.select(
         "cycle_id", "customer_id", "decline_code",
         *[F.coalesce(F.col(n).cast("double"), F.lit(-1.0)).alias(n) for n in CONTEXT],
-        F.col("recovered").cast("double").alias("recovered_flag"),
+        F.coalesce(F.col("recovered").cast("double"), F.lit(0.0)).alias("recovered_flag"),
         F.when(F.col("recovered") & (lag >= 0), F.log1p(lag)).otherwise(-1.0).alias("log_lag"),
         (F.coalesce("decline_code", F.lit("")) != "05").alias("anchored"),
         *[
@@ -123,58 +127,83 @@ def em_rows(observations: DataFrame) -> DataFrame:
     )
 
 
-def _moments(rows: DataFrame, responsibility: dict[str, Column], log_total: Column) -> dict:
-    """Responsibility-weighted sums per cause; the only thing that reaches the driver (4 rows)."""
-    features = CONTEXT + OUTCOME
-    shares = F.array(*[
-        F.struct(F.lit(c).alias("cause"), r.alias("r"), (log_total if i == 0 else F.lit(0.0)).alias("ll"))
-        for i, (c, r) in enumerate(responsibility.items())
-    ])
-    long = rows.select(*features, F.inline(shares))
-    sums = []
-    for name in features:
-        weighted = F.col("r") * F.col(name)
-        sums += [F.sum(weighted).alias(f"{name}|1"), F.sum(weighted * F.col(name)).alias(f"{name}|2")]
-    grouped = long.groupBy("cause").agg(F.sum("r").alias("mass"), F.sum("ll").alias("ll"), *sums)
-    return {r["cause"]: r.asDict() for r in grouped.collect()}
+FEATURES = CONTEXT + OUTCOME
+
+
+def evidence_patterns(rows: DataFrame) -> DataFrame:
+    """Rows of ``em_rows`` that look alike as one, with their number.
+
+    EM sees a row through its features, its first responsibilities and whether it is anchored;
+    rows that agree in these move alike in every iteration, so their number is all it needs.
+    """
+    looks = [*FEATURES, *[f"r_{c}" for c in causes.DIAGNOSABLE], "anchored"]
+    return rows.groupBy(*looks).agg(F.count("*").cast("double").alias("n"))
+
+
+def _expectation(model: CauseMixture | None):
+    """Per task: sums of responsibility, weighted features and their squares per cause, and the log likelihood."""
+    names, k = causes.DIAGNOSABLE, len(FEATURES)
+    if model is not None:
+        logs = np.log([model.weights[c] for c in names])
+        mean = np.array([[model.means[c][f] for f in FEATURES] for c in names])
+        var = np.array([[max(model.variances[c][f], MIN_VARIANCE) for f in FEATURES] for c in names])
+        logs = logs - 0.5 * np.log(2.0 * np.pi * var).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(names) * (1 + 2 * k) + 1)
+        for batch in batches:
+            columns = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns])
+            x, share, anchored, n = columns[:k].T, columns[k:-2].T, columns[-2] > 0, columns[-1]
+            if model is not None:
+                joint = logs + sum(-0.5 * (x[:, i, None] - mean[:, i]) ** 2 / var[:, i] for i in range(k))
+                top = joint.max(1, keepdims=True)
+                weight = np.exp(joint - top)
+                total = weight.sum(1, keepdims=True)
+                share = np.where(anchored[:, None], share, weight / total)
+                out[-1] += (n * (np.log(total) + top)[:, 0]).sum()
+            counted = share * n[:, None]
+            out[:-1] += np.concatenate([counted.sum(0), (counted.T @ x).ravel(), (counted.T @ (x * x)).ravel()])
+        yield pa.record_batch({"sums": [out]})
+
+    return run
+
+
+def _moments(patterns: DataFrame, model: CauseMixture | None) -> dict:
+    """Sums per cause over all patterns; as many numbers reach the driver as the model has, whatever the input."""
+    parts = patterns.mapInArrow(_expectation(model), "sums array<double>").select(F.posexplode("sums"))
+    sums = np.array([r["s"] for r in parts.groupBy("pos").agg(F.sum("col").alias("s")).orderBy("pos").collect()])
+    names, k = causes.DIAGNOSABLE, len(FEATURES)
+    mass, first, second = np.split(sums[:-1], [len(names), len(names) * (1 + k)])
+    return {"mass": mass, "first": first.reshape(-1, k), "second": second.reshape(-1, k), "log_likelihood": float(sums[-1])}
 
 
 def _maximise(moments: dict) -> tuple[dict, dict, dict]:
-    features = CONTEXT + OUTCOME
-    mass = {c: moments[c]["mass"] + 1e-12 for c in causes.DIAGNOSABLE}
-    total = sum(mass.values())
-    means = {c: {n: moments[c][f"{n}|1"] / mass[c] for n in features} for c in mass}
-    variances = {
-        c: {n: max(moments[c][f"{n}|2"] / mass[c] - means[c][n] ** 2, MIN_VARIANCE) for n in features} for c in mass
-    }
-    return {c: m / total for c, m in mass.items()}, means, variances
+    mass = moments["mass"] + 1e-12
+    mean = moments["first"] / mass[:, None]
+    var = np.maximum(moments["second"] / mass[:, None] - mean**2, MIN_VARIANCE)
+    by_cause = lambda m: {c: dict(zip(FEATURES, map(float, own))) for c, own in zip(causes.DIAGNOSABLE, m)}
+    return dict(zip(causes.DIAGNOSABLE, map(float, mass / mass.sum()))), by_cause(mean), by_cause(var)
 
 
 def fit_cause_em(observations: DataFrame, max_iterations: int = 200, tolerance: float = 1e-6) -> CauseMixture:
-    """Anchored EM: each iteration is one distributed aggregate of a few sums per cause.
+    """Anchored EM over evidence patterns, until the log likelihood moves by less than ``tolerance``.
 
-    Rows with an informative decline code keep their rule-based responsibility; only code
-    05 rows move. The driver holds nothing but the fitted moments.
+    Rows with an informative decline code keep their rule-based responsibility; only code 05
+    rows move. Rows are folded to patterns once, in the shared checkpoint folder; an iteration
+    reads the patterns and adds up a few sums per cause.
     """
-    rows = em_rows(observations).persist()
-    try:
-        pinned = {c: F.col(f"r_{c}") for c in causes.DIAGNOSABLE}
-        moments = _moments(rows, pinned, F.lit(0.0))
-        previous, model = -math.inf, None
-        for iteration in range(1, max_iterations + 1):
-            weights, means, variances = _maximise(moments)
-            model = CauseMixture(weights, means, variances, iteration, previous)
-            scored = _with_posterior(rows, model, CONTEXT + OUTCOME, "q_")
-            mixed = {c: F.when(F.col("anchored"), pinned[c]).otherwise(F.col(f"q_{c}")) for c in pinned}
-            moments = _moments(scored, mixed, F.col("log_total"))
-            likelihood = sum(m["ll"] for m in moments.values())
-            model = CauseMixture(weights, means, variances, iteration, likelihood)
-            if abs(likelihood - previous) < tolerance:
-                break
-            previous = likelihood
-        return model
-    finally:
-        rows.unpersist()
+    patterns = checkpointed(evidence_patterns(em_rows(observations)))
+    moments, previous = _moments(patterns, None), -math.inf
+    for iteration in range(1, max_iterations + 1):
+        weights, means, variances = _maximise(moments)
+        model = CauseMixture(weights, means, variances, iteration, previous)
+        moments = _moments(patterns, model)
+        likelihood = moments["log_likelihood"]
+        model = CauseMixture(weights, means, variances, iteration, likelihood)
+        if abs(likelihood - previous) < tolerance:
+            break
+        previous = likelihood
+    return model
 
 
 def predict_cause(rows: DataFrame, model: CauseMixture) -> DataFrame:

@@ -10,6 +10,7 @@ from redebit.operators import diagnosis, issuers
 from redebit.plans import views_sql as v
 from redebit.plans.customers import HIST, PAID
 from redebit.plans.registry import query
+from redebit.session import checkpointed
 from redebit.sources import testdata as td
 
 DAY = td.DAY
@@ -276,10 +277,7 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.withColumn("recall", F.round("recall", 6))
 
 
-@query("cause_em")
-def cause_em(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted mixture weights and means; checked against a plain NumPy EM in the tests."""
-    model = diagnosis.fit_cause_em(cause_rows(spark, sf_dir), max_iterations=10)
+def _em_table(spark: SparkSession, model: diagnosis.CauseMixture) -> DataFrame:
     rows = [
         (c, model.weights[c], model.means[c]["amount_ratio"], model.means[c]["recovered_flag"], model.iterations)
         for c in causes.DIAGNOSABLE
@@ -287,9 +285,51 @@ def cause_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "cause string, weight double, mean_ratio double, mean_recovered double, iterations int")
 
 
+@query("cause_em")
+def cause_em(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixture fitted to its tolerance; checked against a plain NumPy EM in the tests."""
+    return _em_table(spark, diagnosis.fit_cause_em(cause_rows(spark, sf_dir)))
+
+
+def _em_sql(iterations: int) -> str:
+    """The same EM, unrolled for a fixed number of iterations."""
+    names = causes.DIAGNOSABLE
+    features = {"issuer_health": "ih", "peer_rate": "peer", "sibling_rate": "sib", "amount_ratio": "ratio",
+                "days_since_payday": "coalesce(dsp, -1.0)", "n_concurrent": "ncon", "recovered_flag": "CASE WHEN recovered THEN 1 ELSE 0 END",
+                "log_lag": "CASE WHEN recovered THEN ln(1 + (cycle_id % 7 + 1) * 24.0) ELSE -1 END"}
+    feature = " UNION ALL ".join(f"SELECT cycle_id, '{n}' AS f, CAST({e} AS DOUBLE) AS x FROM obs" for n, e in features.items())
+    own = {"no_funds": "nf", "issuer_degraded": "idg", "fraud_hold": "0.25", "limit_breach": "lb"}
+    first = " UNION ALL ".join(
+        f"SELECT cycle_id, '{c}' AS c, coalesce(decline_code, '') <> '05' AS pinned, CAST(CASE WHEN decline_code = '05' THEN {own[c]} ELSE w_{c} END AS DOUBLE) AS w FROM emw"
+        for c in names)
+    steps = [f"emw AS (SELECT *, {v.cause_weights('decline_code')} FROM w05)", f"emf AS MATERIALIZED ({feature})",
+             f"em0 AS MATERIALIZED (SELECT cycle_id, c, pinned, CASE WHEN sum(w) OVER x > 0 THEN w / sum(w) OVER x ELSE 0.25 END AS r FROM ({first}) WINDOW x AS (PARTITION BY cycle_id))"]
+    for i in range(1, iterations + 1):
+        steps.append(f"""emm{i} AS MATERIALIZED (SELECT c, f, w, mu, greatest(sq - mu * mu, 1e-3) AS var FROM (
+            SELECT r.c, f, any_value(m) / (SELECT sum(m) FROM (SELECT sum(r) + 1e-12 AS m FROM em{i - 1} GROUP BY c)) AS w,
+              sum(r * x) / any_value(m) AS mu, sum(r * x * x) / any_value(m) AS sq
+            FROM em{i - 1} r JOIN emf USING (cycle_id) JOIN (SELECT c, sum(r) + 1e-12 AS m FROM em{i - 1} GROUP BY c) USING (c) GROUP BY r.c, f))""")
+        if i < iterations:
+            steps.append(f"""em{i} AS MATERIALIZED (SELECT cycle_id, c, pinned, CASE WHEN pinned THEN r ELSE e / sum(e) OVER (PARTITION BY cycle_id) END AS r FROM (
+                SELECT cycle_id, c, pinned, r, exp(j - max(j) OVER (PARTITION BY cycle_id)) AS e FROM (
+                  SELECT cycle_id, c, ln(any_value(w)) + sum(-0.5 * ln(2 * pi() * var) - (x - mu) * (x - mu) / (2 * var)) AS j
+                  FROM emf JOIN emm{i} USING (f) GROUP BY cycle_id, c) JOIN em{i - 1} USING (cycle_id, c)))""")
+    return v.with_(v.CYCLES, PAID, HIST, OBS, _AMBIG, *steps) + f"""
+SELECT c AS cause, round(any_value(w), 6) AS weight, round(max(mu) FILTER (f = 'amount_ratio'), 6) AS mean_ratio,
+  round(max(mu) FILTER (f = 'recovered_flag'), 6) AS mean_recovered, CAST({iterations} AS INT) AS iterations FROM emm{iterations} GROUP BY c"""
+
+
+@query("cause_em_steps", _em_sql(4))
+def cause_em_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit after exactly four iterations, as SQL can unroll it."""
+    model = diagnosis.fit_cause_em(cause_rows(spark, sf_dir), max_iterations=4, tolerance=0.0)
+    rounded = [F.round(c, 6).alias(c) for c in ("weight", "mean_ratio", "mean_recovered")]
+    return _em_table(spark, model).select("cause", *rounded, "iterations")
+
+
 @query("cause_predict")
 def cause_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cause_rows(spark, sf_dir)
-    model = diagnosis.fit_cause_em(rows, max_iterations=10)
+    rows = checkpointed(cause_rows(spark, sf_dir))
+    model = diagnosis.fit_cause_em(rows)
     scored = diagnosis.predict_cause(diagnosis.em_rows(rows), model)
     return scored.groupBy("decline_code", "em_cause").agg(F.count("*").alias("n"))
