@@ -19,6 +19,7 @@ import zlib
 from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import combining
 
 import numpy as np
 import pandas as pd
@@ -74,7 +75,8 @@ class WordIds:
         """Ids of words not met before, which are remembered.
 
         A full stop or comma behind letters is parted from them, and ASCII letters are
-        lower-cased, as the tokenizer does both; so fewer words need its call.
+        lower-cased, as the tokenizer does both; so fewer words need its call. A word whose
+        lower case ends in a combining mark stays whole, since the tokenizer joins the two marks.
         """
         known, letters, others, split = self.known, {}, [], []
         for word in words:
@@ -82,7 +84,7 @@ class WordIds:
             core = word[:-1] if mark == b"." or mark == b"," else word
             if core.isalpha():
                 core = core.lower()
-            elif core is word or not core.decode().isalpha():
+            elif core is word or not core.decode().isalpha() or combining(core.decode().lower()[-1]):
                 if word.decode().isalpha():
                     letters[word] = None
                     split.append((word, word, b""))

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -56,9 +58,12 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def candidates(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
     """(start, end, value) of credential-like runs that touch no base match."""
     found = []
+    starts = [s for s, _, _, _ in spans]
+    reach = list(accumulate((e for _, _, e, _ in spans), max))
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for s, _, e, _ in spans) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+        before = bisect_left(starts, b)  # base matches that start before the run ends
+        if not (before and reach[before - 1] > a) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
             found.append((a, b, m[0]))
     return found
 
