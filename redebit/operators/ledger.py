@@ -105,6 +105,79 @@ def verify_chain(ledger: DataFrame) -> DataFrame:
     return linked.select(*KEYS, "chain_seq", "decision_id", F.inline(breaks))
 
 
+# ---------------------------------------------------------------- register of chains
+#
+# A chain proves its own order, but not that it is all there: a chain that is gone, or whose tail
+# was cut off, leaves no gap. The register keeps, per chain, its length, its head and a Merkle
+# root over segments of record hashes; a tenant's root is a Merkle root over its chains. Chains,
+# and segments of a busy chain, are hashed side by side.
+
+SEGMENT_RECORDS, FAN_IN = 4096, 256
+
+
+def merkle_roots(hashes: DataFrame, keys: list[str], place: str, value: str, largest: int, fan_in: int = FAN_IN) -> DataFrame:
+    """One root per ``keys`` over ``value`` in the order of ``place`` (0, 1, ..., below ``largest``).
+
+    A node is the hash of up to ``fan_in`` neighbours, so no group holds more than that, and the
+    number of levels follows ``largest`` alone.
+    """
+    level, left = hashes.select(*keys, F.col(place).cast("bigint").alias("_at"), F.col(value).alias("_hash")), max(largest, 1)
+    while True:
+        grouped = level.groupBy(*keys, F.floor(F.col("_at") / fan_in).alias("_at"))
+        level = grouped.agg(F.array_sort(F.collect_list(F.struct("_at", "_hash"))).alias("_nodes")).select(
+            *keys, "_at", F.sha2(F.array_join(F.col("_nodes._hash"), "|"), 256).alias("_hash"))
+        left = -(-left // fan_in)
+        if left == 1:
+            return level.select(*keys, F.col("_hash").alias("root"))
+
+
+def segment_roots(ledger: DataFrame, records: int = SEGMENT_RECORDS) -> DataFrame:
+    """Per (tenant, lane, segment): its records and the Merkle root over them."""
+    placed = ledger.withColumn("segment", F.floor(F.col("chain_seq") / records)).withColumn("_in", F.col("chain_seq") % records)
+    sizes = placed.groupBy(*KEYS, "segment").agg(F.count("*").alias("records"))
+    return ordered.matched(sizes, merkle_roots(placed, [*KEYS, "segment"], "_in", "record_hash", records), [*KEYS, "segment"])
+
+
+def chain_register(ledger: DataFrame, records: int = SEGMENT_RECORDS) -> DataFrame:
+    """Per chain: its length, its head, and the roots of its segments, to be kept apart from the ledger."""
+    roots = segment_roots(ledger, records).groupBy(*KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("segment", "records", "root"))).alias("segments"))
+    return ordered.matched(chain_heads(ledger), roots, KEYS)
+
+
+def tenant_roots(register: DataFrame) -> DataFrame:
+    """One Merkle root per tenant over the heads of its chains, in lane order: a figure to publish."""
+    lane = F.row_number().over(Window.partitionBy("tenant_id").orderBy("lane")) - 1  # one small row per chain
+    chains = register.withColumn("_lane", lane)
+    largest = chains.agg(F.max("_lane")).first()[0]
+    return merkle_roots(chains, ["tenant_id"], "_lane", "record_hash", (largest or 0) + 1)
+
+
+def verify_register(ledger: DataFrame, register: DataFrame, records: int = SEGMENT_RECORDS) -> DataFrame:
+    """What a register says is not there any more, or is not what it was: one row per fault.
+
+    ``lost chain``, ``unknown chain``, ``cut tail`` (records after the last one found), and
+    ``changed segment`` where the records of a segment are complete in number or not but differ
+    from its root. A chain that has grown since is no fault.
+    """
+    known = register.select(*KEYS, F.col("chain_seq").alias("_seq"), F.inline("segments"))
+    bound = ordered.matched(ledger, register.select(*KEYS, F.col("chain_seq").alias("_last")), KEYS)
+    now = segment_roots(bound.where("chain_seq <= _last").drop("_last"), records)
+    heads = ordered.matched(
+        register.select(*KEYS, F.col("chain_seq").alias("_seq")),
+        ledger.groupBy(*KEYS).agg(F.max("chain_seq").alias("_found")), KEYS, "left")
+    lost = heads.where("_found IS NULL").select(*KEYS, F.lit("lost chain").alias("reason"), F.lit(0).cast("bigint").alias("from_seq"), F.col("_seq").alias("to_seq"))
+    cut = heads.where("_found < _seq").select(*KEYS, F.lit("cut tail").alias("reason"), (F.col("_found") + 1).alias("from_seq"), F.col("_seq").alias("to_seq"))
+    chains = ledger.select(*KEYS).distinct()
+    unknown = ordered.matched(chains, register.select(*KEYS), KEYS, "left_anti").select(
+        *KEYS, F.lit("unknown chain").alias("reason"), F.lit(None).cast("bigint").alias("from_seq"), F.lit(None).cast("bigint").alias("to_seq"))
+    seen = ordered.matched(known, now.select(*KEYS, "segment", F.col("root").alias("_root")), [*KEYS, "segment"], "left")
+    changed = seen.where("_root IS NOT NULL AND _root <> root").select(
+        *KEYS, F.lit("changed segment").alias("reason"), (F.col("segment") * records).alias("from_seq"),
+        F.least(F.col("segment") * records + records - 1, F.col("_seq")).alias("to_seq"))
+    return lost.unionByName(cut).unionByName(unknown).unionByName(changed)
+
+
 def replay_decisions(ledger: DataFrame, checks_schema: str = "array<struct<rule_id:string,verdict:string>>") -> DataFrame:
     """Each decision with its parsed checks, refused rules and whether its hash still matches."""
     computed = F.sha2(link_text(F.col("chain_seq"), F.col("prev_hash")), 256)

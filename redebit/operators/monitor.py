@@ -43,19 +43,19 @@ def unpivot(rows: DataFrame, features: list[str], keep: list[str] | None = None)
     return rows.select(*(keep or []), F.inline(cells))
 
 
-def value_ranks(counts: DataFrame, buckets: int = 1000) -> DataFrame:
+def value_ranks(counts: DataFrame, buckets: int = 256) -> DataFrame:
     """Cumulative counts over sorted values per feature.
 
-    Values are cut into equal-width buckets, so the running sum of a feature with very many
-    distinct values is spread over tasks; only bucket totals meet.
+    Values are cut at their own approximate quantiles, so that buckets hold about as many distinct
+    values each however they lie; one far value does not push all others into a single bucket. The
+    cuts only say where a task ends: counts and running sums are exact.
     """
-    bounds = counts.groupBy("feature").agg(
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("n").alias("total")
+    cuts = counts.groupBy("feature").agg(
+        F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 100 * buckets).alias("_cuts"), F.sum("n").alias("total")
     )
-    width = F.col("_hi") - F.col("_lo")
-    joined = counts.join(F.broadcast(bounds), "feature")  # one row per monitored feature
-    bucket = F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width * buckets)).otherwise(0)
-    return ordered.running(joined, ["feature"], ["value"], bucket, {"cum": ("sum", F.col("n"))})
+    joined = counts.join(F.broadcast(cuts), "feature")  # one row of ``buckets`` cuts per monitored feature
+    bucket = F.size(F.filter("_cuts", lambda c: c <= F.col("value")))
+    return ordered.running(joined.withColumn("_bucket", bucket).drop("_cuts"), ["feature"], ["value"], F.col("_bucket"), {"cum": ("sum", F.col("n"))}).drop("_bucket")
 
 
 def exact_quantiles(counts: DataFrame, probabilities: list[float]) -> DataFrame:

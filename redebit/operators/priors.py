@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from redebit.functions import calendar as cal
 from redebit.functions import stats
 from redebit.operators.legality import slot_time
-from redebit.operators.projection import FAILURES, SUCCESSES
+from redebit.operators.projection import FAILURES, SUCCESSES, unique_events
 
 SEGMENT = ["mcc", "ticket_band", "rail", "day_of_month", "hour_band"]
 MIN_COHORT, MIN_CONTRIBUTORS = 50, 3
@@ -29,10 +29,11 @@ _TICKET_WEIGHT = (1.0, 0.92, 0.8, 0.62, 0.45)
 def outcomes_with_segment(events: DataFrame, cycles: DataFrame) -> DataFrame:
     """Payment outcomes banded by their cycle's amount; outcomes without a cycle drop out.
 
-    The join is on the cycle reference, so an event counts once and in its own ticket band.
+    The join is on the cycle reference, so an event counts in its own ticket band; re-deliveries
+    of an event count once.
     """
     paid = F.col("event_type").isin(*SUCCESSES)
-    outcomes = events.where(paid | F.col("event_type").isin(*FAILURES))
+    outcomes = unique_events(events.where(paid | F.col("event_type").isin(*FAILURES)))
     amounts = cycles.select("cycle_ref", F.col("amount_paise").alias("cycle_paise"))
     return outcomes.join(amounts, "cycle_ref").select(
         "tenant_id", "rail",

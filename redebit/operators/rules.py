@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,46 +17,123 @@ FACTS = {
 }
 
 
-#: What a predicate may be made of: comparisons, logic, arithmetic that cannot fail, and these functions.
-NODES = {
-    "And", "Or", "Not", "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual",
-    "In", "IsNull", "IsNotNull", "Between", "UnresolvedBetween", "Literal", "UnresolvedAttribute", "UnresolvedFunction",
-    "CaseWhen", "If",
-}
-FUNCTIONS = {"between", "coalesce", "least", "greatest", "upper", "lower", "trim", "length", "try_add", "try_subtract", "try_multiply", "try_divide", "startswith", "endswith", "contains"}
+#: Functions a predicate may call; none of them can fail on a value.
+FUNCTIONS = (
+    "coalesce", "least", "greatest", "upper", "lower", "trim", "length", "try_add", "try_subtract", "try_multiply", "try_divide",
+    "startswith", "endswith", "contains",
+)
 
 
-def admitted(spark: SparkSession, predicate: str | None) -> bool:
-    """Whether Spark reads ``predicate`` as an expression over ``FACTS`` made of admitted parts only.
+class Refused(Exception):
+    """Why a predicate is not admitted."""
+
+
+def _pairs(children: list[Column]) -> Column:
+    """CASE WHEN from its conditions and values in turn, and the last value if there is one more."""
+    out = F
+    for i in range(0, len(children) - 1, 2):
+        out = out.when(children[i], children[i + 1])
+    return out.otherwise(children[-1]) if len(children) % 2 else out
+
+
+#: What each admitted part of a predicate becomes. Arithmetic takes the forms that give NULL where they fail.
+BUILD = {
+    "And": lambda a, b: a & b, "Or": lambda a, b: a | b, "Not": lambda a: ~a,
+    "EqualTo": lambda a, b: a == b, "EqualNullSafe": lambda a, b: a.eqNullSafe(b), "LessThan": lambda a, b: a < b,
+    "LessThanOrEqual": lambda a, b: a <= b, "GreaterThan": lambda a, b: a > b, "GreaterThanOrEqual": lambda a, b: a >= b,
+    "In": lambda a, *of: a.isin(*of), "IsNull": lambda a: a.isNull(), "IsNotNull": lambda a: a.isNotNull(),
+    "UnresolvedBetween": lambda a, low, high: a.between(low, high), "Add": F.try_add, "Subtract": F.try_subtract,
+    "Multiply": F.try_multiply, "Divide": F.try_divide, "UnaryMinus": lambda a: F.try_subtract(F.lit(0), a),
+    "UnaryPositive": lambda a: a, "If": lambda test, yes, no: F.when(test, yes).otherwise(no), "CaseWhen": lambda *c: _pairs(list(c)),
+}
+
 
-    Rule text comes from files: nothing else may run, and nothing that can fail at run time, so
-    that a bad rule fails by itself and never the job.
+def _built(node) -> Column:
+    """A part of the parsed predicate as a column, made of admitted parts only."""
+    kind = node.getClass().getSimpleName()
+    if kind == "Literal":
+        return F.expr(node.sql())
+    if kind == "UnresolvedAttribute":
+        if node.name() not in FACTS:
+            raise Refused(f"unknown fact {node.name()}")
+        return F.col(node.name())
+    children = [node.children().apply(i) for i in range(node.children().length())]
+    if kind == "Like":
+        pattern = children[1].sql() if children[1].getClass().getSimpleName() == "Literal" else None
+        if pattern is None or "\\" in pattern:
+            raise Refused("LIKE takes a fixed pattern without escapes")
+        return _built(children[0]).like(pattern[1:-1])
+    if kind == "UnresolvedFunction":
+        name = node.nameParts().mkString(".").lower()
+        if name == "between":
+            return BUILD["UnresolvedBetween"](*map(_built, children))
+        if name not in FUNCTIONS:
+            raise Refused(f"function {name} is not admitted")
+        return F.call_function(name, *map(_built, children))
+    if kind not in BUILD:
+        raise Refused(f"{kind} is not admitted")
+    return BUILD[kind](*map(_built, children))
+
+
+def _text_casts(node) -> bool:
+    """Whether the analysed expression turns text into something else, which fails on some texts."""
+    if node.getClass().getSimpleName() == "Cast" and node.child().dataType().typeName() == "string" and node.dataType().typeName() != "string":
+        return True
+    children = node.children()
+    return any(_text_casts(children.apply(i)) for i in range(children.length()))
+
+
+def compiled(spark: SparkSession, predicate: str | None) -> tuple[Column | None, str | None]:
+    """The predicate as a column over ``FACTS``, or why it is refused.
+
+    Rule text comes from files. Spark's parser reads it (PySpark has no public call for the parse
+    tree, so this asks the JVM session); what is admitted is built anew from its parts, so nothing
+    else can run, and nothing that can fail at run time: a bad rule fails by itself and never the job.
     """
-    if not predicate:
-        return False
+    if not predicate or not predicate.strip():
+        return None, "empty predicate"
     try:
-        waiting = [spark._jsparkSession.sessionState().sqlParser().parseExpression(predicate)]
-    except Exception:  # noqa: BLE001 - a text that Spark cannot read is not admitted
-        return False
-    while waiting:
-        node = waiting.pop()
-        kind = node.getClass().getSimpleName()
-        if kind not in NODES:
-            return False
-        if kind == "UnresolvedAttribute" and node.name() not in FACTS:
-            return False
-        if kind == "UnresolvedFunction" and node.nameParts().mkString(".").lower() not in FUNCTIONS:
-            return False
-        children = node.children()
-        waiting += [children.apply(i) for i in range(children.length())]
+        parsed = spark._jsparkSession.sessionState().sqlParser().parseExpression(predicate)
+    except Exception as error:  # noqa: BLE001 - whatever Spark says of a text it cannot read
+        return None, f"not readable: {str(error).strip().splitlines()[0][:120]}"
     try:
-        checked = spark.createDataFrame([], ", ".join(f"{n} {k}" for n, k in FACTS.items())).select(F.expr(predicate).alias("ok"))
-    except AnalysisException:
-        return False
-    # Comparing text with numbers would cast the text, which fails at run time; widening numbers is safe.
-    casts = re.findall(r"cast\((\w*)", checked._jdf.queryExecution().analyzed().toString())
-    numbers = {n for n, k in FACTS.items() if k in ("int", "bigint", "double")}
-    return checked.schema["ok"].dataType.simpleString() == "boolean" and all(c in numbers or c.isdigit() for c in casts)
+        column = _built(parsed)
+        checked = spark.createDataFrame([], ", ".join(f"{n} {k}" for n, k in FACTS.items())).select(column.alias("ok"))
+    except Refused as error:
+        return None, str(error)
+    except AnalysisException as error:
+        return None, f"not valid: {str(error).strip().splitlines()[0][:120]}"
+    if checked.schema["ok"].dataType.simpleString() != "boolean":
+        return None, "not a condition"
+    expressions = checked._jdf.queryExecution().analyzed().expressions()
+    if any(_text_casts(expressions.apply(i)) for i in range(expressions.length())):
+        return None, "compares text with something else"
+    return column, None
+
+
+def admitted(spark: SparkSession, predicate: str | None) -> bool:
+    return compiled(spark, predicate)[1] is None
+
+
+def refused_rules(rules: DataFrame) -> DataFrame:
+    """Rules whose predicate is not admitted, with the reason: to be shown when rules are loaded."""
+    spark = rules.sparkSession
+    texts = [r["predicate"] for r in rule_table(rules).select("predicate").distinct().collect()]
+    reasons = [(t, compiled(spark, t)[1]) for t in texts]
+    found = spark.createDataFrame([r for r in reasons if r[1]], "predicate string, reason string")
+    return rules.join(F.broadcast(found), rules["predicate"].eqNullSafe(found["predicate"])).select("rule_id", "version", rules["predicate"], "reason")
+
+
+MAX_RULES = 10_000
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """Of versions that start on the same date, the newest; an error beyond ``MAX_RULES`` of them."""
+    newest = Window.partitionBy("rule_id", "as_of").orderBy(F.col("version").desc())
+    kept = rules.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+    if kept.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rule versions")
+    return kept
 
 
 def rules_in_force(contexts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -88,8 +163,8 @@ def with_afa_cap(actions: DataFrame, caps: DataFrame) -> DataFrame:
 
 def _check(spark: SparkSession, rule, applies: Column) -> Column:
     """A rule's outcome for an action it applies to; NULL where it does not apply. A rule not admitted fails."""
-    usable = admitted(spark, rule["predicate"])
-    passed = F.coalesce(F.expr(rule["predicate"]), F.lit(False)) if usable else F.lit(False)
+    condition, _ = compiled(spark, rule["predicate"])
+    passed = F.lit(False) if condition is None else F.coalesce(condition, F.lit(False))
     verdict = F.when(passed, "ALLOW").otherwise(rule["on_fail"])
     return F.when(
         applies,
@@ -106,7 +181,7 @@ def evaluate_rules(actions: DataFrame, rules: DataFrame) -> DataFrame:
     no rule covers is denied and marked degraded. Needs the columns of ``FACTS`` plus
     ``action_type``, ``rail`` and ``as_of``.
     """
-    table = sorted(rules.collect(), key=lambda r: (r["rule_id"], r["as_of"], r["version"]), reverse=True)
+    table = sorted(rule_table(rules).collect(), key=lambda r: (r["rule_id"], r["as_of"], r["version"]), reverse=True)
     missing = [F.lit(None).cast(kind).alias(name) for name, kind in FACTS.items() if name not in actions.columns]
     facts = actions.select("*", *missing) if missing else actions
     checks: dict[str, Column] = {}

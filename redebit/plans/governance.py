@@ -13,6 +13,7 @@ from redebit.operators import ledger, legality, privacy, reconcile, replies, rul
 from redebit.plans import views_sql as v
 from redebit.plans.ingest import PROJECTED, projected
 from redebit.plans.registry import query
+from redebit.session import checkpointed
 from redebit.sources import events as ev
 from redebit.sources import testdata as td
 
@@ -218,6 +219,53 @@ def verify_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.verify_chain(damaged(spark, sf_dir))
 
 
+_SEGMENT = 4
+_REGISTER = f"""
+node AS (SELECT tenant_id, lane, seq // {_SEGMENT} AS segment, count(*) AS records, sha256(string_agg(h, '|' ORDER BY seq)) AS root FROM chain GROUP BY ALL),
+reg AS (SELECT tenant_id, lane, max(seq) AS last FROM chain GROUP BY ALL),
+kept AS (SELECT tenant_id, lane, seq, CASE WHEN amount_paise % 37 = 0 THEN repeat('f', 64) ELSE h END AS h FROM full_
+  WHERE NOT (seq > 0 AND amount_paise % 41 = 0) AND lane % 13 <> 0),
+again AS (SELECT tenant_id, lane, seq // {_SEGMENT} AS segment, sha256(string_agg(h, '|' ORDER BY seq)) AS root FROM kept GROUP BY ALL),
+ends AS (SELECT r.tenant_id, r.lane, r.last, max(k.seq) AS found FROM reg r LEFT JOIN kept k USING (tenant_id, lane) GROUP BY ALL),
+flt AS (
+  SELECT tenant_id, lane, 'lost chain' AS reason, 0::BIGINT AS from_seq, last AS to_seq FROM ends WHERE found IS NULL
+  UNION ALL SELECT tenant_id, lane, 'cut tail', found + 1, last FROM ends WHERE found < last
+  UNION ALL SELECT n.tenant_id, n.lane, 'changed segment', segment * {_SEGMENT}, least(segment * {_SEGMENT} + {_SEGMENT - 1}, last)
+    FROM node n JOIN again a USING (tenant_id, lane, segment) JOIN reg r USING (tenant_id, lane) WHERE n.root <> a.root)"""
+
+
+def _kept_register(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    built = checkpointed(chained(spark, sf_dir))
+    return built, ledger.chain_register(built, _SEGMENT)
+
+
+@query("chain_register", _CH.rstrip() + "," + _DAMAGE.rsplit("lk AS (", 1)[0].rstrip().rstrip(",") + "," + _REGISTER + """
+SELECT tenant_id, lane, segment, records, root FROM node""")
+def chain_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept apart from the ledger: the roots of every chain's segments."""
+    return _kept_register(spark, sf_dir)[1].select("tenant_id", "lane", F.inline("segments"))
+
+
+@query("verify_register", _CH.rstrip() + "," + _DAMAGE.rsplit("lk AS (", 1)[0].rstrip().rstrip(",") + "," + _REGISTER + """
+SELECT tenant_id, lane, reason, from_seq, to_seq FROM flt""")
+def verify_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged ledger, with whole chains gone, against the register of the sound one."""
+    built, register = _kept_register(spark, sf_dir)
+    x = F.col("amount_paise")
+    kept = built.where(~((F.col("chain_seq") > 0) & (x % 41 == 0)) & (F.col("lane") % 13 != 0))
+    forged = kept.withColumn("record_hash", F.when(x % 37 == 0, F.repeat(F.lit("f"), F.lit(64))).otherwise(F.col("record_hash")))
+    return ledger.verify_register(forged, register, _SEGMENT)
+
+
+@query("tenant_roots", _CH.rstrip() + """, ends AS (SELECT tenant_id, lane, arg_max(h, seq) AS h FROM chain GROUP BY ALL),
+l0 AS (SELECT tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY lane) - 1 AS pos, h FROM ends),
+l1 AS (SELECT tenant_id, pos // 256 AS pos, sha256(string_agg(h, '|' ORDER BY pos)) AS h FROM l0 GROUP BY ALL),
+l2 AS (SELECT tenant_id, pos // 256 AS pos, sha256(string_agg(h, '|' ORDER BY pos)) AS h FROM l1 GROUP BY ALL)
+SELECT tenant_id, h AS root FROM l2""")
+def tenant_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.tenant_roots(ledger.chain_heads(checkpointed(chained(spark, sf_dir))))
+
+
 @query("replay_decisions", _CH.rstrip() + "," + _DAMAGE + """
 SELECT l.tenant_id, l.lane, l.seq AS chain_seq, l.h = l.calc AS hash_matches,
   concat_ws(',', CASE WHEN d.part % 50 = 0 THEN 'RULE-A' END, CASE WHEN d.verdict <> 'ALLOW' THEN 'RULE-B' END) AS refused

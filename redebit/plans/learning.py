@@ -159,7 +159,7 @@ def daily_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_hazard_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted and calibrated hazards on held-out customers, per day: observed against predicted."""
     rows = estimators.group_split(checkpointed(hazard_training(spark, sf_dir)), "customer_id", 0.3)
-    model = models.fit_hazard_v1(rows.where("NOT is_holdout"), max_iter=5)
+    model = models.fit_hazard_v1(rows.where("NOT is_holdout"))
     scored = model.score(rows.where("is_holdout"))
     return scored.groupBy(F.floor(F.col("day_offset")).alias("day")).agg(
         F.count("*").alias("n"), F.round(F.avg("hazard_v1"), 6).alias("predicted"), F.round(F.avg("label"), 6).alias("observed")
@@ -170,10 +170,10 @@ def fit_hazard_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves from the boosted model for most cycles, the cell table for the rest."""
     rows = checkpointed(hazard_training(spark, sf_dir))
-    model = models.fit_hazard_v1(rows, max_iter=2)
+    model = models.fit_hazard_v1(rows)
     counts = rows.agg(F.count("*").alias("n"), F.sum(F.col("label").cast("bigint")).alias("p"))
     version = models.model_version_id(
-        "liquidity_hazard", "gbt", {"max_iter": 2}, features.FEATURES,
+        "liquidity_hazard", "gbt", {"max_iter": 300, "tolerance": 0.01}, features.FEATURES,
         models.fingerprint(counts.select("n").scalar(), counts.select("p").scalar()),
     )
     enabled = F.col("customer_id") % 4 != 0

@@ -186,3 +186,54 @@ def test_reconciliation(spark):
         "a": ("failed", "reconciled_not_charged", None), "b": ("fired", None, None), "c": ("ambiguous", None, None),
         "d": ("fired", None, "fired but unknown to provider"), "e": (None, None, "unknown at our side"),
     }
+
+
+@pytest.mark.parametrize("lanes", [1, 16])
+def test_a_register_names_what_is_gone(spark, lanes):
+    rows = [("t", n % lanes, f"d{n}", n, "ALLOW") for n in range(160)] + [("u", 0, f"e{n}", n, "DENY") for n in range(5)]
+    made = spark.createDataFrame(rows, "tenant_id string, lane bigint, decision_id string, n bigint, verdict string")
+    built = ledger.append_decisions(ledger.with_payload(made, ["decision_id", "verdict"]), ["n"]).cache()
+    register = ledger.chain_register(built, 8).cache()
+    found = lambda df: sorted((r["tenant_id"], r["lane"], r["reason"], r["from_seq"], r["to_seq"]) for r in ledger.verify_register(df, register, 8).collect())
+    assert found(built) == []
+    last = 160 // lanes - 1
+    assert found(built.where("tenant_id = 't'")) == [("u", 0, "lost chain", 0, 4)]
+    cut = built.where(f"NOT (tenant_id = 't' AND lane = 0 AND chain_seq >= {last})")
+    assert ("t", 0, "cut tail", last, last) in found(cut)
+    assert ledger.verify_chain(cut).count() == 0  # no gap is left behind
+    edited = built.withColumn("record_hash", F.when((F.col("tenant_id") == "u") & (F.col("chain_seq") == 1), F.repeat(F.lit("f"), F.lit(64))).otherwise(F.col("record_hash")))
+    assert found(edited) == [("u", 0, "changed segment", 0, 4)]
+    more = built.unionByName(built.where("tenant_id = 'u'").withColumn("lane", F.lit(7).cast("bigint")))
+    assert found(more) == [("u", 7, "unknown chain", None, None)]
+    grown = built.unionByName(built.where("tenant_id = 'u' AND chain_seq = 4").withColumn("chain_seq", F.lit(5).cast("bigint")))
+    assert found(grown) == []
+
+
+def test_merkle_root_of_many_levels(spark):
+    import hashlib
+
+    hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(30)]
+    df = spark.createDataFrame([("k", i, h) for i, h in enumerate(hashes)], "k string, at bigint, h string")
+    level = hashes
+    while len(level) > 1:
+        level = [hashlib.sha256("|".join(level[i : i + 3]).encode()).hexdigest() for i in range(0, len(level), 3)]
+    assert ledger.merkle_roots(df, ["k"], "at", "h", 30, fan_in=3).first()["root"] == level[0]
+
+
+@pytest.mark.parametrize("predicate,verdict", [
+    ("hour_ist > -1", "ALLOW"), ("messages_30d + 1 <= tenant_fatigue_cap", "ALLOW"), ("dlt_template_id LIKE 't%'", "ALLOW"),
+    ("dlt_template_id LIKE 'x%'", "DENY"), ("amount_paise * 9223372036854775807 * 2 > 0", "DENY"), ("hour_ist / 0 > 1", "DENY"),
+    ("CASE WHEN dnd_registered THEN FALSE WHEN hour_ist BETWEEN 9 AND 18 THEN TRUE ELSE FALSE END", "ALLOW"), ("messages_30d IN (1, 2)", "ALLOW"),
+    ("amount_paise > '99999999999999999999'", "DENY"), ("header_series = 160", "DENY"), ("java_method('java.lang.System', 'exit')", "DENY"),
+    ("nonsense >", "DENY"), ("other_column > 1", "DENY"), ("amount_paise", "DENY"), (" ", "DENY"),
+])
+def test_one_predicate_never_stops_the_job(spark, predicate, verdict):
+    row = ("R", 1, "X", "cited", dt.date(2026, 1, 1), ["sms"], None, predicate, "DENY")
+    table = spark.createDataFrame([row], ev.schemas.RULES)
+    schema = "n int, " + ", ".join(f"{k} {t}" for k, t in TYPES.items())
+    action = spark.createDataFrame([(0, *[SMS.get(k) for k in TYPES])], schema)
+    assert rules.evaluate_rules(action, table).first()["verdict"] == verdict
+    refused = [r["reason"] for r in rules.refused_rules(table).collect()]
+    assert bool(refused) == (not rules.admitted(spark, predicate))
+    if predicate.startswith("amount_paise > '"):
+        assert refused == ["compares text with something else"]
