@@ -224,3 +224,9 @@ def confusion_matrix(rows: DataFrame, truth: str, predicted: str, labels: tuple[
 def precision(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     right = F.count_if(F.col(truth) == F.col(predicted))
     return rows.groupBy(F.col(predicted).alias("predicted")).agg((right / F.count("*")).alias("precision"))
+
+
+def accuracy(rows: DataFrame, truth: str, predicted: str, labels: tuple[str, ...]) -> DataFrame:
+    """Share of rows on the diagonal of the confusion matrix, over rows whose labels are both known."""
+    known = rows.where(F.col(truth).isin(*labels) & F.col(predicted).isin(*labels))
+    return known.agg(F.count("*").alias("rows"), F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("accuracy"))

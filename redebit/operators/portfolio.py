@@ -153,6 +153,22 @@ def guardrails(summary: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.select("tenant_id", F.inline(rails))
 
 
+def contact_guardrails(messages: DataFrame, customers: DataFrame, cap: float) -> DataFrame:
+    """The subscriber's guardrails per tenant, in long form with their thresholds.
+
+    ``message_volume``: messages per customer and cycle (``messages`` has tenant_id, customer_id,
+    cycle_ref) against the fatigue cap. ``complaint_rate``: share of treated customers who complained
+    or opted out against that of the control arm (``customers`` has tenant_id, arm, opted_out).
+    """
+    per_cycle = messages.groupBy("tenant_id", "customer_id", "cycle_ref").agg(F.count("*").alias("n"))
+    volume = per_cycle.groupBy("tenant_id").agg(F.avg("n").alias("value")).select(
+        "tenant_id", F.lit("message_volume").alias("key"), "value", F.lit(float(cap)).alias("threshold"))
+    share = lambda arm: F.coalesce(F.avg(F.when(F.col("arm") == arm, F.col("opted_out").cast("double"))), F.lit(0.0))
+    complaints = customers.groupBy("tenant_id").agg(share("treatment").alias("value"), share("control").alias("threshold")).select(
+        "tenant_id", F.lit("complaint_rate").alias("key"), "value", "threshold")
+    return volume.unionByName(complaints).withColumn("status", F.when(F.col("value") > F.col("threshold"), "breach").otherwise("ok"))
+
+
 def fleet_guardrails(per_tenant: DataFrame) -> DataFrame:
     """Fleet view: counts and money add up, rates take the worst tenant."""
     summed = F.col("key").isin("compliance_violations", "net_value_paise")
@@ -206,6 +222,23 @@ def tenant_overview(parts: dict[str, DataFrame]) -> DataFrame:
     return merged.na.fill(0)
 
 
+def pipeline_overview(cycles: DataFrame, events: DataFrame, actions: DataFrame, now: Column) -> DataFrame:
+    """Per tenant what is in flight, queued, recovered and not yet processed, and how far behind it is.
+
+    ``events`` has tenant_id, received_at and processed; ``actions`` has tenant_id and state.
+    """
+    parts = {
+        "cycles": cycles.groupBy("tenant_id").agg(
+            F.count("*").alias("cycles"), F.count_if(F.col("state") == "executing").alias("in_flight"),
+            F.coalesce(F.sum("recovered_paise"), F.lit(0)).cast("bigint").alias("recovered_paise")),
+        "events": events.groupBy("tenant_id").agg(
+            F.count("*").alias("events"), F.count_if(~F.col("processed")).alias("unprocessed"),
+            F.max(F.when(~F.col("processed"), F.unix_seconds(now) - F.unix_seconds("received_at"))).alias("lag_seconds")),
+        "actions": actions.groupBy("tenant_id").agg(F.count_if(F.col("state") == "pending").alias("queued")),
+    }
+    return tenant_overview(parts).withColumn("pipeline_healthy", F.col("unprocessed") == 0)
+
+
 def prevention_counts(cycles: DataFrame) -> DataFrame:
     """Prevented (first execution succeeded) and recovered per arm over high-risk cycles."""
     prevented = F.col("succeeded_first") & (F.col("retries") == 0)

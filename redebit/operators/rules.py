@@ -223,5 +223,11 @@ def shadow_audit(judged: DataFrame, cycles: int | Column) -> DataFrame:
     )
 
 
+def audit_totals(judged: DataFrame) -> DataFrame:
+    """Attempts, how many were allowed, and how many each other verdict got."""
+    counts = [F.count_if(F.col("verdict") == name).alias(name.lower()) for name in VERDICT_RANK if name != "ALLOW"]
+    return judged.agg(F.count("*").alias("attempts"), F.count_if(F.col("verdict") == "ALLOW").alias("allowed"), *counts)
+
+
 def rules_not_in_force(headline: DataFrame, in_force: DataFrame) -> DataFrame:
     return headline.select("rule_id").exceptAll(in_force.select("rule_id").distinct())

@@ -549,6 +549,26 @@ def active_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.active_experiment(configs, tenants)
 
 
+FATIGUE_CAP = 3.0
+
+
+@query("contact_guardrails", v.with_(v.EVENTS, v.CYCLES_T, f"""
+mv AS (SELECT tenant_id, avg(n) AS value FROM (SELECT tenant_id, customer_id, cycle_ref, count(*) AS n FROM ev_events
+  WHERE event_type = 'payment.failed' GROUP BY ALL) GROUP BY 1),
+oc AS (SELECT DISTINCT tenant_id, customer_id, {_arm(SEED, 'customer_id', CONTROL)} AS arm FROM ev_cycles_t),
+cr AS (SELECT tenant_id, coalesce(avg(CASE WHEN arm = 'treatment' THEN CAST(customer_id % 7 = 0 AS INT) END), 0) AS value,
+  coalesce(avg(CASE WHEN arm = 'control' THEN CAST(customer_id % 7 = 0 AS INT) END), 0) AS threshold FROM oc GROUP BY 1)""") + f"""
+SELECT tenant_id, 'message_volume' AS key, round(value, 6) AS value, {FATIGUE_CAP}::DOUBLE AS threshold, CASE WHEN value > {FATIGUE_CAP} THEN 'breach' ELSE 'ok' END AS status FROM mv
+UNION ALL SELECT tenant_id, 'complaint_rate', round(value, 6), round(threshold, 6), CASE WHEN value > threshold THEN 'breach' ELSE 'ok' END FROM cr""")
+def contact_guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed debits as the messages sent; every seventh customer as one who opted out."""
+    messages = td.payment_events(spark, sf_dir).where("event_type = 'payment.failed'")
+    customers = td.billing_cycles(spark, sf_dir, with_tenant=True).select("tenant_id", "customer_id").distinct()
+    armed = estimators.with_arm(customers, SEED, CONTROL).withColumn("opted_out", F.col("customer_id") % 7 == 0)
+    found = portfolio.contact_guardrails(messages, armed, FATIGUE_CAP)
+    return found.select("tenant_id", "key", F.round("value", 6).alias("value"), F.round("threshold", 6).alias("threshold"), "status")
+
+
 AA_SEEDS = [f"aa-{i}" for i in range(600)]
 _AA = f"""
 aac AS (SELECT customer_id, count(*) AS n, count(CASE WHEN recovered THEN 1 END) AS s FROM ev_cycles WHERE failed GROUP BY 1),

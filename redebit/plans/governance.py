@@ -152,9 +152,20 @@ SELECT rule_id, CAST(violations AS BIGINT) AS violations, round(violations * 100
   UNION ALL SELECT 'RBI-EMANDATE-AFA-CAP', cap, n FROM t)""")
 def shadow_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = td.billing_cycles(spark, sf_dir).where("failed")
+    return rules.shadow_audit(_judged_baseline(spark, failed), failed.agg(F.count("*")).scalar())
+
+
+def _judged_baseline(spark: SparkSession, failed: DataFrame) -> DataFrame:
     actions = rules.with_afa_cap(rules.baseline_actions(failed, dt.date(2026, 9, 1)), ev.default_caps(spark))
-    judged = rules.evaluate_rules(actions, ev.valid_rules(ev.default_rules(spark)))
-    return rules.shadow_audit(judged, failed.agg(F.count("*")).scalar())
+    return rules.evaluate_rules(actions, ev.valid_rules(ev.default_rules(spark)))
+
+
+@query("shadow_audit_totals", v.with_(v.CYCLES) + """
+SELECT count(*) * 3 AS attempts, 0::BIGINT AS allowed, 0::BIGINT AS defer, 0::BIGINT AS escalate_human, count(*) * 3 AS deny FROM ev_cycles WHERE failed""")
+def shadow_audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No default retry announces itself a day ahead, so each of them is denied."""
+    failed = td.billing_cycles(spark, sf_dir).where("failed")
+    return rules.audit_totals(_judged_baseline(spark, failed)).select("attempts", "allowed", "defer", "escalate_human", "deny")
 
 
 # ------------------------------------------------------------------ ledger

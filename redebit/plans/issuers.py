@@ -277,6 +277,25 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.withColumn("recall", F.round("recall", 6))
 
 
+_TG = """
+tg AS (SELECT CASE decline_code WHEN '51' THEN 'no_funds' WHEN '91' THEN 'issuer_degraded' ELSE 'limit_breach' END AS truth, cause
+  FROM pred WHERE decline_code IN ('51', '91', '61'))"""
+
+
+@query("cause_accuracy", v.with_(v.CYCLES, PAID, HIST, OBS, _AMBIG, _TG) + """
+SELECT count(*) AS rows, round(avg(CASE WHEN truth = cause THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy FROM tg""")
+def cause_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diagnosis.accuracy(_truth_and_guess(spark, sf_dir), "truth", "cause", causes.DIAGNOSABLE)
+    return found.select("rows", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("cause_precision", v.with_(v.CYCLES, PAID, HIST, OBS, _AMBIG, _TG) + """
+SELECT cause AS predicted, round(avg(CASE WHEN truth = cause THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS precision FROM tg GROUP BY 1""")
+def cause_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diagnosis.precision(_truth_and_guess(spark, sf_dir), "truth", "cause")
+    return found.select("predicted", F.round("precision", 6).alias("precision"))
+
+
 def _em_table(spark: SparkSession, model: diagnosis.CauseMixture) -> DataFrame:
     rows = [
         (c, model.weights[c], model.means[c]["amount_ratio"], model.means[c]["recovered_flag"], model.iterations)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redebit.functions import calendar as cal
 from redebit.functions import causes, hashing
-from redebit.operators import estimators, legality, ordered, planning, priors
+from redebit.operators import estimators, legality, ordered, planning, portfolio, priors
 from redebit.plans import views_sql as v
 from redebit.plans.experiment import CONTROL, SEED, _arm, _unit
 from redebit.plans.ingest import PROJECTED, projected
@@ -56,6 +56,23 @@ def candidate_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.select("tenant_id", "cycle_ref", "position", F.floor((F.col("position") - 1) / 100).cast("int").alias("page"))
 
 
+@query("pipeline_overview", v.with_(v.EVENTS, PROJECTED, f"""
+pc AS (SELECT tenant_id, count(*) AS cycles, count(CASE WHEN state = 'executing' THEN 1 END) AS in_flight, CAST(sum(recovered_paise) AS BIGINT) AS recovered_paise,
+  count(CASE WHEN mandate_id % 3 = 0 THEN 1 END) AS queued FROM proj GROUP BY 1),
+pe AS (SELECT tenant_id, count(*) AS events, count(CASE WHEN event_id % 10 = 0 THEN 1 END) AS unprocessed,
+  max(CASE WHEN event_id % 10 = 0 THEN epoch_us(TIMESTAMP '{NOW}') // 1000000 - epoch_us(occurred_at) // 1000000 - 90 END) AS lag FROM ev_events GROUP BY 1)""") + """
+SELECT tenant_id, coalesce(cycles, 0) AS cycles, coalesce(in_flight, 0) AS in_flight, coalesce(recovered_paise, 0) AS recovered_paise, coalesce(events, 0) AS events,
+  coalesce(unprocessed, 0) AS unprocessed, coalesce(lag, 0) AS lag_seconds, coalesce(queued, 0) AS queued, coalesce(unprocessed, 0) = 0 AS pipeline_healthy
+FROM pc FULL JOIN pe USING (tenant_id)""")
+def pipeline_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth event not processed yet, each received 90 seconds after it happened."""
+    cycles = projected(spark, sf_dir)
+    events = td.payment_events(spark, sf_dir).select(
+        "tenant_id", cal.add_seconds(F.col("occurred_at"), F.lit(90)).alias("received_at"), (F.col("event_id") % 10 != 0).alias("processed"))
+    actions = cycles.select("tenant_id", F.when(F.col("mandate_id") % 3 == 0, "pending").otherwise("done").alias("state"))
+    return portfolio.pipeline_overview(cycles, events, actions, now())
+
+
 @query("chronic_mandates", v.with_(v.CYCLES) + f"""
 SELECT mandate_id, mcc, rail, max(amount_paise) AS amount_paise, max({v.dom_ist('due_at')}) AS debit_day,
   max(cycle_id) AS cycle_id, count(CASE WHEN failed THEN 1 END) AS failures
@@ -429,6 +446,26 @@ def flat_prior_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _arm_totals(replay(spark, sf_dir, flat=0.6))
 
 
+def _rate_sql(p: str | None = None) -> str:
+    return _replay_sql(p) + """
+SELECT avg(CASE WHEN recovered THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (arm = 'treatment')
+  - avg(CASE WHEN recovered THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (arm = 'control') AS lift FROM sc"""
+
+
+@query("ablation_lift", f"""
+SELECT round(m.lift, 6) AS model_lift, round(f.lift, 6) AS flat_lift, round(m.lift - f.lift, 6) AS lift_from_model
+FROM ({_rate_sql()}) m, ({_rate_sql("CASE WHEN l.legal THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END")}) f""")
+def ablation_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the lift over control the model brings, and how much any legal schedule would."""
+    lifts = []
+    for name, flat in (("model_lift", None), ("flat_lift", 0.6)):
+        totals = _arm_totals(replay(spark, sf_dir) if flat is None else replay(spark, sf_dir, flat=flat))
+        rate = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("recovered") / F.col("n")))
+        lifts.append(totals.agg((rate("treatment") - rate("control")).alias(name)))
+    both = lifts[0].withColumn("flat_lift", lifts[1].scalar())
+    return both.select(*[F.round(c, 6).alias(c) for c in ("model_lift", "flat_lift")], F.round(F.col("model_lift") - F.col("flat_lift"), 6).alias("lift_from_model"))
+
+
 KNOBS = [(1.0, 1.0, 1.0), (2.0, 1.0, 1.0), (1.0, 3.0, 0.5), (4.0, 2.0, 2.0)]
 
 
