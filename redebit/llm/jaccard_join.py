@@ -49,6 +49,8 @@ FAMILY = 65
 #: ... and only sets whose signatures allow this similarity are tried.
 FAMILY_BOUND = 80
 BUCKET_BITS, BITMAP = 20, 1 << 24
+#: A stored bitmap is cut into pages of so many words, as powers of two.
+PAGE_BITS = 9
 #: Bounds of a block: sets, and tokens of all its sets (one longer set is a block of its own).
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 17
 CACHE_ROWS = 250_000
@@ -249,28 +251,41 @@ def bitmap(marks: DataFrame, column: str) -> DataFrame:
     return marks.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
+def words_of(bits: DataFrame) -> DataFrame:
+    """word, bits: the words of a stored bitmap that are not zero, or those of one that ``bitmap`` gives."""
+    if "page" not in bits.columns:
+        return bits
+    return bits.select("page", F.posexplode("words")).select((F.shiftleft("page", PAGE_BITS) + F.col("pos")).cast("bigint").alias("word"), F.col("col").alias("bits")).where("bits <> 0")
+
+
 def either(*maps: DataFrame) -> DataFrame:
-    """The bits set in any of the bitmaps, stored."""
-    every = maps[0]
-    for m in maps[1:]:
-        every = every.unionAll(m)
-    return stored(every.groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    """The bits set in any of the bitmaps, stored as pages of ``1 << PAGE_BITS`` words: 2 MB in all, whatever was marked."""
+    spark = maps[0].sparkSession
+    every = spark.range(BITMAP >> 6).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    for m in maps:
+        every = every.unionAll(words_of(m))
+    merged = every.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    pages = merged.groupBy(F.shiftright("word", PAGE_BITS).cast("int").alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("own"))
+    return stored(pages.select("page", F.col("own.bits").alias("words")))
 
 
 def as_bytes(bits: DataFrame) -> np.ndarray:
-    out = np.zeros(BITMAP >> 6, np.int64)
+    out = np.zeros((BITMAP >> 6 >> PAGE_BITS, 1 << PAGE_BITS), np.int64)
     found = bits.toArrow()
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out.view(np.uint8)
+    for page, words in zip(found.column("page").to_pylist(), found.column("words")):
+        out[page] = words.values.to_numpy()
+    return out.reshape(-1).view(np.uint8)
 
 
 def passing(rows: DataFrame, column: str, bits: DataFrame, wanted: bool = True) -> DataFrame:
-    """The rows whose hash in ``column`` is in the bitmap, or is not; the bitmap has a fixed bound, so it is broadcast."""
-    table = F.broadcast(bits.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
-    place = F.pmod(column, F.lit(BITMAP))
-    inside = F.col("_bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod({column}, {BITMAP}) & 63 as int))")) != 0
-    met = rows.join(table, F.shiftright(place, 6) == F.col("_word"), "left")
-    return met.where(F.coalesce(inside, F.lit(False)) == wanted).drop("_word", "_bits")
+    """The rows whose hash in ``column`` is in the bitmap, or is not; a bitmap has 512 pages, so it is broadcast."""
+    table = F.broadcast(bits.select(F.col("page").alias("_page"), F.col("words").alias("_words")))
+    word = F.shiftright(F.pmod(column, F.lit(BITMAP)), 6)
+    met = rows.join(table, F.shiftright(word, PAGE_BITS).cast("int") == F.col("_page"), "left")
+    own = F.get("_words", word.bitwiseAND((1 << PAGE_BITS) - 1).cast("int"))
+    inside = own.bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod({column}, {BITMAP}) & 63 as int))")) != 0
+    return met.where(F.coalesce(inside, F.lit(False)) == wanted).drop("_page", "_words")
 
 
 def hit(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
