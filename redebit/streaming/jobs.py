@@ -321,49 +321,113 @@ def retry_sessions(events: DataFrame, delay: str = "1 hour", gap_days: int = 2)
         F.timestamp_micros(F.col("last") + gap_days * DAY_US).alias("closed_at"), "failures", "successes", "absorbed")
 
 
+#: Spans of the segments of a mandate, in microseconds; each is made of those below it.
+MINUTE_US, HOUR_US = 60_000_000, 3_600_000_000
+STATES = range(len(projection.MANDATE_STATES))
+#: What nothing does to a mandate: for each state the state reached, then the refusals counted.
+UNCHANGED = [*STATES, *[0] * len(STATES)]
+_MOVES = {(a, b): projection.MANDATE_STATES[b] in projection.MANDATE_TRANSITIONS[projection.MANDATE_STATES[a]] for a in STATES for b in STATES}
+
+
+def one_move(to: int) -> list[int]:
+    """What one event does to a mandate in each state."""
+    legal = [s == to or _MOVES[s, to] for s in STATES]
+    return [*(to if ok else s for s, ok in zip(STATES, legal)), *(int(not ok) for ok in legal)]
+
+
+def then(first: list[int], second: list[int]) -> list[int]:
+    n = len(STATES)
+    return [*(second[first[s]] for s in STATES), *(first[n + s] + second[n + first[s]] for s in STATES)]
+
+
 class MandateFold(StatefulProcessor):
-    """Mandate state in total order.
+    """Mandate state in total order, as segments that compose.
 
-    Events newer than the watermark wait in a list, so a late arrival can still change what
-    they meant; older ones are folded into two numbers.
+    What a minute's events do to each of the seven states is a small table, and tables compose:
+    minutes make an hour, hours a day, days the mandate. An event, late or not, is put into its
+    minute; then one table per level is made anew. Days that the watermark has passed are applied
+    to the base and forgotten with all that is below them.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.base = handle.getValueState("base", "state int, stale bigint")
-        self.pending = handle.getListState("pending", "us bigint, id string, to int")
+        self.minutes = handle.getMapState("minutes", "at bigint", "us array<bigint>, id array<string>, to array<int>")
+        node = "at array<bigint>, moves array<array<bigint>>"
+        self.hours = handle.getMapState("hours", "at bigint", node)
+        self.days = handle.getMapState("days", "at bigint", node)
+        self.root = handle.getValueState("root", node)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, stale = self.base.get() if self.base.exists() else (0, 0)
-        seen = set(self.pending.get()) if self.pending.exists() else set()
+        fresh: dict[int, list] = {}
         for batch in rows:
-            seen.update(zip(batch["us"].tolist(), batch["id"].tolist(), batch["to"].tolist(), strict=True))
-        settled_us = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = []
-        for us, event_id, to in sorted(seen):
-            if us < settled_us:
-                state, stale = fold_step(state, stale, to)
-            else:
-                waiting.append((us, event_id, to))
+            for us, event_id, to in zip(batch["us"].tolist(), batch["id"].tolist(), batch["to"].tolist()):
+                fresh.setdefault(us // MINUTE_US, []).append((us, event_id, to))
+        moves = {at: self.minute(at, events) for at, events in fresh.items()}
+        for table, span in ((self.hours, HOUR_US // MINUTE_US), (self.days, DAY_US // HOUR_US)):
+            moves = self.above(table, moves, span)
+        root = self.node(self.root.get()) if self.root.exists() else {}
+        for day in moves.keys() - root.keys():
+            self.handle.registerTimer((day + 1) * DAY_US // MICROS_PER_MS)
+        root |= moves
+        state, stale = self.settle(root, timerValues.getCurrentWatermarkInMs() * MICROS_PER_MS)
+        for day in sorted(root):
+            state, stale = self.applied(state, stale, root[day])
+        yield pd.DataFrame({"mandate_id": [key[0]], "state": [projection.MANDATE_STATES[state]], "stale_transitions": [stale]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.root.exists():
+            self.settle(self.node(self.root.get()), timerValues.getCurrentWatermarkInMs() * MICROS_PER_MS)
+        return iter([])
+
+    def minute(self, at: int, events: list) -> list[int]:
+        held = set(zip(*self.minutes.getValue((at,)))) if self.minutes.containsKey((at,)) else set()
+        ordered_events = sorted(held | set(events))
+        self.minutes.updateValue((at,), tuple(map(list, zip(*ordered_events))))
+        out = UNCHANGED
+        for _, _, to in ordered_events:
+            out = then(out, one_move(to))
+        return out
+
+    def above(self, table, moves: dict[int, list[int]], span: int) -> dict[int, list[int]]:
+        """The segments of the next level over the changed ones, made anew from their parts."""
+        out = {}
+        for at in {m // span for m in moves}:
+            parts = self.node(table.getValue((at,))) if table.containsKey((at,)) else {}
+            parts |= {m: own for m, own in moves.items() if m // span == at}
+            table.updateValue((at,), (list(parts), list(parts.values())))
+            whole = UNCHANGED
+            for part in sorted(parts):
+                whole = then(whole, parts[part])
+            out[at] = whole
+        return out
+
+    @staticmethod
+    def node(value) -> dict[int, list[int]]:
+        return {int(at): [int(x) for x in moves] for at, moves in zip(*value)}
+
+    @staticmethod
+    def applied(state: int, stale: int, moves: list[int]) -> tuple[int, int]:
+        return moves[state], stale + moves[len(STATES) + state]
+
+    def settle(self, root: dict[int, list[int]], now_us: int) -> tuple[int, int]:
+        """Applies the days that have passed to the base, and drops them from ``root`` and the state."""
+        state, stale = self.base.get() if self.base.exists() else (0, 0)
+        for day in sorted(d for d in root if (d + 1) * DAY_US <= now_us):
+            state, stale = self.applied(state, stale, root.pop(day))
+            for hour in self.node(self.days.getValue((day,))):
+                for minute in self.node(self.hours.getValue((hour,))):
+                    self.minutes.removeKey((minute,))
+                self.hours.removeKey((hour,))
+            self.days.removeKey((day,))
         self.base.update((state, stale))
-        self.pending.put(waiting)
-        for _, _, to in waiting:
-            state, stale = fold_step(state, stale, to)
-        yield pd.DataFrame(
-            {"mandate_id": [key[0]], "state": [projection.MANDATE_STATES[state]], "stale_transitions": [stale]}
-        )
+        self.root.update((list(root), list(root.values())))
+        return state, stale
 
     def close(self) -> None:
         pass
 
 
-def fold_step(state: int, stale: int, to: int) -> tuple[int, int]:
-    if to == state:
-        return state, stale
-    if projection.MANDATE_STATES[to] in projection.MANDATE_TRANSITIONS[projection.MANDATE_STATES[state]]:
-        return to, stale
-    return state, stale + 1
-
-
 def mandate_state(events: DataFrame, delay: str = "7 days") -> DataFrame:
     moves = events.withWatermark("occurred_at", delay).select(
         "mandate_id", F.unix_micros("occurred_at").alias("us"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("id"),

@@ -201,3 +201,25 @@ def test_detector_follows_closed_windows(spark, tmp_path):
     rounded = lambda df: df.withColumn("cusum", F.round("cusum", 9)).withColumn("outage_minutes", F.round("outage_minutes", 9))
     same(rounded(written.drop("batch_id")), rounded(batch.where(F.col("start_s") + 300 <= last)))
     assert {r["issuer"] for r in written.where("degraded_since_s >= 0").collect()} == {"i1"}
+
+
+def test_mandate_segments_compose_like_the_fold(spark, tmp_path):
+    rng, rows = random.Random(12), []
+    kinds = list(projection.MANDATE_EVENT_STATE)
+    for n in range(400):
+        at = START + dt.timedelta(minutes=rng.choice([n * 30, n * 30, n * 30 + rng.randrange(3)]))
+        rows.append((n % 3, n, rng.choice(kinds), at))
+    rows.sort(key=lambda r: r[3] + dt.timedelta(hours=rng.randrange(20)))  # late by less than the delay
+    rows += rows[-5:]
+    stream, frame = arriving(spark, str(tmp_path / "in"), rows, "mandate_id bigint, event_id bigint, event_type string, occurred_at timestamp", 9)
+    written = []
+
+    def write(batch, batch_id):
+        written.append(batch.withColumn("batch_id", F.lit(batch_id)).toPandas())
+
+    sizes = state_rows(jobs.mandate_state(stream, delay="1 day"), "update", write, str(tmp_path / "checkpoint"))
+    changes = pd.concat(written).sort_values("batch_id").drop_duplicates("mandate_id", keep="last")
+    got = sorted(map(tuple, changes[["mandate_id", "state", "stale_transitions"]].itertuples(index=False)))
+    want = sorted(map(tuple, projection.mandate_state(frame.dropDuplicates()).select("mandate_id", "state", "stale_transitions").toPandas().itertuples(index=False)))
+    assert got == want
+    assert max(sizes[3:]) < 0.7 * len(rows)  # only what the watermark has not passed
