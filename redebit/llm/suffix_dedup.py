@@ -401,9 +401,9 @@ def dedup_documents(docs: DataFrame, **how: int) -> DataFrame:
 def oracle(match: int = MATCH) -> str:
     """The same in SQL: every string of ``match`` bytes as a row."""
     return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-    parts AS MATERIALIZED (SELECT r, c * 1024 AS at, length(h) // 2 AS n, substr(h, c * 2048 + 1, {2 * (1023 + match)}) AS h FROM d, range(length(h) // 2048 + 1) t(c)),
-    strings AS MATERIALIZED (SELECT r, at + p AS p, md5_number(substr(h, 2 * p + 1, {2 * match})) AS m
-        FROM parts, range(greatest(least(n - at - {match - 1}, 1024), 0)) t(p)),
+    parts AS MATERIALIZED (SELECT r, c * 1024 AS base, length(h) // 2 AS n, substr(h, c * 2048 + 1, {2 * (1023 + match)}) AS h FROM d, range(length(h) // 2048 + 1) t(c)),
+    strings AS MATERIALIZED (SELECT r, base + p AS p, md5_number(substr(h, 2 * p + 1, {2 * match})) AS m
+        FROM parts, range(greatest(least(n - base - {match - 1}, 1024), 0)) t(p)),
     again AS (SELECT r, p FROM strings SEMI JOIN (SELECT m FROM strings GROUP BY m HAVING count(*) > 1) USING (m)),
     marked AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + {match}, TRUE) AS begins FROM again),
     grouped AS (SELECT r, p, sum(begins::INTEGER) OVER (PARTITION BY r ORDER BY p) AS g FROM marked),
