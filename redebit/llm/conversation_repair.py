@@ -24,8 +24,8 @@ text is sequential by its nature: rows stream through a sorted partition with on
 Edge cases: a null in conv_id or turn counts as one space in the damage key, a null role or text is
 one space. Rows with a null conv_id form one conversation. Null turns sort first and take no part in
 the gaps. Rows of one turn are taken by role, then text. A conversation without rows after damage gives
-zeros, an empty audit and the hash of the empty string. Roles with other initials are never kept
-as they are. An empty table gives no rows. Columns of other names are not read. Whole texts stay
+zeros, an empty audit and the hash of the empty string. Roles with other initials, or empty ones, are
+never kept as they are. An empty table gives no rows. Columns of other names are not read. Whole texts stay
 out of the search, which sees initials and faults only.
 """
 

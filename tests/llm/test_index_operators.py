@@ -205,7 +205,7 @@ def every_repair(rows, faults, most):
         own = [(2, "D", None)]
         if fault in ("", "truncated"):
             extra = 5 if fault else 0
-            own += [(extra, "K", role[:1])] + [(extra + 1, "R", x) for x in "ua"]
+            own += [(extra, "K", role[:1] or "?")] + [(extra + 1, "R", x) for x in "ua"]
         options.append(own)
     for picks in itertools.product(*options):
         for gaps in itertools.product(inserts, repeat=len(rows) + 1):
