@@ -36,14 +36,15 @@ def _pairs(children: list[Column]) -> Column:
     return out.otherwise(children[-1]) if len(children) % 2 else out
 
 
-#: What each admitted part of a predicate becomes. Arithmetic takes the forms that give NULL where they fail.
+#: What each admitted part of a predicate becomes. Arithmetic takes the forms that give NULL where they fail; division is
+#: admitted as ``try_divide`` only, so that a rule says itself what it means by a zero.
 BUILD = {
     "And": lambda a, b: a & b, "Or": lambda a, b: a | b, "Not": lambda a: ~a,
     "EqualTo": lambda a, b: a == b, "EqualNullSafe": lambda a, b: a.eqNullSafe(b), "LessThan": lambda a, b: a < b,
     "LessThanOrEqual": lambda a, b: a <= b, "GreaterThan": lambda a, b: a > b, "GreaterThanOrEqual": lambda a, b: a >= b,
     "In": lambda a, *of: a.isin(*of), "IsNull": lambda a: a.isNull(), "IsNotNull": lambda a: a.isNotNull(),
     "UnresolvedBetween": lambda a, low, high: a.between(low, high), "Add": F.try_add, "Subtract": F.try_subtract,
-    "Multiply": F.try_multiply, "Divide": F.try_divide, "UnaryMinus": lambda a: F.try_subtract(F.lit(0), a),
+    "Multiply": F.try_multiply, "UnaryMinus": lambda a: F.try_subtract(F.lit(0), a),
     "UnaryPositive": lambda a: a, "If": lambda test, yes, no: F.when(test, yes).otherwise(no), "CaseWhen": lambda *c: _pairs(list(c)),
 }
 
