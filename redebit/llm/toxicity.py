@@ -7,6 +7,8 @@
    itself, for the letters it is used for, for a repetition, or for nothing; between letters set
    apart a word may end. Viterbi finds the likeliest letters under the language model and the
    channel's costs.
+   A word is only decoded where some path of its lattice spells an entry of the lexicon, which a
+   walk against the entries' trie tells; other words would weigh nothing whatever they say.
 3. Restored words are scored by a lexicon of words and word beginnings from a bounded sample
    of labelled rows. One half of it gives a lexicon with which the other half fits how a
    text's word weights make its score. Every whole text is restored and scored.
@@ -22,7 +24,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ FOLDS, HELD_OUT = 4, 2
 CUTOFF = 0.3
 #: Lengths of the word beginnings in the lexicon.
 BEGINNINGS = (4, 5, 6)
-#: Words remembered by each Python worker.
-CACHE_ROWS = 200_000
+#: Characters of the words remembered by each Python worker.
+CACHE_CHARS = 4_000_000
 
 #: The letters that digits and signs stand for.
 LEET = {
@@ -172,17 +174,66 @@ def plain(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
-def restored(word: str, model: LetterModel, known: frozenset[str] = frozenset()) -> str | None:
-    """What stands behind a word that may be obfuscated, several words with spaces; None for ``known`` and unchangeable words."""
+class Trie:
+    """Words and beginnings of a lexicon, letter by letter; entries with other signs stand behind no lattice."""
+
+    def __init__(self, entries: Iterable[str]):
+        self.root: dict = {}
+        for entry in entries:
+            kind, letters = ("=", entry[1:]) if entry[0] == "=" else ("*", entry[:-1])
+            if letters.isalpha():
+                node = self.root
+                for letter in letters:
+                    node = node.setdefault(letter, {})
+                node[kind] = True
+
+    def spells(self, word: str, apart: bool = False) -> bool:
+        """Whether some path of the lattice of ``word`` spells an entry, or starts with a beginning.
+
+        Never False where ``decode`` could find an entry: a word may start after each separator
+        of letters set apart, and a path that goes on past it stands for the words as one.
+        """
+        nodes, before = [self.root], ""
+        for c in word:
+            after: dict[int, dict] = {}
+            if apart and c in SEPARATORS:
+                if any("=" in n for n in nodes):
+                    return True
+                after[id(self.root)] = self.root
+            elif c == before:
+                after.update((id(n), n) for n in nodes)
+            for letter, _ in choices(c, apart):
+                for node in nodes:
+                    to = node.get(letter) if letter else node
+                    if to is not None:
+                        if "*" in to:
+                            return True
+                        after[id(to)] = to
+            if not after:
+                return False
+            nodes, before = list(after.values()), c
+        return any("=" in n for n in nodes)
+
+
+def restored(
+    word: str, model: LetterModel, known: frozenset[str] = frozenset(), trie: Trie | None = None
+) -> str | None:
+    """What stands behind a word that may be obfuscated, several words with spaces; None for ``known`` and unchangeable words.
+
+    With a ``trie`` also None where no path of the lattice spells one of its entries.
+    """
     low = word.lower().rstrip(".,;:?!\"'")
     if len(low) < 3 or plain(word) in known or not LETTER.search(low) or not CHANGEABLE.search(low):
         return None
-    return decode(low, model, APART.match(low) is not None)
+    apart = APART.match(low) is not None
+    if trie is not None and not trie.spells(low, apart):
+        return None
+    return decode(low, model, apart)
 
 
-def behind(word: str, model: LetterModel, known: frozenset[str] = frozenset()) -> list[str]:
+def behind(word: str, model: LetterModel, known: frozenset[str] = frozenset(), trie: Trie | None = None) -> list[str]:
     """The words that stand behind one, and all of them as one."""
-    found = (restored(word, model, known) or "").split()
+    found = (restored(word, model, known, trie) or "").split()
     return [*found, "".join(found)] if len(found) > 1 else found
 
 
@@ -270,16 +321,20 @@ class Weights(dict):
     """Weight of every raw word, worked out on first use; emptied when full."""
 
     def __init__(self, lexicon: dict[str, float], model: LetterModel, known: frozenset[str] = frozenset()):
-        self.lexicon, self.model, self.known = lexicon, model, known
+        self.lexicon, self.model, self.known, self.trie = lexicon, model, known, Trie(lexicon)
+        self.chars = 0
 
     def of(self, word: str) -> float:
         return max((self.lexicon.get(k, 0.0) for k in keys(word)), default=0.0) if len(word) > 2 else 0.0
 
     def __missing__(self, raw: str) -> float:
-        got = max(self.of(plain(raw)), *map(self.of, ["", *behind(raw, self.model, self.known)]))
-        if len(self) >= CACHE_ROWS:
+        got = max(self.of(plain(raw)), *map(self.of, ["", *behind(raw, self.model, self.known, self.trie)]))
+        if self.chars > CACHE_CHARS:
             self.clear()
-        self[raw] = got
+            self.chars = 0
+        if len(raw) < 64:
+            self[raw] = got
+            self.chars += len(raw) + 16
         return got
 
     def run(self, raw: str) -> list[float]:

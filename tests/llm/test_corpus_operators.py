@@ -265,3 +265,28 @@ def test_long_runs_and_dense_signs_are_restored():
     for spelled_out in (run, " ".join("youareanidiotandtheothersherearenotsostupidatall")):
         assert toxicity.summary(spelled_out, weights)[0] == 5.0
     assert toxicity.restored("stuupid", counts, frozenset({"stuupid"})) is None
+
+
+def test_trie_skips_only_words_that_weigh_nothing():
+    rng = np.random.default_rng(5)
+    words = {"=idiot": 5.0, "=stupid": 4.0, "moro*": 3.0, "=ass": 3.0, "trash*": 2.5, "=a1b": 9.0, "=x=y": 9.0}
+    model = toxicity.LetterModel.of([], {k[1:]: w for k, w in words.items() if k.isalpha() or k[0] == "=" and k[1:].isalpha()})
+    weights = toxicity.Weights(words, model)
+    seeds = ["idiot", "stupid", "moronic", "trashy", "ass", "harmless", "class", "weather"]
+    swap = {"i": "1!|", "o": "0", "s": "5$", "a": "4@*", "t": "7+", "e": "3"}
+    found = 0
+    for _ in range(4000):
+        word = str(rng.choice(seeds))
+        out = []
+        for c in word:
+            c = str(rng.choice(list(swap[c]))) if c in swap and rng.random() < 0.4 else c
+            out.append(c * int(rng.choice([1, 1, 1, 2, 3])))
+        raw = (rng.choice(["", "", ".", "-", "*"])).join(out)
+        if rng.random() < 0.3:
+            at = int(rng.integers(0, len(raw) + 1))
+            raw = raw[:at] + str(rng.choice(list("._-~*é9x"))) + raw[at:]
+        want = max(map(weights.of, [toxicity.plain(raw), "", *toxicity.behind(raw, model)]))
+        assert weights[raw] == want, raw
+        found += want > 0
+    assert 1000 < found < 4000
+    assert weights["idi0t" * 400_000] == 0.0 and weights.chars < 64 * 5000  # long words are not remembered
