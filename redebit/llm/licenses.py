@@ -1,14 +1,17 @@
 """License scan: exact set-similarity join of text blocks with license templates, in native operations.
 
-A block is a window of twice a template's words, at every multiple of its length, so that each
-occurrence of the template lies whole in a block. A block and a template join when at least
-``THRESHOLD`` of the template's distinct words are in the block:
-
-* the template words are ordered by their document frequency over the whole table, rarest
-  first; a block must hold one of the first ``|T| - need + 1`` of them (prefix filter);
-* it must hold ``need`` template words in all (length filter), and from the shared prefix word
-  on enough must be left in the block's own order (positional filter);
-* what passes is counted exactly.
+A block of a template is a window of twice its words that starts at one of its words (the text's
+end may cut it). A block and a template join when at least ``THRESHOLD`` of the template's distinct
+words are in the block. Every stretch of that many words that holds enough of a template lies in the
+block at the stretch's first template word, so none is lost, wherever a statement stands or however
+far it is stretched.
+
+* The template words are ordered by their document frequency over the whole table, rarest
+  first; a block must hold one of the first ``|T| - need + 1`` of them (prefix filter).
+* A block must hold ``need`` places with template words: fewer places behind its start end the
+  search (length filter), and the ``need``-th place from its start on must still lie in the window
+  (positional filter).
+* What passes is counted exactly.
 
 The templates are a fixed list, so they travel as literals and no row is shuffled but one
 count per template word. Documents without any prefix word never form blocks.
@@ -22,6 +25,8 @@ from __future__ import annotations
 import math
 import string
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,35 +130,35 @@ def prefix(template: Template, order: list[str]) -> list[str]:
     return ordered[: len(ordered) - template.need + 1]
 
 
-def matching_blocks(words: Column, n_words: Column, template: Template, order: list[str]) -> Column:
+def matching_blocks(line: Column, words: Column, template: Template, order: list[str]) -> Column:
     """Array of structs: the blocks that join with ``template``."""
-    m, need = len(template.words), template.need
+    wide, need = 2 * len(template.words), template.need
     literal = lambda values: F.array(*map(F.lit, values))
     ordered = sorted(template.tokens, key=order.index)
     tokens, first = literal(ordered), prefix(template, order)
+    window = lambda start: F.slice(words, start, wide)
+
+    def near(places: Column) -> Column:
+        """The block starts (from 1) that pass the three filters."""
+        last = F.size(places) - (need - 1)
+        starts = F.filter(
+            F.slice(places, 1, F.greatest(last, F.lit(0))),
+            lambda start, i: F.element_at(places, i + need) < start + wide,
+        )
+        return F.filter(starts, lambda start: F.arrays_overlap(window(start), literal(first)))
 
     def block(start: Column) -> Column:
-        held = F.array_intersect(tokens, F.slice(words, start + 1, 2 * m))  # in the global order
-        return F.struct(start.cast("long").alias("start"), held.alias("held"))
-
-    def joins(b: Column) -> Column:
-        left = lambda w: F.array_position(b.held, w) > 0
-        positional = F.exists(
-            literal(first), lambda w: left(w) & (F.size(b.held) - F.array_position(b.held, w) + 1 >= need)
+        held = F.size(F.array_intersect(tokens, window(start)))
+        return F.struct(
+            (start - 1).cast("long").alias("start"), F.lit(wide).cast("long").alias("words"),
+            F.lit(template.label).alias("label"), (held / F.lit(float(len(ordered)))).alias("containment"),
         )
-        return (F.size(b.held) >= need) & positional
 
-    starts = F.sequence(F.lit(0), F.greatest(n_words - 1, F.lit(0)).cast("int"), F.lit(m))
-    near = F.filter(
-        starts, lambda s: F.arrays_overlap(F.slice(words, s + 1, 2 * m), literal(first))
-    )
-    return F.transform(
-        F.filter(F.transform(near, block), joins),
-        lambda b: F.struct(
-            b.start.alias("start"), F.lit(2 * m).cast("long").alias("words"), F.lit(template.label).alias("label"),
-            (F.size(b.held) / F.lit(float(len(ordered)))).alias("containment"),
-        ),
-    )
+    places = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.element_at(words, i).isin(ordered))
+    enough = (need - 0.5) / len(ordered)
+    found = bound(places, lambda at: F.filter(F.transform(near(at), block), lambda b: b.containment > enough))
+    any_first = [F.contains(line, F.lit(f" {w} ")) for w in first]
+    return F.when(reduce(or_, any_first), found).otherwise(F.array()).cast(BLOCKS)
 
 
 BLOCKS = "array<struct<start:long,words:long,label:string,containment:double>>"
@@ -168,7 +173,7 @@ def with_blocks(docs: DataFrame, keep: list[str]) -> DataFrame:
         "n_words", F.when(F.trim("line") == "", 0).otherwise(spaces(F.col("line")) - 1).cast("long")
     )
     found = bound(
-        words_of(F.col("line")), lambda words: F.concat(*(matching_blocks(words, F.size(words), t, order) for t in ALL))
+        words_of(F.col("line")), lambda words: F.concat(*(matching_blocks(F.col("line"), words, t, order) for t in ALL))
     )
     # One regular expression over the prefix words of all templates decides whether blocks are formed.
     any_rare = F.col("line").rlike(f" (?:{'|'.join(rare)}) ")
@@ -203,7 +208,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same result in DuckDB SQL, with every block of every template counted."""
+    """The same result in DuckDB SQL, with every block of every template counted, one at each of its words."""
     listed = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
     starts, firsts, lasts, labels = [], [], [], []
     for phrase, label in PHRASES:
@@ -217,8 +222,9 @@ def oracle() -> str:
     for t in ALL:
         m = len(t.words)
         shared = f"len(list_intersect(w[i + 1:i + {2 * m}], {listed(t.tokens)}))"
+        places = f"list_filter(range(0, n), lambda i: list_contains({listed(t.tokens)}, w[i + 1]))"
         blocks.append(
-            f"list_transform(list_filter(range(0, n, {m}), lambda i: {shared} >= {t.need}), "
+            f"list_transform(list_filter({places}, lambda i: {shared} >= {t.need}), "
             f"lambda i: {{'label': '{t.label}', 'c': {shared} / {float(len(t.tokens))}}})"
         )
     concat = lambda parts: " || ".join(f"({p})" for p in parts)

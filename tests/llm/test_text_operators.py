@@ -164,6 +164,37 @@ def test_license_queries_equal_sql(spark, docs):
     assert licenses.license_blocks(docs).where("containment >= 0.9").count() >= 3
 
 
+def slow_blocks(text: str) -> set[tuple]:
+    """Every window of twice a template's words at one of its words, counted word by word."""
+    words, found = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower()), set()
+    for t in licenses.ALL:
+        wide = 2 * len(t.words)
+        for i, w in enumerate(words):
+            held = len(set(t.tokens) & set(words[i : i + wide]))
+            if w in t.tokens and held >= t.need:
+                found.add((i, wide, t.label, round(held / len(t.tokens), 9)))
+    return found
+
+
+def test_license_statements_are_found_at_any_place_and_stretched(spark):
+    rng = np.random.default_rng(3)
+    gpl = "this work is licensed {} under the gnu general public license version 3"
+    texts = [f"{'x ' * n}{gpl.format('by its kind author')} end" for n in range(0, 25)]
+    words = sorted({w for t in licenses.ALL for w in t.words})
+    for _ in range(150):
+        t = licenses.ALL[rng.integers(len(licenses.ALL))].words
+        parts = [w for x in t for w in ([] if rng.random() < 0.05 else [x] if rng.random() < 0.9 else ["filler", x])]
+        noise = lambda: [str(w) for w in rng.choice([*words, *["q"] * 40], rng.integers(0, 40))]
+        texts.append(" ".join([*noise(), *parts, *noise(), *parts, *noise()]))
+    texts += [" ".join(rng.choice(words, 3000)), "", None, "all rights reserved", "reserved rights all", "all all rights"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: set() for i in range(len(texts))}
+    for r in licenses.license_blocks(rows).collect():
+        got[r.doc_id].add((r.start, r.words, r.label, round(r.containment, 9)))
+    assert got == {i: slow_blocks(t) for i, t in enumerate(texts)}
+    assert all(any(b[2] == "gpl-3" for b in got[i]) for i in range(25)) and sum(map(len, got.values())) > 500
+
+
 def test_packing_keeps_capital_i_with_a_dot_and_its_full_stop_together():
     texts = ["Fİ. İ. ABCİ, é. ÉCOLE. straße, İstanbul. x.", "ǰ. ﬁ. ẖ. ΐ, ᾳ.", "İ.", "Ǆ, İ, i̇."]
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
