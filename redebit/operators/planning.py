@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from redebit.functions import calendar as cal
 from redebit.functions import hashing
-from redebit.operators import legality
+from redebit.operators import legality, projection
 
 LEAD_SLOTS = 25
 BASE_FEE, BETA_FRAUD, LAMBDA_ANNOYANCE = 300, 0.4, 1.0
@@ -23,11 +23,16 @@ SETTLED_STATES = ("succeeded", "superseded", "budget_exhausted", "stopped_econom
 TERMINAL_CAUSES = ("credential_dead", "mandate_dead")
 
 
-def retry_candidates(cycles: DataFrame, open_actions: DataFrame, now: Column) -> DataFrame:
-    """Executing cycles with budget and time left that have no open action."""
-    live = cycles.where(
-        (F.col("state") == "executing") & (F.col("attempts_used") < F.col("attempt_budget")) & (F.col("deadline_at") > now)
-    )
+def retry_candidates(cycles: DataFrame, open_actions: DataFrame, now: Column, mandates: DataFrame | None = None) -> DataFrame:
+    """Executing cycles with budget and time left that have no open action.
+
+    With ``mandates`` customer, rail, category and thereby the budget come from the mandate's row;
+    cycles without one are left out. Without it the cycles carry them.
+    """
+    live = cycles.where((F.col("state") == "executing") & (F.col("deadline_at") > now))
+    if mandates is not None:
+        live = projection.with_mandates(live, mandates)
+    live = live.where(F.col("attempts_used") < F.col("attempt_budget"))
     pending = open_actions.where(F.col("state").isin("pending", "claimed")).select("cycle_ref")
     return live.join(pending, "cycle_ref", "left_anti")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from redebit.functions import calendar as cal
 from redebit.functions import stats
 from redebit.operators.legality import slot_time
-from redebit.operators.projection import FAILURES, SUCCESSES, unique_events
+from redebit.operators.projection import FAILURES, SUCCESSES, unique_events, with_mandates
 
 SEGMENT = ["mcc", "ticket_band", "rail", "day_of_month", "hour_band"]
 MIN_COHORT, MIN_CONTRIBUTORS = 50, 3
@@ -26,14 +26,17 @@ _BAND_WEIGHT = (1.0, 0.85, 0.8, 0.7, 0.55)
 _TICKET_WEIGHT = (1.0, 0.92, 0.8, 0.62, 0.45)
 
 
-def outcomes_with_segment(events: DataFrame, cycles: DataFrame) -> DataFrame:
+def outcomes_with_segment(events: DataFrame, cycles: DataFrame, mandates: DataFrame | None = None) -> DataFrame:
     """Payment outcomes banded by their cycle's amount; outcomes without a cycle drop out.
 
     The join is on the cycle reference, so an event counts in its own ticket band; re-deliveries
-    of an event count once.
+    of an event count once. With ``mandates`` rail and category come from the mandate's row and
+    outcomes without one drop out; without it the events carry them.
     """
     paid = F.col("event_type").isin(*SUCCESSES)
     outcomes = unique_events(events.where(paid | F.col("event_type").isin(*FAILURES)))
+    if mandates is not None:
+        outcomes = with_mandates(outcomes, mandates)
     amounts = cycles.select("cycle_ref", F.col("amount_paise").alias("cycle_paise"))
     return outcomes.join(amounts, "cycle_ref").select(
         "tenant_id", "rail",

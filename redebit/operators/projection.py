@@ -123,14 +123,33 @@ def project_cycles(events: DataFrame, keys: list[str] | None = None) -> DataFram
     folded = own.groupBy(*keys).agg(*cycle_facts(), *facts)
     names = [a for a in CYCLE_ATTRIBUTES if a not in keys and a in events.columns]
     cycles = folded.select(*cycle_columns(keys), *names).where("deadline_at IS NOT NULL")
-    if "rail" not in cycles.columns:
-        return cycles
+    return with_budget(cycles) if "rail" in cycles.columns else cycles
+
+
+def with_budget(cycles: DataFrame) -> DataFrame:
+    """The attempts that the rail allows a cycle, and how many of them are left."""
     budget = cal.attempt_budget(F.col("rail"))
     return cycles.withColumn("attempt_budget", budget).withColumn(
         "budget_left", F.greatest(budget - F.col("attempts_used"), F.lit(0)).cast("int")
     )
 
 
+MANDATE_KEYS = ["tenant_id", "mandate_id"]
+MANDATE_FACTS = ["customer_id", "rail", "mcc"]
+
+
+def with_mandates(rows: DataFrame, mandates: DataFrame) -> DataFrame:
+    """Events or cycles with the customer, rail and category of their mandate.
+
+    ``mandates`` has one row per tenant and mandate; only its keys and facts are read. Its facts
+    replace those that the rows carry, and rows without a known mandate drop out. The provider's
+    envelopes name the mandate only, so their cycles get rail and budget here.
+    """
+    facts = mandates.select(*MANDATE_KEYS, *MANDATE_FACTS)
+    joined = rows.drop(*MANDATE_FACTS).join(facts, MANDATE_KEYS)
+    return with_budget(joined) if "attempts_used" in rows.columns else joined
+
+
 def cycle_sequence(cycles: DataFrame, at: str = "due_at", tie: str = "cycle_ref") -> DataFrame:
     """Billing sequence of a cycle within its mandate."""
     return ordered.numbered(cycles, ["mandate_id"], [at, tie], ordered.time_block(F.col(at)), "seq_no")

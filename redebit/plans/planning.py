@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redebit.functions import calendar as cal
 from redebit.functions import causes, hashing
-from redebit.operators import estimators, legality, ordered, planning, portfolio, priors
+from redebit.operators import estimators, legality, ordered, planning, portfolio, priors, projection
 from redebit.plans import views_sql as v
 from redebit.plans.experiment import CONTROL, SEED, _arm, _unit
 from redebit.plans.ingest import PROJECTED, projected
@@ -44,6 +44,21 @@ def retry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("cycle_ref", "mandate_id", "attempts_used")
 
 
+_BARE = ("rail", "mcc", "customer_id")
+
+
+@query("retry_candidates_of_mandates", v.with_(v.EVENTS, PROJECTED, v.MANDATES, f"""
+cm AS (SELECT p.cycle_ref, p.tenant_id, p.mandate_id, p.attempts_used, p.state, p.deadline_at, m.customer_id, m.rail, m.mcc,
+  {v.budget('m.rail')} AS attempt_budget FROM proj p JOIN ev_mandates m USING (tenant_id, mandate_id))""") + f"""
+SELECT cycle_ref, mandate_id, customer_id, rail, mcc, attempts_used, CAST(attempt_budget - attempts_used AS INT) AS budget_left FROM cm
+WHERE state = 'executing' AND attempts_used < attempt_budget AND deadline_at > TIMESTAMP '{NOW}' AND mandate_id % 3 <> 0""")
+def retry_candidates_of_mandates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that name their mandate only, as the provider's do; the mandate's row says the rest."""
+    cycles = projection.project_cycles(td.payment_events(spark, sf_dir).drop(*_BARE))
+    found = planning.retry_candidates(cycles, open_actions(cycles), now(), td.mandates(spark, sf_dir))
+    return found.select("cycle_ref", "mandate_id", "customer_id", "rail", "mcc", "attempts_used", "budget_left")
+
+
 @query("candidate_queue", v.with_(v.EVENTS, PROJECTED, """
 q AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY deadline_at, cycle_ref) AS position FROM proj
   WHERE state = 'executing')""") + "SELECT tenant_id, cycle_ref, CAST(position AS INT) AS position, CAST((position - 1) // 100 AS INT) AS page FROM q")

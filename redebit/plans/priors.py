@@ -52,6 +52,17 @@ def outcomes_with_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(*found.columns).agg(F.count("*").alias("n"))
 
 
+@query("outcomes_of_mandates", v.with_(v.EVENTS, PROJECTED, v.MANDATES, OUTCOMES.replace("e.rail, e.mcc", "m.rail, m.mcc").replace(
+    "JOIN proj p USING (cycle_ref)", "JOIN proj p USING (cycle_ref) JOIN ev_mandates m ON m.mandate_id = e.mandate_id AND m.tenant_id = e.tenant_id")) + """
+SELECT tenant_id, rail, mcc, ticket_band, day_of_month, hour_band, success, count(*) AS n
+FROM outcomes GROUP BY ALL""")
+def outcomes_of_mandates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rail and category of the mandate's row; every event is delivered twice and counts once."""
+    events = td.payment_events(spark, sf_dir).drop("rail", "mcc")
+    found = priors.outcomes_with_segment(events.unionAll(events), projected(spark, sf_dir), td.mandates(spark, sf_dir))
+    return found.groupBy(*found.columns).agg(F.count("*").alias("n"))
+
+
 @query("segment_counts", v.with_(*_O) + """
 SELECT mcc, ticket_band, rail, day_of_month, hour_band, tenant_id, count(*) AS attempts,
   count(CASE WHEN success THEN 1 END) AS successes FROM outcomes GROUP BY ALL""")

@@ -44,6 +44,12 @@ ev_events AS (
       AS decline_code
   FROM events)"""
 
+MANDATES = f"""
+ev_mandates AS (
+  SELECT 't' || (c_custkey % 5) AS tenant_id, c_custkey AS mandate_id, c_custkey AS customer_id,
+    {_rail('(c_custkey + c_nationkey)')} AS rail, {_case('(c_custkey + c_nationkey) % 4', _MCC)} AS mcc
+  FROM customer)"""
+
 CYCLES = f"""
 ev_cycles AS (
   SELECT o_orderkey AS cycle_id, o_custkey AS customer_id, o_custkey AS mandate_id,

@@ -130,6 +130,15 @@ def billing_cycles(spark: SparkSession, sf_dir: str, with_tenant: bool = False)
     return cycles.join(owners, "customer_id")
 
 
+def mandates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mandate per customer, with facts of its own that the events do not show."""
+    key, of = F.col("c_custkey"), F.col("c_custkey") + F.col("c_nationkey")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("t"), (key % 5).cast("string")).alias("tenant_id"), key.alias("mandate_id"),
+        key.alias("customer_id"), rail_of(of).alias("rail"), mcc_of(of).alias("mcc"),
+    )
+
+
 def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions without their chain columns; an order is one ledger lane."""
     line = table(spark, sf_dir, "lineitem")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from redebit.operators import projection
+from redebit.operators import planning, priors, projection
 from redebit.sources import events as ev
 
 BASE = dt.datetime(2026, 1, 1)
@@ -122,3 +122,26 @@ def test_first_delivery_wins(spark):
     for order in itertools.permutations(rows):
         df = spark.createDataFrame(list(order), "event_id string, received_at timestamp, v string")
         assert [r["v"] for r in ev.dedupe_events(df).collect()] == ["first"]
+
+
+def test_mandates_give_rail_and_budget_to_bare_events(spark):
+    at = "timestamp'2024-01-0{}'"
+    events = spark.createDataFrame(
+        [(1, "t1", 10, "c1", "payment.failed", "2024-01-01", 500), (1, "t1", 10, "c1", "payment.failed", "2024-01-01", 500),
+         (2, "t1", 10, "c1", "payment.failed", "2024-01-02", 500), (3, "t1", 10, "c1", "payment.failed", "2024-01-03", 500),
+         (4, "t1", 11, "c2", "payment.failed", "2024-01-01", 500), (5, "t1", 99, "c3", "payment.failed", "2024-01-01", 500),
+         (6, "t1", None, "c4", "payment.failed", "2024-01-01", 500)],
+        "event_id long, tenant_id string, mandate_id long, cycle_ref string, event_type string, at string, amount_paise long",
+    ).selectExpr("*", "timestamp(at) AS occurred_at", "timestamp'2024-02-01' AS deadline_at").drop("at")
+    mandates = spark.createDataFrame(
+        [("t1", 10, 7, "enach", "7997"), ("t1", 11, 8, "upi_autopay", None), ("t2", 10, 9, "card", "1")],
+        "tenant_id string, mandate_id long, customer_id long, rail string, mcc string")
+    cycles = projection.project_cycles(events)
+    none = spark.createDataFrame([], "cycle_ref string, state string")
+    now = F.expr(at.format(5))
+    got = planning.retry_candidates(cycles, none, now, mandates).collect()
+    # The batch rail allows three attempts, which c1 has used; unknown and missing mandates drop out.
+    assert [(r.cycle_ref, r.customer_id, r.rail, r.budget_left) for r in got] == [("c2", 8, "upi_autopay", 3)]
+    assert planning.retry_candidates(cycles.limit(0), none, now, mandates).count() == 0
+    found = priors.outcomes_with_segment(events, cycles, mandates.withColumn("occurred_at", F.lit("clash")))
+    assert found.groupBy("rail", "mcc").count().orderBy("rail").collect() == [("enach", "7997", 3), ("upi_autopay", "0000", 1)]
