@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redebit.functions import hashing, stats
+from redebit.operators import estimators
 
 MIN_ARM = 30
 # Share of mandates acted on and holdout share per adoption stage.
@@ -169,6 +170,32 @@ def contact_guardrails(messages: DataFrame, customers: DataFrame, cap: float) ->
     return volume.unionByName(complaints).withColumn("status", F.when(F.col("value") > F.col("threshold"), "breach").otherwise("ok"))
 
 
+def tenant_report(summary: DataFrame, rails: DataFrame, interventions: DataFrame, holdout: float) -> DataFrame:
+    """Recovery and mandate survival as one pair per tenant, with efficiency, breaches and a verdict.
+
+    ``summary`` holds the arms, ``rails`` guardrails in long form (tenant_id, key, status), ``holdout``
+    the designed share of the holdout. No number stands behind a failed sample-ratio gate; a
+    breached guardrail forbids the claim whatever the numbers say; thin arms support no claim.
+    """
+    sizes = pair_arms(summary).select("tenant_id", F.col("t_mandates").alias("n_t"), F.col("h_mandates").alias("n_c"))
+    gate = estimators.srm_check(sizes, holdout).select("tenant_id", "chi_square", F.coalesce("srm_passed", F.lit(False)).alias("valid"))
+    breaches = rails.where("status = 'breach'").groupBy("tenant_id").agg(
+        F.array_join(F.array_sort(F.collect_set("key")), ",").alias("breached")
+    )
+    row = gate.join(matched_pair(summary), "tenant_id").join(efficiency(summary, interventions), "tenant_id").join(breaches, "tenant_id", "left")
+    numbers = (
+        "treatment_recovery_rate", "holdout_recovery_rate", "incremental_recovery_paise", "recovery_low_paise", "recovery_high_paise",
+        "incremental_survival_pts", "survival_low_pts", "survival_high_pts", "attempts_per_recovery", "attempts_per_recovery_baseline",
+    )
+    breached = F.coalesce("breached", F.lit(""))
+    both = F.coalesce((F.col("recovery_low_paise") > 0) & (F.col("incremental_survival_pts") >= 0), F.lit(False))
+    verdict = F.when(~F.col("valid"), "invalid split").when(breached != "", "guardrail breached").when(both, "holds").otherwise("no defensible effect")
+    return row.select(
+        "tenant_id", "valid", "chi_square", *[F.when(F.col("valid"), F.col(c)).alias(c) for c in numbers],
+        breached.alias("breached"), verdict.alias("verdict"),
+    )
+
+
 def fleet_guardrails(per_tenant: DataFrame) -> DataFrame:
     """Fleet view: counts and money add up, rates take the worst tenant."""
     summed = F.col("key").isin("compliance_violations", "net_value_paise")

@@ -227,6 +227,31 @@ def guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _guardrails(spark, sf_dir)
 
 
+_REPORTED = (
+    "treatment_recovery_rate", "holdout_recovery_rate", "incremental_recovery_paise", "recovery_low_paise", "recovery_high_paise",
+    "incremental_survival_pts", "survival_low_pts", "survival_high_pts", "attempts_per_recovery", "attempts_per_recovery_baseline",
+)
+
+
+@query("tenant_report", v.with_(*_P, _RATES, v.DECISIONS, _GUARD, """
+br AS (SELECT tenant_id, string_agg(key, ',' ORDER BY key) AS breached FROM guards WHERE status = 'breach' GROUP BY 1),
+tr AS (SELECT m.*, round(t_attempts / nullif(t_recovered_cycles, 0), 2) AS attempts_per_recovery,
+    round(h_attempts / nullif(h_recovered_cycles, 0), 2) AS attempts_per_recovery_baseline, coalesce(breached, '') AS breached,
+    (holdout_n - (treatment_n + holdout_n) * 0.15::DOUBLE) ** 2 / ((treatment_n + holdout_n) * 0.15::DOUBLE)
+    + (treatment_n - (treatment_n + holdout_n) * 0.85::DOUBLE) ** 2 / ((treatment_n + holdout_n) * 0.85::DOUBLE) AS chi
+  FROM mp m JOIN pair p ON p.tenant_id = m.tenant_id LEFT JOIN br ON br.tenant_id = m.tenant_id),
+tv AS (SELECT *, coalesce(chi <= 10.827566170662733, FALSE) AS valid FROM tr)""") + f"""
+SELECT tenant_id, valid, round(chi, 6) AS chi_square, {', '.join(f'CASE WHEN valid THEN {c} END AS {c}' for c in _REPORTED)}, breached,
+  CASE WHEN NOT valid THEN 'invalid split' WHEN breached <> '' THEN 'guardrail breached'
+    WHEN recovery_low_paise > 0 AND incremental_survival_pts >= 0 THEN 'holds' ELSE 'no defensible effect' END AS verdict
+FROM tv""")
+def tenant_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = portfolio.arm_summary(portfolio_cycles(spark, sf_dir), "full")
+    rails = portfolio.guardrails(summary, checked_decisions(spark, sf_dir))
+    found = portfolio.tenant_report(summary, rails, interventions(spark, sf_dir), portfolio.STAGES["full"][1])
+    return found.withColumn("chi_square", F.round("chi_square", 6))
+
+
 @query("fleet_guardrails", v.with_(*_P, _RATES, v.DECISIONS, _GUARD) + """
 SELECT key, CASE WHEN key = 'revocation_vs_control' THEN max(value) ELSE sum(value) END AS value,
   CASE key WHEN 'net_value_paise' THEN CASE WHEN sum(value) <= 0 THEN 'breach' ELSE 'ok' END
