@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_decisions(decisions: DataFrame, path: str, files_per_month: int = 8) -> None:
-    """Append decisions under month partitions; a busy month is spread over several files."""
-    spread = F.pmod(F.xxhash64("decision_id"), F.lit(files_per_month))
+def write_decisions(decisions: DataFrame, path: str) -> None:
+    """Append decisions under month partitions.
+
+    Rows are gathered by month; where a month outgrows the advisory partition size, the adaptive
+    plan splits it by the tasks that made its rows, and it merges small months.
+    """
     dated = decisions.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    dated.repartition("month", spread).write.mode("append").partitionBy("month").parquet(path)
+    dated.hint("rebalance", F.col("month")).write.mode("append").partitionBy("month").parquet(path)
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:

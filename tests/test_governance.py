@@ -237,3 +237,19 @@ def test_one_predicate_never_stops_the_job(spark, predicate, verdict):
     assert bool(refused) == (not rules.admitted(spark, predicate))
     if predicate.startswith("amount_paise > '"):
         assert refused == ["compares text with something else"]
+
+
+def test_a_busy_month_is_written_by_as_many_tasks_as_its_size_asks(spark, tmp_path):
+    rows = spark.range(0, 200_000, 1, 32).select(  # a month is split by the tasks that wrote it
+        F.sha2(F.col("id").cast("string"), 256).alias("decision_id"),
+        F.expr("if(id % 50 = 0, timestamp'2024-04-05', timestamp'2024-03-05')").alias("ts"),
+    )
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        sinks.write_decisions(rows, f"{tmp_path}/d")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    back = spark.read.parquet(f"{tmp_path}/d")
+    assert back.groupBy("month").count().orderBy("month").collect() == [("2024-03", 196_000), ("2024-04", 4_000)]
+    assert len(list((tmp_path / "d" / "month=2024-03").glob("*.parquet"))) > 8
