@@ -87,9 +87,7 @@ def segment_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT mcc, rail, hour_band FROM pool EXCEPT SELECT mcc, rail, hour_band FROM pool WHERE publishable""")
 def withheld_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = priors.segment_counts(outcomes(spark, sf_dir), _DIMS)
-    keys = counts.select(*_DIMS).distinct()
-    kept, _ = priors.segment_priors(counts, dims=_DIMS)
-    return keys.exceptAll(kept.select(*_DIMS))
+    return priors.segment_priors(counts, dims=_DIMS)[1].select(*_DIMS)
 
 
 @query("global_prior", v.with_(*_O, SEGS, PRIORS) + "SELECT round(g, 6) AS global_hazard FROM gp")

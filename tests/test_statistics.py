@@ -1,3 +1,4 @@
+import datetime as dt
 import hashlib
 import math
 
@@ -134,3 +135,18 @@ def test_hmac_matches_the_standard_library(spark):
 def test_log_loss_is_finite_at_the_edges(spark):
     df = spark.createDataFrame([(1, 0.0), (0, 1.0)], "y int, p double")
     assert all(math.isfinite(r[0]) for r in df.select(stats.log_loss_term(F.col("y"), F.col("p"))).collect())
+
+
+def test_withheld_segments_query_names_small_cells(spark, tmp_path):
+    from redebit.plans import catalog
+
+    # users 4, 12 and 16 (three tenants) share category and rail and have 60 outcomes, user 7 has two
+    at = dt.datetime(2024, 1, 2, 6)
+    users = [4, 12, 16] * 20 + [7, 7]
+    rows = [(n, at + dt.timedelta(seconds=n), "error" if n % 2 else "purchase", u, 1.0, '{"k": 1}') for n, u in enumerate(users)]
+    schema = "event_id bigint, ts timestamp, event_type string, user_id bigint, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+    held = catalog.QUERIES["withheld_segments"](spark, str(tmp_path)).collect()
+    pooled = catalog.QUERIES["segment_priors"](spark, str(tmp_path)).collect()
+    assert {(r.mcc, r.rail, r.hour_band) for r in held} == {(r.mcc, r.rail, r.hour_band) for r in pooled if not r.publishable}
+    assert len(held) == 1 and len(pooled) == 2
