@@ -50,14 +50,15 @@ def stream_issuer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_issuer_detector", "WITH RECURSIVE " + v.with_(v.EVENTS, ATT, _CUSUM)[5:] + """
 SELECT issuer, start_s, round(cusum, 6) AS cusum, since AS degraded_since_s, CAST(outages AS INT) AS outages
-FROM st WHERE rn > 0 AND start_s + 86400 <= (SELECT epoch_us(max(occurred_at)) // 1000000 - 3600 FROM ev_events
-  WHERE event_type IN ('payment.failed', 'payment.captured'))""")
+FROM st WHERE rn > 0""")
 def stream_issuer_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One job from attempts to detector states; the last windows stay open, as no later attempt closes them."""
+    """Closed windows in one job from attempts to states; windows that no later attempt closes follow from their latest counts."""
     attempts = _attempts(td.payment_events(spark, sf_dir))
     rate = attempts.agg(F.greatest(F.count_if("success") / F.count("*"), F.lit(0.05)).alias("b")).first()["b"]
-    states = jobs.issuer_detector(_attempts(td.payment_event_stream(spark, sf_dir)), rate, "1 hour", "1 day", **TUNING)
-    rows, _ = run.drain(states, "append")
+    stream = _attempts(td.payment_event_stream(spark, sf_dir))
+    closed, _ = run.drain(jobs.issuer_detector(stream, rate, "1 hour", "1 day", **TUNING), "append")
+    counts, _ = run.drain(jobs.issuer_windows(stream, "1 hour", "1 day"), "update")
+    rows = jobs.with_open_windows(closed, run.latest(counts, ["issuer", "window_start"]), rate, **TUNING)
     return rows.select(
         "issuer", "start_s", F.round("cusum", 6).alias("cusum"), "degraded_since_s", "outages"
     )

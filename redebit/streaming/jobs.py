@@ -471,6 +471,30 @@ def issuer_detector(attempts: DataFrame, baseline: float, delay: str = "10 minut
     )
 
 
+def with_open_windows(closed: DataFrame, windows: DataFrame, baseline: float, **tuning) -> DataFrame:
+    """The states of closed windows, and after them those of windows that are still open.
+
+    ``windows`` holds the latest counts of all windows. An issuer's open windows start after its closed
+    ones, so its last closed state is carried on over them.
+    """
+    fields = issuers.STATE_COLUMNS[2:]
+    states = closed.select(*issuers.STATE_COLUMNS)
+    last = states.groupBy("issuer").agg(F.max_by(F.struct(*fields), "start_s").alias("_last")).select("issuer", "_last.*")
+    inputs = issuers.detector_inputs(windows, F.lit(baseline), **tuning)
+    known = states.select(F.col("issuer").alias("_issuer"), F.col("start_s").alias("_start"))
+    still_open = inputs.join(known, F.col("issuer").eqNullSafe(F.col("_issuer")) & (F.col("start_s") == F.col("_start")), "left_anti")
+
+    def carry_on(carried: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame(columns=issuers.STATE_COLUMNS)
+        own = own.sort_values("start_s", ignore_index=True)
+        state = tuple(carried[fields].iloc[0]) if len(carried) else issuers.HEALTHY
+        return pd.DataFrame(dict(zip(issuers.STATE_COLUMNS, [own["issuer"], own["start_s"], *issuers.followed(state, own)[1]])))
+
+    later = last.groupBy("issuer").cogroup(still_open.groupBy("issuer")).applyInPandas(carry_on, issuers.STATE_SCHEMA)
+    return states.unionByName(later)
+
+
 def late_capture_guard(pending_actions: DataFrame, path: str):
     """foreachBatch writer: cancel the pending actions of cycles that turned out paid."""
 

@@ -203,6 +203,22 @@ def test_detector_follows_closed_windows(spark, tmp_path):
     assert {r["issuer"] for r in written.where("degraded_since_s >= 0").collect()} == {"i1"}
 
 
+def test_detector_query_has_a_state_for_every_window(spark, tmp_path):
+    from redebit.plans import catalog
+
+    rng, rows = random.Random(21), []
+    for n in range(400):  # user 3 stops early: its last window is closed, that of user 1 is open
+        user = 1 + 2 * (n % 2) if n < 300 else 1
+        rows.append((n, START + dt.timedelta(hours=n), rng.choice(["purchase", "error", "error"]), user, 1.0, '{"k": 1}'))
+    columns = ["event_id", "ts", "event_type", "user_id", "value", "props"]
+    pd.DataFrame(rows, columns=columns).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet", index=False)
+    read = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
+    got = read("stream_issuer_detector")
+    want = read("issuer_cusum").select(*got.columns)
+    same(got, want)
+    assert got.select("issuer").distinct().count() == 2 and got.count() == read("issuer_windows").count()
+
+
 def test_mandate_segments_compose_like_the_fold(spark, tmp_path):
     rng, rows = random.Random(12), []
     kinds = list(projection.MANDATE_EVENT_STATE)
