@@ -29,7 +29,8 @@ def plan_retries(events: DataFrame, cycles: DataFrame, actions: DataFrame, publi
         F.col("last_failure_at").alias("decided_at"), F.col("budget_left").alias("budget"),
         causes.p_recoverable(F.col("decline_code")).alias("p_rec"),
     )
-    slots = legality.explode_slots(priors.with_curve(coded, published), ["cycle_ref"], horizon)
+    costed = planning.with_costs(coded)
+    slots = legality.explode_slots(priors.with_curve(costed, published), ["cycle_ref"], horizon)
     masked = legality.legality_mask(slots)
     lawful = F.col("legal") & legality.notice_feasible(F.col("decided_at"), F.col("slot"))
     at = legality.slot_time(F.col("decided_at"), F.col("slot"))
@@ -37,9 +38,10 @@ def plan_retries(events: DataFrame, cycles: DataFrame, actions: DataFrame, publi
         "cycle_ref", "tenant_id", "mandate_id", "decided_at", "attempts_used", "slot", "legal",
         (priors.slot_presence(at) * F.col("p_rec")).alias("p"), F.lit(planning.DELTA_R).alias("dr"), "amount_paise",
         (F.col("amount_paise") * planning.W_MULTIPLE).alias("continuation_paise"), "budget",
+        *[c for c in costed.columns if c.startswith("cost_")],
     )
     keys = ["cycle_ref", "tenant_id", "mandate_id", "decided_at", "attempts_used"]
-    decided = planning.decide(planning.with_costs(rows), keys)
+    decided = planning.decide(rows, keys, in_order=True)
     debits = planning.scheduled_actions(decided)
     announced = legality.plan_notice(
         debits.withColumn("debit_at", F.col("fire_at")).withColumn("predicted_funding_at", F.lit(None).cast("timestamp"))
