@@ -145,3 +145,18 @@ def test_attempt_cost_rounds_half_to_even(spark):
     rows = spark.createDataFrame([(125, 1), (375, 1), (49_900, 0)], "a bigint, k int")
     got = [r[0] for r in rows.select(planning.attempt_cost(F.col("a"), F.col("k"))).collect()]
     assert got == [round(300 + 0.4 * 1.25 + 1.25), round(300 + 0.4 * 3.75 + 3.75), 300]
+
+
+def test_layers_over_cycles_in_order_equal_those_of_any_rows(spark):
+    """Rows that explode leaves in order need neither shuffle nor sort, and give what sorted rows give."""
+    from pyspark.sql import functions as F
+
+    facts = spark.range(40).select(
+        F.col("id").alias("cycle_id"), F.lit(0.04).alias("dr"), (F.col("id") * 1000 + 500).alias("amount_paise"),
+        (F.col("id") * 9000).cast("double").alias("continuation_paise"), (F.col("id") % 4).cast("int").alias("budget"))
+    slots = planning.with_costs(facts).select("*", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("slot"))
+    slots = slots.withColumn("legal", (F.col("slot") > 0) & (F.col("slot") % 3 != 0)).where("legal OR slot = 0").withColumn("p", (F.col("slot") * 7 % 11) / 11)
+    for solve in (planning.decide, planning.planned_slots, planning.rank_candidates):
+        plain, ordered = (solve(slots, ["cycle_id"], lead=5, in_order=flag) for flag in (False, True))
+        assert sorted(map(str, plain.collect())) == sorted(map(str, ordered.collect()))
+        assert "Exchange" not in planning.decide(slots, ["cycle_id"], in_order=True)._jdf.queryExecution().toString()
