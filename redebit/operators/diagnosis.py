@@ -23,15 +23,15 @@ OUTCOME = ("recovered_flag", "log_lag")
 MIN_VARIANCE = 1e-3
 
 
-def sibling_failures(attempts: DataFrame, within: int = NEAR_SECONDS) -> DataFrame:
+def sibling_failures(attempts: DataFrame, within: int = NEAR_SECONDS, among: DataFrame | None = None) -> DataFrame:
     """Other attempts of the customer within ``within`` seconds, and how many of them failed.
 
     Input columns: ``customer_id``, ``at``, ``failed``. Counting uses bucketed range sums,
-    never pairs.
+    never pairs. ``among`` are the attempts counted, where ``attempts`` are only some of them.
     """
     stamped = attempts.withColumn("_us", F.unix_micros("at"))
     near = ordered.trailing(
-        stamped, ["customer_id"], "_us", within * 1_000_000, within * 1_000_000,
+        stamped if among is None else among.withColumn("_us", F.unix_micros("at")), ["customer_id"], "_us", within * 1_000_000, within * 1_000_000,
         {"_n": F.lit(1), "_f": F.col("failed").cast("int")},
     )
     joined = ordered.matched(stamped, near, ["customer_id", "_us"])
@@ -49,15 +49,18 @@ def cause_observations(cycles: DataFrame, bucket: int = DAY, span: int = 7 * DAY
     health = issuers.rolling_health(
         issuers.issuer_windows(attempts, bucket), issuers.issuer_baseline(attempts), span
     ).select("issuer", "window_start", "issuer_health", "peer_rate")
-    known = history.customer_history(cycles, day_at=F.col("due_at")).withColumn("at", F.col("due_at"))
-    near = sibling_failures(known).where("failed")
-    payday = history.modal_payday()
-    since = F.pmod(cal.day_of_month_ist(F.col("due_at")) - payday, F.lit(30)).cast("double")
+    since = F.pmod(cal.day_of_month_ist(F.col("due_at")) - history.modal_payday(), F.lit(30)).cast("double")
+    # What the counters are for is worked out before rows move again.
+    known = history.customer_history(cycles, day_at=F.col("due_at")).where("failed").select(
+        "cycle_id", "customer_id", "issuer", "decline_code", "failed", F.col("due_at").alias("at"), "due_at", "recovered", "recovered_at",
+        history.amount_ratio().alias("amount_ratio"), since.alias("days_since_payday"),
+    )
+    near = sibling_failures(known, among=cycles.withColumn("at", F.col("due_at")))
     windowed = near.withColumn("window_start", cal.window_start(F.col("at"), bucket))
     lag = (F.unix_seconds("recovered_at") - F.unix_seconds("due_at")) / F.lit(3600.0)
     return windowed.join(health, ["issuer", "window_start"], "left").select(
         "cycle_id", "customer_id", "decline_code", "issuer_health", "peer_rate", "sibling_rate",
-        history.amount_ratio().alias("amount_ratio"), since.alias("days_since_payday"),
+        "amount_ratio", "days_since_payday",
         F.greatest(F.col("concurrent"), F.lit(1)).alias("n_concurrent"), "recovered",
         F.when(F.col("recovered"), lag).alias("recovery_lag_hours"),
     )
