@@ -173,9 +173,10 @@ def shadow_audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIELDS = ["decision_id", "ts", "cycle_id", "verdict", "amount_paise"]
 
 
-def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decisions = td.gate_decisions(spark, sf_dir)
-    return ledger.append_decisions(ledger.with_payload(decisions, FIELDS), ["ts", "decision_id"])
+def chained(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The ledger of all decisions: the fields that are hashed, and ``more`` columns beside them."""
+    decisions = td.gate_decisions(spark, sf_dir).select(*ledger.KEYS, *FIELDS, *more)
+    return ledger.append_decisions(decisions, ["ts", "decision_id"], fields=FIELDS)
 
 
 CHAIN = """
@@ -198,9 +199,9 @@ def append_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.chain_heads(chained(spark, sf_dir))
 
 
-def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def damaged(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """The chained ledger with edited amounts, forged hashes and lost records."""
-    built = chained(spark, sf_dir)
+    built = chained(spark, sf_dir, *more)
     x = F.col("amount_paise")
     kept = built.where(~((F.col("chain_seq") > 0) & (x % 41 == 0)))
     payload = F.when(x % 29 == 0, F.replace("payload", F.lit('"amount_paise":'), F.lit('"amount_paise":9'))).otherwise(F.col("payload"))
@@ -246,8 +247,8 @@ flt AS (
 
 
 def _kept_register(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    built = checkpointed(chained(spark, sf_dir))
-    return built, ledger.chain_register(built, _SEGMENT)
+    built = checkpointed(chained(spark, sf_dir).select(*ledger.KEYS, "chain_seq", "record_hash", "amount_paise"))
+    return built, checkpointed(ledger.chain_register(built, _SEGMENT))
 
 
 @query("chain_register", _CH.rstrip() + "," + _DAMAGE.rsplit("lk AS (", 1)[0].rstrip().rstrip(",") + "," + _REGISTER + """
@@ -286,7 +287,7 @@ def replay_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("RULE-A").alias("rule_id"), F.when(F.col("part") % 50 == 0, "DENY").otherwise("ALLOW").alias("verdict")),
         F.struct(F.lit("RULE-B").alias("rule_id"), F.col("verdict").alias("verdict")),
     ))
-    replayed = ledger.replay_decisions(damaged(spark, sf_dir).withColumn("checks_json", checks))
+    replayed = ledger.replay_decisions(damaged(spark, sf_dir, "part").withColumn("checks_json", checks))
     return replayed.select("tenant_id", "lane", "chain_seq", "hash_matches", F.concat_ws(",", "refused").alias("refused"))
 
 

@@ -116,6 +116,23 @@ def test_verification_crosses_block_borders(chained, monkeypatch):
     assert {(r["decision_id"], r["reason"]) for r in lost} == {("b103", "sequence gap"), ("b103", "broken link")}
 
 
+def test_a_chain_is_built_once_and_its_payload_is_not_shuffled(decisions, chained, monkeypatch):
+    built = ledger.append_decisions(decisions.drop("payload"), ["ts", "decision_id"], fields=FIELDS)
+    cols = ["decision_id", "payload", "chain_seq", "prev_hash", "record_hash"]
+    assert sorted(map(tuple, built.select(cols).collect())) == sorted(map(tuple, chained.select(cols).collect()))
+    plan = ledger.verify_chain(built)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    monkeypatch.setattr(ledger, "SEQ_BLOCK", 2)  # whole blocks are lost, and one record of a block is both its ends
+    lost = ledger.verify_chain(chained.where("NOT (decision_id LIKE 'a0%' AND chain_seq IN (1, 2, 3, 4, 6))")).collect()
+    assert {(r["decision_id"], r["reason"], r["expected"]) for r in lost if r["reason"] == "sequence gap"} == {
+        ("a005", "sequence gap", "1"), ("a007", "sequence gap", "6")}
+
+
+def test_segments_count_their_records_over_all_levels(chained):
+    roots = ledger.merkle_roots(chained, ledger.KEYS, "chain_seq", "record_hash", 10, fan_in=3)
+    assert [r["records"] for r in roots.collect()] == [10] * 6
+
+
 def test_batches_extend_the_same_chain(spark, decisions, chained):
     cut = F.lit(dt.datetime(2026, 1, 1, 4))
     first = ledger.append_decisions(decisions.where(F.col("ts") < cut), ["ts", "decision_id"])
