@@ -340,8 +340,16 @@ def then(first: list[int], second: list[int]) -> list[int]:
     return [*(second[first[s]] for s in STATES), *(first[n + s] + second[n + first[s]] for s in STATES)]
 
 
+#: Events of a mandate that are held as one list before they become segments.
+FLAT_EVENTS = 512
+MOVES = [one_move(to) for to in STATES]
+
+
 class MandateFold(StatefulProcessor):
-    """Mandate state in total order, as segments that compose.
+    """Mandate state in total order: a short list of events, or segments that compose.
+
+    The events of most mandates that the watermark has not passed are few; they are one value of the state,
+    read and written once per batch. Of more than ``flat_events`` the mandate goes on in segments.
 
     What a minute's events do to each of the seven states is a small table, and tables compose:
     minutes make an hour, hours a day, days the mandate. An event, late or not, is put into its
@@ -349,8 +357,12 @@ class MandateFold(StatefulProcessor):
     to the base and forgotten with all that is below them.
     """
 
+    def __init__(self, flat_events: int = FLAT_EVENTS) -> None:
+        self.flat_events = flat_events
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.flat = handle.getValueState("flat", "us array<bigint>, id array<string>, to array<int>, state int, stale bigint, segments boolean")
         self.base = handle.getValueState("base", "state int, stale bigint")
         self.minutes = handle.getMapState("minutes", "at bigint", "us array<bigint>, id array<string>, to array<int>")
         node = "at array<bigint>, moves array<array<bigint>>"
@@ -359,10 +371,19 @@ class MandateFold(StatefulProcessor):
         self.root = handle.getValueState("root", node)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = [e for batch in rows for e in zip(batch["us"].tolist(), batch["id"].tolist(), batch["to"].tolist())]
+        *held, state, stale, segments = self.flat.get() or ([], [], [], 0, 0, False)
+        if not segments:
+            events = sorted({*zip(*held), *events})
+            if len(events) <= self.flat_events:
+                state, stale = self.keep(events, state, stale, held[0][0] if held[0] else None, timerValues)
+                yield pd.DataFrame({"mandate_id": [key[0]], "state": [projection.MANDATE_STATES[state]], "stale_transitions": [stale]})
+                return
+            self.base.update((state, stale))
+            self.flat.update(([], [], [], 0, 0, True))
         fresh: dict[int, list] = {}
-        for batch in rows:
-            for us, event_id, to in zip(batch["us"].tolist(), batch["id"].tolist(), batch["to"].tolist()):
-                fresh.setdefault(us // MINUTE_US, []).append((us, event_id, to))
+        for e in events:
+            fresh.setdefault(e[0] // MINUTE_US, []).append(e)
         moves = {at: self.minute(at, events) for at, events in fresh.items()}
         for table, span in ((self.hours, HOUR_US // MINUTE_US), (self.days, DAY_US // HOUR_US)):
             moves = self.above(table, moves, span)
@@ -375,8 +396,25 @@ class MandateFold(StatefulProcessor):
             state, stale = self.applied(state, stale, root[day])
         yield pd.DataFrame({"mandate_id": [key[0]], "state": [projection.MANDATE_STATES[state]], "stale_transitions": [stale]})
 
+    def keep(self, events: list, state: int, stale: int, first: int | None, timerValues) -> tuple[int, int]:
+        """Applies all events, in order; those of passed days for good, the others stay, with a timer for the first day."""
+        now_us = timerValues.getCurrentWatermarkInMs() * MICROS_PER_MS
+        passed = sum((us // DAY_US + 1) * DAY_US <= now_us for us, _, _ in events)
+        left = events[passed:]
+        for _, _, to in events[:passed]:
+            state, stale = self.applied(state, stale, MOVES[to])
+        self.flat.update(([e[0] for e in left], [e[1] for e in left], [e[2] for e in left], state, stale, False))
+        if left and (first is None or first // DAY_US != left[0][0] // DAY_US):
+            self.handle.registerTimer((left[0][0] // DAY_US + 1) * DAY_US // MICROS_PER_MS)
+        for _, _, to in left:
+            state, stale = self.applied(state, stale, MOVES[to])
+        return state, stale
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.root.exists():
+        *held, state, stale, segments = self.flat.get() or ([], [], [], 0, 0, True)
+        if not segments:
+            self.keep(list(zip(*held)), state, stale, None, timerValues)
+        elif self.root.exists():
             self.settle(self.node(self.root.get()), timerValues.getCurrentWatermarkInMs() * MICROS_PER_MS)
         return iter([])
 
@@ -428,14 +466,14 @@ class MandateFold(StatefulProcessor):
         pass
 
 
-def mandate_state(events: DataFrame, delay: str = "7 days") -> DataFrame:
+def mandate_state(events: DataFrame, delay: str = "7 days", flat_events: int = FLAT_EVENTS) -> DataFrame:
     moves = events.withWatermark("occurred_at", delay).select(
         "mandate_id", F.unix_micros("occurred_at").alias("us"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("id"),
         projection.state_index(F.col("event_type")).alias("to"), "occurred_at",
     ).where("to IS NOT NULL")
     kind = dict(events.dtypes)["mandate_id"]
     return use_rocksdb(moves).groupBy("mandate_id").transformWithStateInPandas(
-        statefulProcessor=MandateFold(), outputStructType=f"mandate_id {kind}, state string, stale_transitions bigint",
+        statefulProcessor=MandateFold(flat_events), outputStructType=f"mandate_id {kind}, state string, stale_transitions bigint",
         outputMode="Update", timeMode="EventTime",
     )
 

@@ -49,6 +49,11 @@ def test_mandate_state_converges(spark, files):
     same(run.latest(rows, ["mandate_id"]), projection.mandate_state(files[1]))
 
 
+def test_a_mandate_is_a_short_list_before_it_is_segments(spark, files):
+    rows, _ = run.drain(jobs.mandate_state(stream(spark, files), delay="60 days", flat_events=3), "update")
+    same(run.latest(rows, ["mandate_id"]), projection.mandate_state(files[1]))
+
+
 def test_repeated_deliveries_are_dropped(spark, files):
     rows, _ = run.drain(jobs.dedupe_stream(stream(spark, files), "60 days").select("event_id"), "append")
     same(rows.select("event_id"), files[1].select("event_id"))
