@@ -55,7 +55,9 @@ PAGE_BITS = 9
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 17
 CACHE_ROWS = 250_000
 #: Prefixes that hold a token before it counts as frequent, and rounds of indexing anew.
-HEAVY, HEAVY_ROUNDS = 12, 4
+HEAVY, HEAVY_ROUNDS = 12, 2
+#: Rows of an Arrow batch: a compared pair carries two whole sets, so the default of 10 000 would be some 100 MB a task.
+BATCH_ROWS = 1000
 #: Counters of a set's signature: tokens by the low bits of their hash.
 COUNTERS = 128
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -211,8 +213,8 @@ def index(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     counts = stored(entries.select("token").groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
     shared, heavy = [bitmap(counts, "token")], bitmap(counts.where(F.col("n") > HEAVY), "token")
     parts = [entries]
-    for _ in range(HEAVY_ROUNDS):
-        heavy = either(heavy)
+    heavy = either(heavy)
+    for last in range(HEAVY_ROUNDS - 1, -1, -1):
         # Whoever has a heavy token in the prefix, of whatever round, is indexed anew; so is, alike everywhere, what a
         # bitmap takes for one. A prefix without heavy tokens is the same in the new order.
         keys = either(*(bitmap(passing(p, "token", heavy), "key_hash") for p in parts))
@@ -222,6 +224,8 @@ def index(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
         parts = [passing(p, "key_hash", keys, False) for p in parts] + [fresh]
         new = either(bitmap(fresh, "token"))
         shared.append(new)
+        if not last:
+            break  # no round follows that would ask for new heavy tokens
         # Only tokens of fresh prefixes can have become heavy; they are counted over all prefixes.
         grown = fresh.select("token")
         for p in parts[:-1]:
@@ -543,6 +547,7 @@ def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, key, text_hash) and sets (key, copies, links, id, component)."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     own, entries = index(docs, words)
     copies = stored(own.where("key IS NOT NULL").groupBy("key").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("id"), F.first("signature").alias("signature")

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -151,6 +152,25 @@ def test_links_survive_shared_passages_of_two_depths(spark):
     assert got == {i: (min(label[i]), len(link[i])) for i in range(len(texts))}
 
 
+def test_the_last_round_of_indexing_asks_for_no_more_heavy_tokens(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HEAVY_ROUNDS", 1)
+    asked, either = [], jaccard_join.either
+    monkeypatch.setattr(jaccard_join, "either", lambda *maps: asked.append(maps) or either(*maps))
+    jaccard_join.index(docs, 3)
+    assert len(asked) == 5  # heavy, keys, texts, tokens of the fresh prefixes, possible tokens
+
+
+def test_the_join_sends_small_batches_to_python(spark, docs):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    jaccard_join.joined(docs, 3)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], names=["n"])
+
+    assert spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long").groupBy().max("n").first()[0] <= 1000
+
+
 def test_empty_blocks_add_no_links(spark):
     sets = [np.arange(k, 100 + k, dtype=np.uint64).tobytes() for k in range(3)]
     near = [(b"t", side, bytes([i]), 1, sets[i]) for side, i in ((2, 0), (2, 1), (2, 2))]
