@@ -53,6 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A row goes to Python with all its columns; batches of 10 000 would hold some 100 MB in each task.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", jaccard_join.BATCH_ROWS)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
