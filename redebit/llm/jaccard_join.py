@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redebit.llm.common import stored
+from redebit.llm.common import SPACES, stored
 
 WORDS, SIMILAR = 3, 90
 #: Sets join a family when their similarity to its centre is at least this (percent).
@@ -53,7 +53,8 @@ BUCKET_BITS, BITMAP = 20, 1 << 24
 PAGE_BITS = 9
 #: Bounds of a block: sets, and tokens of all its sets (one longer set is a block of its own).
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 17
-CACHE_ROWS = 250_000
+#: Longer words (bytes) are hashed one by one.
+LONG_WORD = 64
 #: Prefixes that hold a token before it counts as frequent, and rounds of indexing anew.
 HEAVY, HEAVY_ROUNDS = 12, 4
 #: Rows of an Arrow batch: a compared pair carries two whole sets, so the default of 10 000 would be some 100 MB a task.
@@ -61,25 +62,48 @@ BATCH_ROWS = 1000
 #: Counters of a set's signature: tokens by the low bits of their hash.
 COUNTERS = 128
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: Bytes that belong to words, and masks of the lowest 0 to 8 bytes.
+IN_WORD = np.isin(np.arange(256), list(SPACES.encode()), invert=True)
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-class WordHashes(dict):
-    """Hash of every word, worked out on first use; emptied when full."""
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all ``texts`` (no nulls), A-Z lower-cased, parted at the six ASCII white-space
+    characters; and where each text's words begin, with the end of the last.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ROWS:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
-
-
-HASHES = WordHashes()
-
-
-def word_codes(text: str) -> np.ndarray:
-    """Hashes of the words of ``text``, A-Z lower-cased, parted at the six ASCII white-space characters."""
-    raw = text.encode().lower().split()  # of bytes: both do just that
-    return np.fromiter(map(HASHES.__getitem__, raw), np.uint64, len(raw))
+    A word up to ``LONG_WORD`` bytes is hashed eight bytes at a time, all words at once.
+    """
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first, ends = int(ends[0]), ends - ends[0]
+    n = int(ends[-1])
+    raw = (memoryview(data)[first : first + n].tobytes() if n else b"").lower() + bytes(8)  # of bytes: A-Z only
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = IN_WORD[np.frombuffer(raw, np.uint8, n)]
+    begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    filled = ends[:-1] < ends[1:]  # words end with their text
+    at, last = ends[:-1][filled], ends[1:][filled] - 1
+    begins[at], stops[last] = inside[at + 1], inside[last + 1]
+    at = np.flatnonzero(begins)
+    sizes = np.flatnonzero(stops) + 1 - at
+    eight = np.ndarray((n + 1,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    codes = sizes.astype(np.uint64) * ODD[0]
+    left = np.flatnonzero(sizes <= LONG_WORD)
+    for done in range(0, LONG_WORD, 8):
+        rest = sizes[left] - done
+        part = eight[at[left] + done] & LOW_BYTES[np.minimum(rest, 8)]
+        mixed = (codes[left] ^ part) * ODD[1 + done // 8 % 3]
+        codes[left] = mixed ^ (mixed >> np.uint64(32))
+        left = left[rest > 8]
+        if not len(left):
+            break
+    codes = codes * ODD[0]  # the high bits name a word's bucket
+    codes ^= codes >> np.uint64(29)
+    codes *= ODD[3]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        codes[i] = xxhash.xxh64_intdigest(raw[at[i] : at[i] + sizes[i]])
+    return codes, np.searchsorted(at, ends)
 
 
 def windows(codes: np.ndarray, words: int) -> np.ndarray:
@@ -93,9 +117,17 @@ def windows(codes: np.ndarray, words: int) -> np.ndarray:
     return mixed
 
 
+def shingled(texts: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the hashes of its words, and those of its shingles by position."""
+    codes, ends = word_codes(texts)
+    every = windows(codes, words)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield codes[a:b], every[a : b - words + 1] if b - a >= words else windows(codes[a:b], words)
+
+
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the shingles of ``text``."""
-    return np.unique(windows(word_codes(text), words))
+    return np.unique(next(shingled(pa.array([text]), words))[1])
 
 
 def need(n: int) -> int:
@@ -124,8 +156,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             for at in range(0, len(batch), 200):
-                codes = [word_codes(x.as_py()) for x in batch.column(0).slice(at, 200)]
-                total += np.bincount((np.concatenate(codes) >> shift).astype(np.int64), minlength=len(total))
+                codes, _ = word_codes(batch.column(0).slice(at, 200))
+                found, count = np.unique(codes >> shift, return_counts=True)
+                total[found] += count
         parts = [(i, total[i << 12 : (i + 1) << 12]) for i in range(len(total) >> 12)]
         parts = [(i, c.astype("<i8").tobytes()) for i, c in parts if c.any()]
         yield pa.RecordBatch.from_arrays(
@@ -151,15 +184,20 @@ def bucket_classes(rows: DataFrame) -> np.ndarray:
     return levels
 
 
-def ordered_prefix(codes: np.ndarray, levels: np.ndarray, heavy: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """A set, and its prefix in the global order: heavy tokens last, estimated frequency, then hash."""
-    every = windows(codes, words)
+def ordered_prefix(
+    codes: np.ndarray, every: np.ndarray, levels: np.ndarray, heavy: np.ndarray, words: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """A set, and its prefix in the global order: heavy tokens last, estimated frequency, then hash.
+
+    ``codes`` are the text's words, ``every`` its shingles by position.
+    """
     own, first = np.unique(every, return_index=True)
     word = levels[(codes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.int32)
     total = np.concatenate([[0], np.cumsum(word)])
     width = min(words, len(codes))
     frequency = (total[width:] - total[:-width])[first] + 4096 * hit(own.view(np.int64), heavy)
-    return own, own[np.lexsort((own, frequency))[: len(own) - need(len(own)) + 1]]
+    order = np.argsort(frequency, kind="stable")  # ``own`` is sorted, so that ties go by hash
+    return own, own[order[: len(own) - need(len(own)) + 1]]
 
 
 INDEXED = "doc_id {}, n long, key binary, key_hash long, text_hash long, signature binary, token long, pos int"
@@ -174,9 +212,8 @@ def indexed(docs: DataFrame, levels: np.ndarray, heavy: np.ndarray, words: int)
             for at in range(0, len(batch), 200):
                 part = batch.slice(at, 200)
                 tokens, keys, sizes, signatures = [], [], [], []
-                for x in part.column(1):
-                    codes = word_codes(x.as_py())
-                    own, prefix = ordered_prefix(codes, levels, heavy, words) if len(codes) else (codes, codes)
+                for codes, every in shingled(part.column(1), words):
+                    own, prefix = ordered_prefix(codes, every, levels, heavy, words) if len(codes) else (codes, codes)
                     tokens.append(prefix)
                     keys.append(hashlib.md5(own.tobytes()).digest() if len(own) else None)
                     signatures.append(signature(own) if len(own) else None)
@@ -307,8 +344,8 @@ def needed_sets(docs: DataFrame, own: DataFrame, keys: DataFrame, words: int) ->
         for batch in batches:
             for at in range(0, len(batch), 200):
                 found, sets = [], []
-                for x in batch.column(0).slice(at, 200):
-                    tokens = shingles(x.as_py(), words)
+                for _, every in shingled(batch.column(0).slice(at, 200), words):
+                    tokens = np.unique(every)
                     if len(tokens):
                         sets.append(tokens.tobytes())
                         found.append(hashlib.md5(sets[-1]).digest())

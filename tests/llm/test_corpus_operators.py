@@ -1,5 +1,7 @@
 """Operators over whole tables, against brute force and held-out rows."""
 
+import random
+
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -119,6 +121,21 @@ def shingle_list(text):
     return [tuple(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [tuple(words)] if words else []
 
 
+def test_words_of_a_batch_are_hashed_together():
+    draw = random.Random(5)
+    parts = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "a", "A", "É", "é", "\0", "x" * 9, "y" * 64, "z" * 65]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(2000)] + ["", " "]
+    codes, ends = jaccard_join.word_codes(pa.array(["zz", *texts]).slice(1))
+    words = [t.encode().lower().split() for t in texts]
+    assert np.diff(ends).tolist() == [len(w) for w in words]
+    known = {}
+    for word, code in zip(sum(words, []), codes.tolist()):
+        assert known.setdefault(word, code) == code
+    assert len(set(known.values())) == len(known)
+    whole = [every.tolist() for _, every in jaccard_join.shingled(pa.array(texts), 3)]
+    assert whole == [next(jaccard_join.shingled(pa.array([t]), 3))[1].tolist() for t in texts]
+
+
 @pytest.mark.parametrize("small_blocks", [False, True])
 def test_jaccard_join_equals_brute_force(spark, docs, monkeypatch, small_blocks):
     if small_blocks:
