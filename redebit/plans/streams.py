@@ -9,6 +9,7 @@ from redebit.plans import views_sql as v
 from redebit.plans.ingest import MANDATE_FOLD, PROJECTED
 from redebit.plans.issuers import _CUSUM, ATT, DAY, TUNING
 from redebit.plans.registry import query
+from redebit.session import checkpointed
 from redebit.sources import testdata as td
 from redebit.streaming import jobs, run
 
@@ -120,6 +121,7 @@ def stream_late_capture_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redebit.plans.ingest import projected
 
     actions = projected(spark, sf_dir).where("attempts_used > 0").select("cycle_ref", F.lit("pending").alias("state"))
+    actions = checkpointed(actions)  # every batch reads them; the log is projected once
     out = run.scratch(spark)
     cycles = jobs.stream_projection(td.payment_event_stream(spark, sf_dir), keys=["mandate_id", "cycle_ref"])
     run.drain(cycles, "update", jobs.late_capture_guard(actions, out))

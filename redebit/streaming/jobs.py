@@ -2,7 +2,7 @@
 
 What built-in stateful operators can express with bounded state stays in the JVM. Folds that
 depend on order (mandate state, issuer detector) or must end with their key (cycles, sessions,
-message panes) keep small keyed state through ``transformWithStateInPandas``, and timers.
+message panes) keep small keyed state through ``transformWithState`` and its pandas form, and timers.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,8 +34,7 @@ def dedupe_stream(events: DataFrame, delay: str = "1 day", at: str = "occurred_a
 MICROS_PER_MS = 1000
 EVENT_FIELDS = ("us", "id", "failed", "paid", "amount", "deadline")
 CYCLE_EVENT = "struct<us: bigint, id: {0}, failed: boolean, paid: boolean, amount: bigint, deadline: bigint>"
-#: Stands for a missing deadline on the way to Python, where a column with nulls would be of floats.
-NO_DEADLINE = -(1 << 62)
+CYCLE_ROW = Row(*EVENT_FIELDS)
 
 
 class CycleEvents(StatefulProcessor):
@@ -52,14 +51,14 @@ class CycleEvents(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("cycle", f"events array<{self.event}>, expires bigint, stored boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.state.exists()
         events, before, stored = self.state.get() if known else ([], None, False)
         held = {e[1]: tuple(e) for e in events}
         size = len(held)
-        for batch in rows:
-            for e in zip(*(batch[name].tolist() for name in EVENT_FIELDS)):
-                held.setdefault(e[1], (*e[:5], None if e[5] == NO_DEADLINE else e[5]))
+        for row in rows:
+            e = tuple(row[name] for name in EVENT_FIELDS)
+            held.setdefault(e[1], e)
         if known and len(held) == size:
             return  # re-deliveries only
         deadlines = [(e[0], e[1], e[5]) for e in held.values() if e[5] is not None]
@@ -76,10 +75,9 @@ class CycleEvents(StatefulProcessor):
         elif known:
             self.handle.deleteTimer(before)
             self.state.clear()
-        out = {k: [v] for k, v in zip(self.keys, key)}
-        yield pd.DataFrame(out | {"events": [[dict(zip(EVENT_FIELDS, e)) for e in held.values()]], "stored": [stored]})
+        yield Row(*self.keys, "events", "stored")(*key, [CYCLE_ROW(*e) for e in held.values()], stored)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
         return iter([])
 
@@ -100,10 +98,11 @@ def cycle_changes(events: DataFrame, clock: str = "occurred_at", delay: str = "3
     kinds = dict(events.dtypes)
     event = CYCLE_EVENT.format(kinds["event_id"])
     fields = [projection.cycle_event(kinds["event_id"])[name].alias(name) for name in EVENT_FIELDS[:-1]]
-    deadline = F.coalesce(F.unix_micros("deadline_at"), F.lit(NO_DEADLINE)).alias("deadline")
+    deadline = F.unix_micros("deadline_at").alias("deadline")
     rows = events.where("cycle_ref IS NOT NULL").withWatermark(clock, delay).select(*keys, clock, *fields, deadline)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"events array<{event}>", "stored boolean"])
-    return use_rocksdb(rows).groupBy(*keys).transformWithStateInPandas(
+    # Rows, not pandas: a cycle has a handful of events, and a frame for each would cost more than the work on it.
+    return use_rocksdb(rows).groupBy(*keys).transformWithState(
         statefulProcessor=CycleEvents(keys, event, grace_days * 86_400_000), outputStructType=schema,
         outputMode="Update", timeMode="EventTime")
 

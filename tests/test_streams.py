@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from redebit.operators import ledger, projection
+from redebit.plans import catalog
 from redebit.sources import sinks
 from redebit.sources import testdata as td
 from redebit.streaming import jobs, run
@@ -244,3 +245,10 @@ def test_mandate_segments_compose_like_the_fold(spark, tmp_path):
     want = sorted(map(tuple, projection.mandate_state(frame.dropDuplicates()).select("mandate_id", "state", "stale_transitions").toPandas().itertuples(index=False)))
     assert got == want
     assert max(sizes[3:]) < 0.7 * len(rows)  # only what the watermark has not passed
+
+
+def test_late_capture_guard_projects_the_log_once(spark, monkeypatch):
+    guard, sources = jobs.late_capture_guard, []
+    monkeypatch.setattr(jobs, "late_capture_guard", lambda actions, out: sources.extend(actions.inputFiles()) or guard(actions, out))
+    states = {r.state for r in catalog.QUERIES["stream_late_capture_guard"](spark, SF).collect()}
+    assert states == {"cancelled"} and not sources  # batches read stored actions, not the log again
