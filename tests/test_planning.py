@@ -160,3 +160,45 @@ def test_layers_over_cycles_in_order_equal_those_of_any_rows(spark):
         plain, ordered = (solve(slots, ["cycle_id"], lead=5, in_order=flag) for flag in (False, True))
         assert sorted(map(str, plain.collect())) == sorted(map(str, ordered.collect()))
         assert "Exchange" not in planning.decide(slots, ["cycle_id"], in_order=True)._jdf.queryExecution().toString()
+
+
+def test_grids_of_slots_give_what_rows_of_slots_give(spark):
+    """Cycles without amount, rail, category or seen segment, and cycles that come twice, on both forms."""
+    import datetime as dt
+
+    from redebit.functions import calendar as cal
+    from redebit.operators import grids, legality, priors
+    from redebit.plans import planning as plans
+
+    rng = random.Random(3)
+    pick = lambda *x: rng.choice(x)
+    due = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(80 * 86_400))
+    made = [(i, pick("5815", "7997", "new", None), pick("upi_autopay", "card_emandate", "enach", None), pick(None, 90_000, 700_000, rng.randrange(2_000_000)),
+             due(), rng.choice([0.06, 0.9, 1.0]), pick(1, 2, 3)) for i in range(120)]
+    cycles = spark.createDataFrame(made + made[:25], "cycle_id int, mcc string, rail string, amount_paise bigint, due_at timestamp, p_rec double, budget int")
+    learned = spark.createDataFrame(
+        [(m, t, r, d, b, rng.randrange(2, 40), rng.random() * 0.5) for m in ("5815", "7997") for t in (0, 2, 3) for r in ("upi_autopay", "enach")
+         for d in range(1, 32) for b in range(5) if rng.random() < 0.8],
+        "mcc string, ticket_band int, rail string, day_of_month int, hour_band int, n_obs int, hazard double")
+    stay = (F.col("amount_paise") * planning.W_MULTIPLE).alias("continuation_paise")
+    legal = legality.harness_legal(F.col("rail"), F.col("due_at"), F.col("slot"), days=30)
+
+    slots = legality.explode_slots(priors.with_curve(cycles, learned), ["cycle_id"], 720)
+    at = legality.slot_time(F.col("due_at"), F.col("slot"))
+    hourly = priors.band_to_hourly(priors.slot_presence(at), cal.hour_band(at))
+    curves = priors.survival_curve(slots.withColumn("hazard", hourly), ["cycle_id"], "hazard")
+    rows = curves.select("cycle_id", "slot", "survival", legal.alias("legal"), F.lit(1.0).alias("health"), F.lit(planning.DELTA_R).alias("dr"),
+                         "amount_paise", stay, "p_rec", "budget")
+    facts = grids.with_cells(cycles, learned, plans.hourly_step).select("cycle_id", "rail", "due_at", "cells", "amount_paise", stay, "p_rec", "budget")
+    grid = grids.slot_grid(facts, ["cycle_id"], 720, plans.survival_fill, together=True)
+    plain, fast = (sorted(map(str, planning.best_retry_slot_survival(s, ["cycle_id"]).collect())) for s in (rows, grid))
+    assert len(plain) == 120 and plain == fast
+
+
+def test_exponential_has_the_bits_of_spark(spark):
+    from redebit.operators import grids
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([-rng.random(4000) * s for s in (1e-8, 0.4, 2, 40, 760)] + [np.array([0.0, -0.34657359027997264, -1.03972077083992, -745.2, -9000.0])])
+    want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(F.exp("x")).collect()]
+    assert (grids.strict_exp(x) == np.array(want)).all()
