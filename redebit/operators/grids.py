@@ -38,8 +38,12 @@ class SlotGrid:
     def schema(self) -> StructType:
         return StructType([*self.cycles.schema.fields, StructField("slot", IntegerType())])
 
+    def of(self, cycles: DataFrame) -> SlotGrid:
+        """The same slots of other cycles, or of these with more facts."""
+        return replace(self, cycles=cycles)
+
     def with_fact(self, name: str, value: Column) -> SlotGrid:
-        return replace(self, cycles=self.cycles.withColumn(name, value))
+        return self.of(self.cycles.withColumn(name, value))
 
 
 def slot_grid(cycles: DataFrame, keys: list[str], horizon: int, fill: Callable[[pa.Table, int], dict[str, np.ndarray]],

@@ -194,6 +194,14 @@ def test_grids_of_slots_give_what_rows_of_slots_give(spark):
     plain, fast = (sorted(map(str, planning.best_retry_slot_survival(s, ["cycle_id"]).collect())) for s in (rows, grid))
     assert len(plain) == 120 and plain == fast
 
+    costed = planning.with_costs(cycles, 3)
+    rows = plans.decision_slots(costed, learned, ["cycle_id"])
+    facts = costed.withColumn("dr", F.lit(planning.DELTA_R)).withColumn("continuation_paise", F.col("amount_paise") * planning.W_MULTIPLE)
+    grid = plans.decision_grid(facts, learned, ["cycle_id"])
+    for solve in (planning.decide, planning.planned_slots):
+        plain, fast = (sorted(map(str, x.collect())) for x in (solve(rows, ["cycle_id"], 3, in_order=True), solve(grid, ["cycle_id"], 3)))
+        assert plain == fast and len(plain) == 145
+
 
 def test_exponential_has_the_bits_of_spark(spark):
     from redebit.operators import grids
